@@ -1,11 +1,500 @@
-"""Queries of the graph operators and their oracles."""
+"""Queries of the graph operators over graphs derived from the tables, and their oracles in DuckDB's SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tributary.functions import names
+from tributary.operators import build, centrality, change, domains, impact, structure
+from tributary.plans import demo, fixtures
+from tributary.schema import Graph, risk_label
+from tributary.sinks import exports
+from tributary.sources import frontends, java
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+UNTIL = "2024-01-16"
+CRITICAL = ["supplier1", "order7"]
+CONFIG = [("places", "tpch.geo"), ("trade", "tpch.sales"), ("trade", "tpch.catalog")]
+START = "tpch.geo.region.Region0Entity"
+ORDER = "tpch.sales.orders.Order1Manager"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+FK = f"WITH RECURSIVE {demo.fk_sql()}"
+BASE_HEAD = f"WITH RECURSIVE {demo.fk_sql('b', demo.CUTOFF, 'IMPORTS')}, {demo.fk_sql('h')}"
+EVENTS = f"WITH RECURSIVE {demo.event_sql()}"
+TRADE3 = f"WITH RECURSIVE {demo.trade_sql(3)}"
+TRADE1 = f"WITH RECURSIVE {demo.trade_sql(1)}"
+
+
+def fk_domains(graph: Graph) -> DataFrame:
+    return domains.assign(graph.nodes)
+
+
+# The pivot of these ids is their third part (six tables), the domain that all of them get.
+DOM = "dom AS (SELECT id, tbl AS domain FROM {p}nodes)"
+
+
+@query(FK + "SELECT id, arg_min(type, seq) AS type, arg_min(path, seq) AS source_path FROM (SELECT id, 'CLASS' AS type, path, 0 AS seq FROM nodes UNION ALL SELECT id, 'SERVICE', 'late/' || path, 1 FROM nodes) GROUP BY id")
+def node_build_first_wins(spark, sf_dir):
+    modules = demo.fk_modules(spark, sf_dir)
+    late = modules.withColumns({"type": F.lit("SERVICE"), "source_path": F.concat(F.lit("late/"), "source_path"), "seq": F.col("seq") + F.lit(10**14)})
+    return build.build(late.unionByName(modules), demo.fk_dependencies(spark, sf_dir)).nodes.select("id", "type", "source_path")
+
+
+@query(FK + "SELECT source, target, type FROM edges")
+def edge_build_last_wins(spark, sf_dir):
+    return demo.fk_graph(spark, sf_dir).edges.select("source", "target", "type")
+
+
+def _loose(spark, sf_dir):
+    """Users of events depend on the customer with their number, parts on a brand; most of these aren't declared."""
+    users = demo.table(spark, sf_dir, "events").select("user_id").distinct()
+    parts = demo.table(spark, sf_dir, "part")
+    modules = demo.fk_modules(spark, sf_dir).unionByName(users.select(F.concat(F.lit("web:user."), F.col("user_id").cast("string")).alias("id"), F.lit("MODULE").alias("type"), F.lit(None).cast("string").alias("source_path"), F.lit("LOW").alias("confidence"), F.col("user_id").cast("long").alias("seq")))
+    db = lambda c: F.concat(F.lit("db:"), c)
+    deps = users.select(F.concat(F.lit("web:user."), F.col("user_id").cast("string")).alias("source_id"), db(demo.fk_id("customer", F.col("user_id") * 10)).alias("target_id"))
+    deps = deps.unionByName(parts.select(db(demo.fk_id("part", F.col("p_partkey"))).alias("source_id"), F.concat(F.lit("db:brand."), "p_brand").alias("target_id")))
+    deps = deps.unionByName(parts.select(F.concat(F.lit("db:brand."), "p_brand").alias("source_id"), db(demo.fk_id("part", F.col("p_partkey"))).alias("target_id")).distinct())
+    return modules, deps.select("source_id", "target_id", F.lit("USES").alias("edge_type"), F.lit("LOW").alias("confidence"), F.lit(None).cast("string").alias("evidence"), F.lit(False).alias("dynamic"), F.lit(0).cast("long").alias("seq"))
+
+
+@query(
+    FK + f"""SELECT 'unknown_target' AS kind, 'web:user.' || user_id AS source, 'db:' || {demo.sql_id("customer", "(user_id * 10)")} AS target
+FROM (SELECT DISTINCT user_id FROM events) e WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id * 10)
+UNION ALL SELECT 'unknown_target', 'db:' || {demo.sql_id("part", "p_partkey")}, 'db:brand.' || p_brand FROM part
+UNION ALL SELECT 'unknown_source', 'db:brand.' || p_brand, 'db:' || {demo.sql_id("part", "p_partkey")} FROM part"""
+)
+def dangling_warnings(spark, sf_dir):
+    return build.warnings(*_loose(spark, sf_dir))
+
+
+@query("SELECT 'Party' || c_custkey AS id, CAST(2 AS BIGINT) AS n, 'crm:Party' || c_custkey || ',erp:Party' || c_custkey AS declared FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier)")
+def namespace_collisions(spark, sf_dir):
+    one = lambda t, k, ns: demo.table(spark, sf_dir, t).select(F.concat(F.lit(f"{ns}:Party"), F.col(k).cast("string")).alias("id"))
+    return build.collisions(one("customer", "c_custkey", "crm").unionByName(one("supplier", "s_suppkey", "erp")))
+
+
+DEGREES = "deg AS (SELECT n.id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM {p}nodes n LEFT JOIN (SELECT target, count(*) AS n FROM {p}edges GROUP BY 1) i ON i.target = n.id LEFT JOIN (SELECT source, count(*) AS n FROM {p}edges GROUP BY 1) o ON o.source = n.id)"
+
+
+@query(FK + f", {DEGREES.format(p='')} SELECT * FROM deg")
+def degrees(spark, sf_dir):
+    return build.degrees(demo.fk_graph(spark, sf_dir))
+
+
+@query(FK + "SELECT count(*) AS node_count, (SELECT count(*) FROM edges) AS edge_count FROM nodes")
+def graph_counts(spark, sf_dir):
+    return demo.fk_graph(spark, sf_dir).counts()
+
+
+@query(FK + f"SELECT id, 'u' AS found FROM nodes WHERE id = '{START}' UNION ALL SELECT target, 'dependency' FROM edges WHERE source = '{ORDER}' UNION ALL SELECT source, 'dependent' FROM edges WHERE target = '{START}'")
+def point_lookups(spark, sf_dir):
+    g = demo.fk_graph(spark, sf_dir)
+    some = g.node(START).select("id", F.lit("u").alias("found"))
+    return some.unionByName(g.dependencies(ORDER).withColumn("found", F.lit("dependency"))).unionByName(g.dependents(START).withColumn("found", F.lit("dependent")))
+
+
+@query(BASE_HEAD + ", b AS (SELECT source, target, type, 0 AS g FROM bedges UNION ALL SELECT source, target, type, 1 FROM hedges) SELECT source, target, arg_max(type, g) AS type FROM b GROUP BY 1, 2")
+def graph_merge(spark, sf_dir):
+    return build.merge(demo.fk_graph(spark, sf_dir, demo.CUTOFF, "IMPORTS"), demo.fk_graph(spark, sf_dir)).edges.select("source", "target", "type")
+
+
+THRESHOLDS = "SELECT greatest(3, (SELECT count(*) FROM nodes) // 100) AS coupling, CAST(greatest(2, ceil((SELECT count(DISTINCT domain) FROM dom) * 0.3)) AS BIGINT) AS cross_domain_max, CAST(4 AS BIGINT) AS max_call_depth, least(20, greatest(5, (SELECT count(*) FROM nodes) // 10)) AS hotspot_cap"
+
+
+@query(FK + f", {DOM.format(p='')} {THRESHOLDS}")
+def thresholds(spark, sf_dir):
+    g = demo.fk_graph(spark, sf_dir)
+    return domains.thresholds(g.nodes, fk_domains(g))
+
+
+@query(FK + f", {DEGREES.format(p='')} SELECT id, in_degree FROM deg WHERE in_degree > greatest(3, (SELECT count(*) FROM nodes) // 100)")
+def hotspots(spark, sf_dir):
+    g = demo.fk_graph(spark, sf_dir)
+    return domains.hotspots(g, domains.thresholds(g.nodes, fk_domains(g)))
+
+
+@query(FK + f", {DEGREES.format(p='')} SELECT id, in_degree FROM deg WHERE in_degree > 3 ORDER BY in_degree DESC, id LIMIT 20")
+def hotspots_top(spark, sf_dir):
+    return domains.hotspots(demo.fk_graph(spark, sf_dir), 3).limit(20)
+
+
+@query(FK + "SELECT id, CASE WHEN domain = 'geo' THEN 'places' WHEN domain IN ('sales', 'catalog') THEN 'trade' ELSE tbl END AS domain, CASE WHEN domain = 'party' THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM nodes")
+def domain_config(spark, sf_dir):
+    return domains.assign(demo.fk_graph(spark, sf_dir).nodes, CONFIG)
+
+
+@query(FK + "SELECT id, tbl AS domain, 'MEDIUM' AS confidence FROM nodes")
+def domain_pivot(spark, sf_dir):
+    return fk_domains(demo.fk_graph(spark, sf_dir))
+
+
+@query(EVENTS + "SELECT id, split_part(id, '.', 1) AS domain, 'LOW' AS confidence FROM nodes")
+def domain_fallback(spark, sf_dir):
+    return domains.assign(demo.event_graph(spark, sf_dir).nodes)
+
+
+@query(FK + f", {DOM.format(p='')} SELECT domain, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM dom GROUP BY 1")
+def domain_members(spark, sf_dir):
+    d = exports.domain_rows(fk_domains(demo.fk_graph(spark, sf_dir)))
+    return d.select("domain", F.size("ids").cast("long").alias("n"), F.array_join("ids", ",").alias("ids"))
+
+
+LAYER = "CASE tbl WHEN 'region' THEN 'DOMAIN' WHEN 'nation' THEN 'REPOSITORY' WHEN 'customer' THEN 'CONTROLLER' WHEN 'supplier' THEN 'SERVICE' WHEN 'part' THEN 'UTIL' ELSE 'SERVICE' END"
+
+
+@query(FK + f"SELECT id, {LAYER} AS layer FROM nodes")
+def layer_classify(spark, sf_dir):
+    return demo.fk_graph(spark, sf_dir).nodes.select("id", names.layer(F.col("id")).alias("layer"))
+
+
+def reach_sql(edges: str, start: str, depth: int, forward: bool = False) -> str:
+    here, there = ("source", "target") if forward else ("target", "source")
+    return f"walk(target, id, depth) AS (SELECT id, id, 0 FROM ({start}) UNION SELECT w.target, e.{there}, w.depth + 1 FROM walk w JOIN {edges} e ON e.{here} = w.id WHERE w.depth < {depth}), reach AS (SELECT target, id, CAST(min(depth) AS INTEGER) AS depth FROM walk WHERE depth > 0 GROUP BY 1, 2)"
+
+
+IMPACT = FK + f", {DOM.format(p='')}, " + reach_sql("edges", f"SELECT '{START}' AS id", 3)
+CROSSING = "EXISTS (SELECT 1 FROM edges e JOIN dom d ON d.id = e.target JOIN dom o ON o.id = e.source WHERE e.source = r.id AND d.domain <> o.domain)"
+
+
+@query(IMPACT + f"SELECT r.target, r.id, n.tbl AS domain, r.depth, CASE WHEN r.depth >= 3 THEN 'HIGH' WHEN r.depth = 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk, {LAYER} AS layer, {CROSSING} AS crosses FROM reach r JOIN nodes n USING (id)")
+def impact_single(spark, sf_dir):
+    return _impact(spark, sf_dir, START)
+
+
+def _impact(spark, sf_dir, start):
+    g = demo.fk_graph(spark, sf_dir)
+    return impact.impact(g, spark.range(1).select(F.lit(start).alias("target")), 3, fk_domains(g))
+
+
+@query(FK + ", " + reach_sql("edges", "SELECT id FROM nodes WHERE tbl IN ('region', 'nation')", 3) + "SELECT * FROM reach")
+def impact_multi(spark, sf_dir):
+    g = demo.fk_graph(spark, sf_dir)
+    starts = g.nodes.where(F.col("id").startswith("tpch.geo.")).select(F.col("id").alias("target"))
+    return impact.reach(g.edges, starts, 3)
+
+
+@query(FK + f", {DOM.format(p='')}, " + reach_sql("edges", "SELECT id FROM nodes WHERE tbl = 'region'", 3) + f"SELECT target, count(*) AS total_affected, max(depth) AS max_depth, CAST(sum(CAST({CROSSING} AS INTEGER)) AS BIGINT) AS cross_domain FROM reach r GROUP BY 1")
+def impact_summary(spark, sf_dir):
+    g = demo.fk_graph(spark, sf_dir)
+    starts = g.nodes.where(F.col("id").startswith("tpch.geo.region.")).select(F.col("id").alias("target"))
+    return impact.summary(impact.impact(g, starts, 3, fk_domains(g)))
+
+
+@query(EVENTS + ", " + reach_sql("edges", "SELECT id FROM nodes", 2) + "SELECT * FROM reach")
+def impact_cyclic(spark, sf_dir):
+    g = demo.event_graph(spark, sf_dir)
+    return impact.reach(g.edges, g.nodes.select(F.col("id").alias("target")), 2)
+
+
+@query(IMPACT + f"SELECT {LAYER} AS layer, count(*) AS n FROM reach JOIN nodes USING (id) GROUP BY 1")
+def impact_layer_breakdown(spark, sf_dir):
+    return impact.by_layer(_impact(spark, sf_dir, START))
+
+
+@query(FK + ", " + reach_sql("edges", f"SELECT '{ORDER}' AS id", 3, True) + "SELECT id, depth FROM reach")
+def ancestors3(spark, sf_dir):
+    g = demo.fk_graph(spark, sf_dir)
+    return impact.ancestors(g, ORDER, _impact(spark, sf_dir, ORDER), 3)
+
+
+@query(IMPACT + f", t AS (SELECT '{START}' AS id, 0 AS tier UNION ALL SELECT id, 1 FROM reach UNION ALL SELECT id, 2 FROM dom WHERE domain = 'region') SELECT id, min(tier) AS tier FROM t GROUP BY 1")
+def impact_tiers(spark, sf_dir):
+    g = demo.fk_graph(spark, sf_dir)
+    changed = spark.range(1).select(F.lit(START).alias("id"))
+    return impact.tiers(g.nodes, changed, impact.impact(g, changed.select(F.col("id").alias("target")), 3), fk_domains(g))
+
+
+@query(FK + "SELECT min(id) AS id FROM nodes WHERE id LIKE '%.Order1Manager'")
+def resolve_target(spark, sf_dir):
+    return impact.resolve(demo.fk_graph(spark, sf_dir).nodes, "Order1Manager")
+
+
+def _base_head(spark, sf_dir):
+    return demo.fk_graph(spark, sf_dir, demo.CUTOFF, "IMPORTS"), demo.fk_graph(spark, sf_dir)
+
+
+DIFF = BASE_HEAD + """, dn AS (SELECT 'added' AS change, id FROM hnodes WHERE id NOT IN (SELECT id FROM bnodes) UNION ALL SELECT 'removed', id FROM bnodes WHERE id NOT IN (SELECT id FROM hnodes)),
+de AS (SELECT 'added' AS change, * FROM (SELECT source, target, type FROM hedges EXCEPT SELECT source, target, type FROM bedges) UNION ALL SELECT 'removed', * FROM (SELECT source, target, type FROM bedges EXCEPT SELECT source, target, type FROM hedges)),
+ch AS (SELECT id FROM dn UNION SELECT source FROM de)"""
+
+
+@query(DIFF + "SELECT * FROM dn")
+def graph_diff_nodes(spark, sf_dir):
+    return change.diff_nodes(*_base_head(spark, sf_dir))
+
+
+@query(DIFF + "SELECT * FROM de")
+def graph_diff_edges(spark, sf_dir):
+    return change.diff_edges(*_base_head(spark, sf_dir))
+
+
+def scc_sql(p: str = "") -> str:
+    """CTEs {p}cyc(id, cycle) of nodes on cycles and {p}cycs(cycle, members, size)."""
+    return f"{p}r(a, b) AS (SELECT source, target FROM {p}edges UNION SELECT r.a, e.target FROM {p}r r JOIN {p}edges e ON e.source = r.b), {p}cyc AS (SELECT x.a AS id, least(x.a, min(x.b)) AS cycle FROM {p}r x JOIN {p}r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a), {p}cycs AS (SELECT cycle, string_agg(id, ',' ORDER BY id) AS members, count(*) AS size FROM {p}cyc GROUP BY 1)"
+
+
+@query(f"WITH RECURSIVE {demo.event_sql('b', UNTIL)}, {demo.event_sql('h')}, {scc_sql('b')}, {scc_sql('h')} SELECT 'new' AS change, members FROM (SELECT members FROM hcycs EXCEPT SELECT members FROM bcycs) UNION ALL SELECT 'fixed', members FROM (SELECT members FROM bcycs EXCEPT SELECT members FROM hcycs)")
+def graph_diff_cycles(spark, sf_dir):
+    base, head = demo.event_graph(spark, sf_dir, UNTIL), demo.event_graph(spark, sf_dir)
+    return change.diff_cycles(structure.cycles(base.edges), structure.cycles(head.edges)).select("change", F.array_join("members", ",").alias("members"))
+
+
+@query(DIFF + "SELECT id FROM ch")
+def changed_nodes(spark, sf_dir):
+    base, head = _base_head(spark, sf_dir)
+    return change.changed_nodes(change.diff_nodes(base, head), change.diff_edges(base, head))
+
+
+RISK = "CASE greatest(CASE WHEN in_degree > 10 THEN 2 WHEN in_degree >= 5 THEN 1 ELSE 0 END, CASE WHEN coalesce(f.n, 0) >= 3 THEN 2 ELSE 0 END, CASE WHEN contains(lower(deg.id), 'supplier1') OR contains(lower(deg.id), 'order7') THEN 2 ELSE 0 END) WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END"
+FOREIGN = "f AS (SELECT e.source AS id, count(*) AS n FROM {p}edges e JOIN dom a ON a.id = e.source JOIN dom b ON b.id = e.target WHERE a.domain <> b.domain GROUP BY 1)"
+
+
+@query(FK + f", {DOM.format(p='')}, {DEGREES.format(p='')}, {FOREIGN.format(p='')} SELECT deg.id, {RISK} AS risk FROM deg LEFT JOIN f USING (id)")
+def risk_score(spark, sf_dir):
+    g = demo.fk_graph(spark, sf_dir)
+    none = g.nodes.select("id").limit(0)
+    return change.class_risk(g, fk_domains(g), g.nodes.select("id"), none, CRITICAL).select("id", "risk")
+
+
+@query("SELECT * FROM (VALUES (4, 0, 0, false, false, false, 'LOW'), (5, 0, 0, false, false, false, 'MEDIUM'), (10, 0, 0, false, false, false, 'MEDIUM'), (11, 0, 0, false, false, false, 'HIGH'), (0, 3, 0, false, false, false, 'HIGH'), (0, 0, 3, false, false, false, 'HIGH'), (0, 0, 0, true, false, false, 'HIGH'), (0, 0, 0, false, true, false, 'VERY_HIGH'), (0, 0, 0, false, false, true, 'LOW'), (5, 0, 0, false, false, true, 'HIGH'), (11, 0, 0, false, false, true, 'VERY_HIGH'), (0, 0, 0, false, true, true, 'BLOCKED')) t(in_degree, cross_domain, depth, critical, cyclic, unsure, risk)")
+def risk_levels(spark, sf_dir):
+    rows = [(4, 0, 0, 0, 0, 0), (5, 0, 0, 0, 0, 0), (10, 0, 0, 0, 0, 0), (11, 0, 0, 0, 0, 0), (0, 3, 0, 0, 0, 0), (0, 0, 3, 0, 0, 0), (0, 0, 0, 1, 0, 0), (0, 0, 0, 0, 1, 0), (0, 0, 0, 0, 0, 1), (5, 0, 0, 0, 0, 1), (11, 0, 0, 0, 0, 1), (0, 0, 0, 0, 1, 1)]
+    df = spark.createDataFrame([(*r[:3], *map(bool, r[3:])) for r in rows], "in_degree int, cross_domain int, depth int, critical boolean, cyclic boolean, unsure boolean")
+    rank = change.risk(*(F.col(c) for c in df.columns))
+    return df.withColumn("risk", risk_label(rank))
+
+
+SYNTH = DIFF + f", {DOM.format(p='h')}, {DEGREES.format(p='h')}, {FOREIGN.format(p='h')}, cr AS (SELECT deg.id, {RISK} AS risk FROM ch JOIN deg USING (id) LEFT JOIN f USING (id)), s AS (SELECT CASE WHEN bool_or(risk = 'HIGH') THEN 'HIGH' WHEN bool_or(risk = 'MEDIUM') THEN 'MEDIUM' ELSE 'LOW' END AS overall_risk, CAST(0 AS BIGINT) AS new_cycles, (SELECT count(*) FROM de JOIN dom a ON a.id = de.source JOIN dom b ON b.id = de.target WHERE a.domain <> b.domain) AS cross_domain_edges, (SELECT count(*) FROM ch WHERE contains(lower(id), 'supplier1') OR contains(lower(id), 'order7')) AS critical_hits FROM cr)"
+
+
+def _synthesis(spark, sf_dir):
+    base, head = _base_head(spark, sf_dir)
+    nodes, edges = change.diff_nodes(base, head), change.diff_edges(base, head)
+    fresh = change.diff_cycles(structure.cycles(base.edges), structure.cycles(head.edges))
+    changed, doms = change.changed_nodes(nodes, edges), fk_domains(head)
+    members = fresh.where("change = 'new'").select(F.explode("members").alias("id"))
+    risks = change.class_risk(head, doms, changed, members, CRITICAL)
+    return risks, change.risk_summary(risks, edges, fresh, doms, changed, CRITICAL)
+
+
+@query(SYNTH + "SELECT * FROM cr")
+def class_risks(spark, sf_dir):
+    return _synthesis(spark, sf_dir)[0].select("id", "risk")
+
+
+@query(SYNTH + "SELECT * FROM s")
+def risk_synthesis(spark, sf_dir):
+    return _synthesis(spark, sf_dir)[1]
+
+
+@query(SYNTH + "SELECT new_cycles > 0 OR overall_risk = 'HIGH' AS gate_blocked FROM s")
+def gate(spark, sf_dir):
+    return change.gate(_synthesis(spark, sf_dir)[1])
+
+
+@query(EVENTS + f", {scc_sql()} SELECT 'no_cycle' AS rule, 'ERROR' AS severity, cycle AS subject, members AS details FROM cycs")
+def rule_no_cycle(spark, sf_dir):
+    return change.rule_no_cycle(structure.cycles(demo.event_graph(spark, sf_dir).edges))
+
+
+DEPENDENTS = "dd AS (SELECT e.target AS id, count(DISTINCT b.domain) AS n, string_agg(DISTINCT b.domain, ',' ORDER BY b.domain) AS domains FROM edges e JOIN dom a ON a.id = e.target JOIN dom b ON b.id = e.source WHERE a.domain <> b.domain GROUP BY 1)"
+
+
+@query(FK + f", {DOM.format(p='')}, {DEPENDENTS} SELECT 'max_cross_domain' AS rule, 'WARNING' AS severity, id AS subject, domains AS details FROM dd WHERE n > 1")
+def rule_max_cross_domain(spark, sf_dir):
+    g = demo.fk_graph(spark, sf_dir)
+    return change.rule_max_cross_domain(g, fk_domains(g), 1)
+
+
+@query(FK + f", {DOM.format(p='')}, {DEPENDENTS} SELECT 'forbid_core_entity_leakage' AS rule, 'ERROR' AS severity, id AS subject, domains AS details FROM dd WHERE id LIKE 'tpch.geo.%'")
+def rule_entity_leakage(spark, sf_dir):
+    g = demo.fk_graph(spark, sf_dir)
+    return change.rule_entity_leakage(g, fk_domains(g), g.nodes.where(F.col("id").startswith("tpch.geo.")))
+
+
+@query(FK + ", up(id, top, d) AS (SELECT id, id, 1 FROM nodes UNION SELECT u.id, e.source, u.d + 1 FROM up u JOIN edges e ON e.target = u.top) SELECT 'max_call_depth' AS rule, 'WARNING' AS severity, id AS subject, 'more than 2' AS details FROM up GROUP BY id HAVING max(d) > 2")
+def rule_max_call_depth(spark, sf_dir):
+    return change.rule_max_call_depth(demo.fk_graph(spark, sf_dir), 2)
+
+
+@query(TRADE3 + ", up(id, top, path) AS (SELECT id, id, [id] FROM nodes UNION ALL SELECT u.id, e.source, list_append(u.path, e.source) FROM up u JOIN edges e ON e.target = u.top WHERE NOT list_contains(u.path, e.source) AND len(u.path) < 4) SELECT id, CAST(max(len(path)) AS INTEGER) AS depth FROM up GROUP BY id")
+def call_depths_cyclic(spark, sf_dir):
+    return change.call_depths(demo.trade_graph(spark, sf_dir, 3), 3).select("id", "depth")
+
+
+WCC = "u AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), w(a, b) AS (SELECT id, id FROM nodes UNION SELECT w.a, u.b FROM w JOIN u ON u.a = w.b)"
+
+
+@query(EVENTS + f", {WCC} SELECT a AS id, min(b) AS component FROM w GROUP BY 1")
+def wcc(spark, sf_dir):
+    g = demo.event_graph(spark, sf_dir)
+    return structure.weak_components(g.nodes, g.edges)
+
+
+@query(EVENTS + f", {scc_sql()} SELECT * FROM cycs")
+def scc_cycles(spark, sf_dir):
+    found = structure.cycles(demo.event_graph(spark, sf_dir).edges)
+    return found.select("cycle", F.array_join("members", ",").alias("members"), "size")
+
+
+@query(TRADE3 + f", {scc_sql()} SELECT * FROM cycs")
+def scc_by_rounds(spark, sf_dir):
+    found = structure.cycles(demo.trade_graph(spark, sf_dir, 3).edges, local_edges=0)
+    return found.select("cycle", F.array_join("members", ",").alias("members"), "size")
+
+
+BRIDGES = "pr AS (SELECT DISTINCT least(source, target) AS u, greatest(source, target) AS v FROM edges), cut(u, v, at) AS (SELECT u, v, u FROM pr UNION SELECT c.u, c.v, CASE WHEN p.u = c.at THEN p.v ELSE p.u END FROM cut c JOIN pr p ON (p.u = c.at OR p.v = c.at) AND NOT (p.u = c.u AND p.v = c.v)), br AS (SELECT u, v FROM pr WHERE (u, v) NOT IN (SELECT (u, v) FROM cut WHERE at = v))"
+
+
+@query(TRADE1 + f", {BRIDGES} SELECT * FROM br")
+def bridges(spark, sf_dir):
+    return structure.bridges(demo.trade_graph(spark, sf_dir, 1).edges)
+
+
+@query(EVENTS + f", {BRIDGES} SELECT * FROM br")
+def bridges_by_rounds(spark, sf_dir):
+    return structure.bridges(demo.event_graph(spark, sf_dir).edges, local_edges=0)
+
+
+@query(TRADE1 + f", {BRIDGES} SELECT u AS id FROM br UNION SELECT v FROM br")
+def bridge_nodes(spark, sf_dir):
+    return structure.bridge_nodes(structure.bridges(demo.trade_graph(spark, sf_dir, 1).edges))
+
+
+PAGERANK = "out AS (SELECT source, count(*) AS n FROM edges GROUP BY 1), pr(k, id, rank) AS (SELECT 0, id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) FROM nodes UNION ALL SELECT k + 1, id, x / sum(x) OVER () FROM (SELECT p.k, p.id, 0.15::DOUBLE / (SELECT count(*) FROM nodes) + coalesce((SELECT sum(0.85::DOUBLE * q.rank / o.n) FROM edges e JOIN pr q ON q.id = e.source JOIN out o ON o.source = e.source WHERE e.target = p.id), 0) AS x FROM pr p WHERE p.k < 30))"
+
+
+@query(TRADE3 + f", {PAGERANK} SELECT id, CAST(round(rank * 10000) AS BIGINT) AS pr FROM pr WHERE k = 30")
+def pagerank(spark, sf_dir):
+    found = centrality.pagerank(demo.trade_graph(spark, sf_dir, 3), tolerance=0.0)
+    return found.select("id", F.round(F.col("pagerank") * 10000).cast("long").alias("pr"))
+
+
+PATHS = "lv(d, s, id, paths) AS (SELECT 0, id, id, 1.0::DOUBLE FROM nodes UNION ALL SELECT l.d + 1, l.s, e.target, sum(l.paths) FROM lv l JOIN edges e ON e.source = l.id WHERE l.d < 25 GROUP BY 1, 2, 3), sp AS (SELECT s, id, d AS dist, paths FROM lv QUALIFY row_number() OVER (PARTITION BY s, id ORDER BY d) = 1)"
+
+
+@query(TRADE3 + f", {PATHS}, r AS (SELECT s, count(*) AS r, sum(dist) AS t FROM sp WHERE dist > 0 GROUP BY 1) SELECT n.id, round(CASE WHEN r.r > 1 THEN least(1.0::DOUBLE, (r.r - 1)::DOUBLE / r.t * ((SELECT count(*) FROM nodes) - 1)) ELSE 0.0 END, 6) AS closeness FROM nodes n LEFT JOIN r ON r.s = n.id")
+def closeness(spark, sf_dir):
+    found = centrality.closeness(demo.trade_graph(spark, sf_dir, 3))
+    return found.select("id", F.round("closeness", 6).alias("closeness"))
+
+
+@query(TRADE3 + f", {PATHS}, b AS (SELECT a.id, sum(a.paths * c.paths / z.paths) AS b FROM sp a JOIN sp c ON c.s = a.id JOIN sp z ON z.s = a.s AND z.id = c.id AND z.dist = a.dist + c.dist WHERE a.dist > 0 AND c.dist > 0 AND z.dist > 0 GROUP BY 1) SELECT n.id, round(coalesce(b.b, 0) / (SELECT max(b) FROM b), 6) AS betweenness FROM nodes n LEFT JOIN b USING (id)")
+def betweenness(spark, sf_dir):
+    found = centrality.betweenness(demo.trade_graph(spark, sf_dir, 3))
+    return found.select("id", F.round("betweenness", 6).alias("betweenness"))
+
+
+def _trade_parts(spark, sf_dir):
+    g = demo.trade_graph(spark, sf_dir, 3)
+    return g, domains.assign(g.nodes), domains.hotspots(g, 3)
+
+
+@query(TRADE3 + f", {PAGERANK}, {BRIDGES}, {DEGREES.format(p='')} SELECT row_number() OVER (ORDER BY id) - 1 AS at, id, 0 AS domain_at, CAST(round(rank * 10000) AS BIGINT) AS pr, CASE WHEN in_degree > 3 THEN 2 WHEN in_degree > 2 THEN 1 ELSE 0 END AS risk, CAST(id IN (SELECT u FROM br UNION SELECT v FROM br) AS INTEGER) AS bridge, CAST(in_degree > 3 AS INTEGER) AS hotspot FROM nodes JOIN deg USING (id) JOIN pr USING (id) WHERE k = 30")
+def agent_tier1_nodes(spark, sf_dir):
+    g, doms, hot = _trade_parts(spark, sf_dir)
+    rows = exports.agent_nodes(g, doms, hot, centrality.pagerank(g, tolerance=0.0), structure.bridges(g.edges))
+    return rows.withColumn("at", F.col("at").cast("long"))
+
+
+@query(FK + f", {DOM.format(p='')}, {DEGREES.format(p='')} SELECT 'domain' AS part, domain AS name, count(*) AS n FROM dom GROUP BY 2 UNION ALL (SELECT 'hotspot', id, in_degree FROM deg WHERE in_degree > 3 ORDER BY in_degree DESC, id LIMIT 20)")
+def agent_tier2_summary(spark, sf_dir):
+    g = demo.fk_graph(spark, sf_dir)
+    counts = fk_domains(g).groupBy("domain").agg(F.count("*").alias("n")).select(F.lit("domain").alias("part"), F.col("domain").alias("name"), "n")
+    hot = domains.hotspots(g, 3).limit(exports.TOP_HOTSPOTS)
+    return counts.unionByName(hot.select(F.lit("hotspot").alias("part"), F.col("id").alias("name"), F.col("in_degree").alias("n")))
+
+
+@query(TRADE1 + """SELECT 0 AS section, '0' AS k1, '' AS k2, '' AS k3, 'digraph dependencies {' AS line UNION ALL SELECT 0, '1', '', '', '  rankdir=LR;' UNION ALL SELECT 0, '2', '', '', '  node [shape=box style=filled];'
+UNION ALL SELECT 1, id, '', '', '  "' || id || '" [label="' || id || '" fillcolor="white"];' FROM nodes
+UNION ALL SELECT 2, source, target, '', '  "' || source || '" -> "' || target || '";' FROM edges UNION ALL SELECT 3, '', '', '', '}'""")
+def dot_lines(spark, sf_dir):
+    return exports.dot_lines(demo.trade_graph(spark, sf_dir, 1))
+
+
+@query(TRADE3 + f""", {scc_sql()} SELECT 0 AS section, '' AS k1, '' AS k2, '' AS k3, 'flowchart TD' AS line UNION ALL SELECT 1, 'unknown', '0', '', '  subgraph unknown["unknown"]' UNION ALL SELECT 1, 'unknown', '1', id, '    ' || id || '["' || id || '"]' FROM nodes
+UNION ALL SELECT 1, 'unknown', '2', '', '  end' UNION ALL SELECT 2, source, target, '', '  ' || source || ' --> ' || target FROM edges UNION ALL SELECT 3, '', '', '', '  %% Cycles detected:' WHERE (SELECT count(*) FROM cycs) > 0
+UNION ALL SELECT 4, cycle, '', '', '  %% Cycle: ' || replace(members, ',', ' -> ') || ' -> ' || cycle FROM cycs""")
+def mermaid_lines(spark, sf_dir):
+    g = demo.trade_graph(spark, sf_dir, 3)
+    return exports.mermaid_lines(g, domains.assign(g.nodes), structure.cycles(g.edges))
+
+
+@query(FK + """SELECT id, '{"id":"' || id || '","type":"CLASS","sourcePath":"' || path || '","confidence":"HIGH"}' AS json FROM nodes""")
+def json_nodes(spark, sf_dir):
+    return exports.node_rows(demo.fk_graph(spark, sf_dir))
+
+
+@query(FK + """SELECT source, target, '{"source":"' || source || '","target":"' || target || '","type":"' || type || '","confidence":"HIGH","dynamic":false}' AS json FROM edges""")
+def json_edges(spark, sf_dir):
+    return exports.edge_rows(demo.fk_graph(spark, sf_dir))
+
+
+@query("SELECT * FROM (VALUES ('java', 10), ('js', 1), ('ts', 2), ('vue', 2), ('py', 6), ('xml', 1), ('json', 1)) t(ext, n)")
+def files_by_extension(spark, sf_dir):
+    from tributary.sources.files import by_extension
+
+    return by_extension(fixtures.files(spark)).select("ext", F.col("n").cast("int").alias("n"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in fixtures.PY_IMPORTS) + ") t(path, import)")
+def py_imports(spark, sf_dir):
+    found = frontends.py_imports(fixtures.files(spark, "py"))
+    return found.select("path", "import")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in fixtures.PY_EDGES) + ") t(source, target)")
+def py_edges(spark, sf_dir):
+    g, _ = frontends.graph_of(frontends.python(fixtures.files(spark, "py")))
+    return g.edges.select("source", "target")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in fixtures.JS_EDGES) + ") t(source, target)")
+def js_imports(spark, sf_dir):
+    g, _ = frontends.graph_of(frontends.javascript(fixtures.files(spark, "js", "ts", "vue")))
+    return g.edges.select("source", "target")
+
+
+@query("SELECT * FROM (VALUES ('web/App.vue', true), ('web/Empty.vue', false)) t(path, has_script)")
+def vue_script(spark, sf_dir):
+    return frontends.vue_script(fixtures.files(spark, "vue")).select("path", F.col("content").isNotNull().alias("has_script"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in fixtures.JAVA_EDGES) + ") t(source, target, type)")
+def java_imports(spark, sf_dir):
+    g, _ = frontends.graph_of(frontends.java_frontend(fixtures.files(spark, "java")))
+    return g.edges.select("source", "target", "type")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c or 'NULL'}, {d})" for a, b, c, d in [(a, b, f"'{c}'" if c else None, str(d).lower()) for a, b, c, d in fixtures.DI]) + ") t(source, wanted, target, ambiguous)")
+def di_resolution(spark, sf_dir):
+    return java.di_resolution(java.types(fixtures.files(spark, "java")))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in fixtures.BLIND_SPOTS) + ") t(type, location, description)")
+def blind_spots(spark, sf_dir):
+    return java.blind_spots(fixtures.files(spark, "java", "xml"))
