@@ -15,7 +15,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, forward: bool = False
 
     edges has source and target; starts has target. Dependents are followed
     backwards, dependencies forward. A start isn't visited to begin with, so on a
-    cycle it reaches itself. Long searches cut their lineage every few levels.
+    cycle it reaches itself. Every level is a table of its own, as the next ones read it twice.
     """
     here, there = ("source", "target") if forward else ("target", "source")
     step = edges.select(F.col(here).alias("id"), F.col(there).alias("next")).where("id != next").distinct()
@@ -25,10 +25,9 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, forward: bool = False
         frontier = frontier.join(step, "id").select("target", F.col("next").alias("id")).distinct()
         if seen is not None:
             frontier = frontier.join(seen, ["target", "id"], "left_anti")
-        if d % 4 == 0:
-            frontier = cut(frontier, "frontier")
-            if not frontier.head(1):
-                break
+        frontier = cut(frontier, "frontier")
+        if not frontier.head(1):
+            break
         level = frontier.withColumn("depth", F.lit(d))
         seen = level if seen is None else seen.unionByName(level)
     return starts.select("target", F.col("target").alias("id"), F.lit(0).alias("depth")).limit(0) if seen is None else seen
@@ -70,7 +69,8 @@ def ancestors(graph: Graph, target: str, impacted: DataFrame, depth: int = 3) ->
     spark = graph.nodes.sparkSession
     start = spark.range(1).select(F.lit(target).alias("target"))
     known = impacted.select("id").unionByName(start.select(F.col("target").alias("id"))).distinct()
-    free = graph.edges.join(known.select(F.col("id").alias("target")), "target", "left_anti")
+    # The search reads these edges at every level.
+    free = cut(graph.edges.join(known.select(F.col("id").alias("target")), "target", "left_anti").select("source", "target"), "free")
     return reach(free, start, depth, forward=True).select("id", "depth")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tributary.operators.build import build
 from tributary.schema import Graph
+from tributary.scratch import cut
 
 #: (table, key, domain, class name before and after the key)
 TABLES = (
@@ -73,14 +74,15 @@ def fk_dependencies(spark: SparkSession, sf_dir: str, cutoff: str | None = None,
 
 
 def fk_graph(spark: SparkSession, sf_dir: str, cutoff: str | None = None, late_type: str = "USES") -> Graph:
-    return build(fk_modules(spark, sf_dir, cutoff), fk_dependencies(spark, sf_dir, cutoff, late_type))
+    g = build(fk_modules(spark, sf_dir, cutoff), fk_dependencies(spark, sf_dir, cutoff, late_type))
+    return Graph(cut(g.nodes, "nodes"), cut(g.edges, "edges"))
 
 
 def plain_graph(nodes: DataFrame, edges: DataFrame) -> Graph:
     """A graph of bare ids: nodes has id, edges has source and target."""
     n = nodes.select("id", F.lit("MODULE").alias("type"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("source_path"), F.array().cast("array<string>").alias("tags"), F.lit("HIGH").alias("confidence"), F.lit(0).cast("long").alias("seq"))
     e = edges.where("source != target").select("source", "target").distinct()
-    return Graph(n, e.select("source", "target", F.lit("IMPORTS").alias("type"), F.lit("HIGH").alias("confidence"), F.lit(False).alias("dynamic"), F.lit(None).cast("string").alias("evidence"), F.lit(0).cast("long").alias("seq")))
+    return Graph(cut(n, "nodes"), cut(e.select("source", "target", F.lit("IMPORTS").alias("type"), F.lit("HIGH").alias("confidence"), F.lit(False).alias("dynamic"), F.lit(None).cast("string").alias("evidence"), F.lit(0).cast("long").alias("seq")), "edges"))
 
 
 def trade_graph(spark: SparkSession, sf_dir: str, k: int) -> Graph:

@@ -17,7 +17,7 @@ from tributary.sources import frontends, java
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
-UNTIL = "2024-01-16"
+UNTIL = "2024-01-03"
 CRITICAL = ["supplier1", "order7"]
 CONFIG = [("places", "tpch.geo"), ("trade", "tpch.sales"), ("trade", "tpch.catalog")]
 START = "tpch.geo.region.Region0Entity"
@@ -185,8 +185,8 @@ def impact_single(spark, sf_dir):
     return _impact(spark, sf_dir, START)
 
 
-def _impact(spark, sf_dir, start):
-    g = demo.fk_graph(spark, sf_dir)
+def _impact(spark, sf_dir, start, g=None):
+    g = g or demo.fk_graph(spark, sf_dir)
     return impact.impact(g, spark.range(1).select(F.lit(start).alias("target")), 3, fk_domains(g))
 
 
@@ -218,7 +218,7 @@ def impact_layer_breakdown(spark, sf_dir):
 @query(FK + ", " + reach_sql("edges", f"SELECT '{ORDER}' AS id", 3, True) + "SELECT id, depth FROM reach")
 def ancestors3(spark, sf_dir):
     g = demo.fk_graph(spark, sf_dir)
-    return impact.ancestors(g, ORDER, _impact(spark, sf_dir, ORDER), 3)
+    return impact.ancestors(g, ORDER, _impact(spark, sf_dir, ORDER, g), 3)
 
 
 @query(IMPACT + f", t AS (SELECT '{START}' AS id, 0 AS tier UNION ALL SELECT id, 1 FROM reach UNION ALL SELECT id, 2 FROM dom WHERE domain = 'region') SELECT id, min(tier) AS tier FROM t GROUP BY 1")
@@ -367,7 +367,7 @@ def scc_by_rounds(spark, sf_dir):
     return found.select("cycle", F.array_join("members", ",").alias("members"), "size")
 
 
-BRIDGES = "pr AS (SELECT DISTINCT least(source, target) AS u, greatest(source, target) AS v FROM edges), cut(u, v, at) AS (SELECT u, v, u FROM pr UNION SELECT c.u, c.v, CASE WHEN p.u = c.at THEN p.v ELSE p.u END FROM cut c JOIN pr p ON (p.u = c.at OR p.v = c.at) AND NOT (p.u = c.u AND p.v = c.v)), br AS (SELECT u, v FROM pr WHERE (u, v) NOT IN (SELECT (u, v) FROM cut WHERE at = v))"
+BRIDGES = "pr AS (SELECT DISTINCT least(source, target) AS u, greatest(source, target) AS v FROM edges), cut(u, v, node) AS (SELECT u, v, u FROM pr UNION SELECT c.u, c.v, CASE WHEN p.u = c.node THEN p.v ELSE p.u END FROM cut c JOIN pr p ON (p.u = c.node OR p.v = c.node) AND NOT (p.u = c.u AND p.v = c.v)), br AS (SELECT u, v FROM pr WHERE (u, v) NOT IN (SELECT (u, v) FROM cut WHERE node = v))"
 
 
 @query(TRADE1 + f", {BRIDGES} SELECT * FROM br")
@@ -414,11 +414,11 @@ def _trade_parts(spark, sf_dir):
     return g, domains.assign(g.nodes), domains.hotspots(g, 3)
 
 
-@query(TRADE3 + f", {PAGERANK}, {BRIDGES}, {DEGREES.format(p='')} SELECT row_number() OVER (ORDER BY id) - 1 AS at, id, 0 AS domain_at, CAST(round(rank * 10000) AS BIGINT) AS pr, CASE WHEN in_degree > 3 THEN 2 WHEN in_degree > 2 THEN 1 ELSE 0 END AS risk, CAST(id IN (SELECT u FROM br UNION SELECT v FROM br) AS INTEGER) AS bridge, CAST(in_degree > 3 AS INTEGER) AS hotspot FROM nodes JOIN deg USING (id) JOIN pr USING (id) WHERE k = 30")
+@query(TRADE3 + f", {PAGERANK}, {BRIDGES}, {DEGREES.format(p='')} SELECT row_number() OVER (ORDER BY id) - 1 AS node_index, id, 0 AS domain_index, CAST(round(rank * 10000) AS BIGINT) AS pr, CASE WHEN in_degree > 3 THEN 2 WHEN in_degree > 2 THEN 1 ELSE 0 END AS risk, CAST(id IN (SELECT u FROM br UNION SELECT v FROM br) AS INTEGER) AS bridge, CAST(in_degree > 3 AS INTEGER) AS hotspot FROM nodes JOIN deg USING (id) JOIN pr USING (id) WHERE k = 30")
 def agent_tier1_nodes(spark, sf_dir):
     g, doms, hot = _trade_parts(spark, sf_dir)
     rows = exports.agent_nodes(g, doms, hot, centrality.pagerank(g, tolerance=0.0), structure.bridges(g.edges))
-    return rows.withColumn("at", F.col("at").cast("long"))
+    return rows.withColumnsRenamed({"at": "node_index", "domain_at": "domain_index"}).withColumn("node_index", F.col("node_index").cast("long"))
 
 
 @query(FK + f", {DOM.format(p='')}, {DEGREES.format(p='')} SELECT 'domain' AS part, domain AS name, count(*) AS n FROM dom GROUP BY 2 UNION ALL (SELECT 'hotspot', id, in_degree FROM deg WHERE in_degree > 3 ORDER BY in_degree DESC, id LIMIT 20)")

@@ -132,7 +132,7 @@ def agent_json(graph: Graph, domains: DataFrame, cycles: DataFrame, hotspots: Da
     out["hotspots"] = [{"id": r.id, "pr": r.pagerank, "dependents": r.in_degree} for r in hot.collect()]
     out["bridges"] = [f"{r.u}->{r.v}" for r in pairs.orderBy("u", "v").limit(TOP_BRIDGES if capped else TIER2).collect()]
     out["bs"] = _spots(blind_spots)
-    shorts = cycles.withColumn("names", F.array_join(F.transform("members", short_name), "->"))
+    shorts = cycles.withColumn("names", F.array_join(F.transform("members", lambda m: short_name(m)), "->"))
     out["cycles"] = [[r.names, r.size] for r in shorts.select("cycle", "names", F.col("size")).orderBy("cycle").limit(TOP_CYCLES).collect()]
     if capped:
         out["hint"] = "Name a target for its impact alone"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import subprocess
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,13 @@ def scan(spark: SparkSession, root: str, extensions: list[str] | None = None) ->
     The listing and the size filter are done before any content is read.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    # Spark lists empty files but makes no rows of them.
+    listed = spark.createDataFrame([(unquote(p),) for p in rows.inputFiles()], "path string")
     base = root if "://" in root else f"file:{os.path.abspath(root)}"
-    rows = rows.withColumn("path", relative(F.regexp_replace("path", "^file:/+", "file:/"), base))
+    below = lambda df: df.withColumn("path", relative(F.regexp_replace("path", "^file:/+", "file:/"), base))
+    rows = below(rows.select("path", "content", "length"))
+    empty = below(listed).join(rows.select("path"), "path", "left_anti")
+    rows = rows.unionByName(empty.select("path", F.lit("").cast("binary").alias("content"), F.lit(0).cast("long").alias("length")))
     keep = ~F.concat(F.lit("/"), "path").rlike("/(" + "|".join(x.replace(".", r"\.") for x in EXCLUDED) + ")/")
     rows = rows.where(keep)
     if extensions:
