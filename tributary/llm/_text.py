@@ -63,7 +63,45 @@ class Memo:
         return list(map(self.young.__getitem__, words))
 
 
-def slices(batch, column: str, most: int = 6 << 20):
+class Lexicon:
+    """Ids of words, looked up for a whole Arrow array at a time; starts anew beyond a number of words.
+
+    learn gives the ids of an array of distinct new words, one after the other, and how many each has.
+    """
+
+    def __init__(self, learn, size: int):
+        self.learn, self.size = learn, size
+        self._clear()
+
+    def _clear(self) -> None:
+        import numpy as np
+        import pyarrow as pa
+
+        self.words, self.pool = pa.array([], pa.string()), np.zeros(0, "<u4")
+        self.starts = self.sizes = np.zeros(0, np.int64)
+
+    def __call__(self, words):
+        """The pool of ids, and where in it the ids of each of the distinct words start and how many there are."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.words) > self.size:
+            self._clear()
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            ids, sizes = self.learn(new := words.filter(at.is_null()))
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+            self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
+            index = at.fill_null(-1).to_numpy().astype(np.int64)
+            index[index < 0] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, new])
+        else:
+            index = at.to_numpy()
+        return self.pool, self.starts[index], self.sizes[index]
+
+
+def slices(batch, column: str, most: int = 8 << 20):
     """The batch in stretches of rows of about so many bytes of text, one row at least."""
     import numpy as np
 
@@ -76,20 +114,46 @@ def slices(batch, column: str, most: int = 6 << 20):
         at = end
 
 
-def spread(words, look):
-    """Ids of documents from the words of each (an Arrow list array): all ids, and where each document's start.
-
-    look gives the ids of distinct words, as little-endian unsigned 32-bit integers.
-    """
+def spread(words, lexicon: Lexicon):
+    """Ids of documents from the words of each (an Arrow list array): all ids, and where each document's start."""
     import numpy as np
 
     coded = words.flatten().dictionary_encode()
     index = coded.indices.to_numpy()
-    raw = look(coded.dictionary.to_pylist())
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
-    pool = np.frombuffer(b"".join(raw), "<u4")
-    each = sizes[index]
-    ends = np.concatenate([[0], np.cumsum(each)])
-    ids = pool[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], each)]
+    pool, starts, sizes = lexicon(coded.dictionary)
+    ids, ends = gather(pool, starts[index], sizes[index])
     offsets = words.offsets.to_numpy()
     return ids, ends[offsets - offsets[0]]
+
+
+def gather(pool, starts, sizes):
+    """Stretches of a pool, one after the other, and where each of them starts in the result (and the last one's end)."""
+    import numpy as np
+
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    kind = np.int32 if max(ends[-1], len(pool)) < 1 << 31 else np.int64
+    return pool[np.arange(ends[-1], dtype=kind) + np.repeat((starts - ends[:-1]).astype(kind), sizes)], ends
+
+
+def of_bytes(raw: list[bytes]):
+    """Ids as 4 bytes each, one after the other, and how many each item has."""
+    import numpy as np
+
+    return np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
+
+
+#: Punctuation that is taken off the ends of words, so that fewer are distinct.
+TAIL = ".,;:!?"
+
+
+def without_tails(words):
+    """Distinct words (an Arrow array) without punctuation after an ASCII letter or digit, and that punctuation (mostly empty)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    bare = pc.utf8_rtrim(words, characters=TAIL)
+    cut = pc.if_else(pc.match_substring_regex(bare, "[0-9A-Za-z]$"), bare, words)
+    off, tails = pc.subtract(pc.binary_length(words), pc.binary_length(cut)).to_numpy(), [""] * len(words)
+    for i in np.flatnonzero(off).tolist():
+        tails[i] = words[i].as_py()[-off[i] :]
+    return cut, tails

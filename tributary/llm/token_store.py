@@ -40,13 +40,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tributary.llm._text import Memo, slices, spread
+from tributary.llm._text import Lexicon, gather, slices, spread, without_tails
 
 END_ID = 1
 #: A cut is where the rolling hash of the last ROLL ids has CUT_BITS zero bits, at least MIN_IDS and at most MAX_IDS after the last one.
 ROLL, CUT_BITS, MIN_IDS, MAX_IDS = 4, 8, 64, 2048
-#: Words whose ids a worker remembers (in each of two generations), and chunks whose digests a task remembers.
-WORDS, SEEN = 600_000, 400_000
+#: Words whose ids a worker remembers, and chunks whose digests a task remembers.
+WORDS, SEEN = 1_500_000, 400_000
 
 
 class Encoder:
@@ -67,49 +67,50 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known, self.parts = Memo(WORDS), Memo(WORDS)
+        self.lexicon = Lexicon(self.learn, WORDS)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's start (and the last one's end); none for null and empty."""
-        return spread(pc.ascii_split_whitespace(texts.fill_null("")), lambda words: self.known.resolve(words, self.learn))
-
-    def learn(self, words: list[str]) -> None:
-        new = [(w, self.pieces(w)) for w in words]
-        self.encode(self.parts.missing({p for _, ps in new for p in ps}))
-        known, parts = self.known.young, self.parts.young
-        for w, ps in new:
-            known[w] = b"".join(map(parts.__getitem__, ps))
-
-    @staticmethod
-    def pieces(stretch: str) -> tuple[str, ...]:
-        if "<|" in stretch:  # may hold a special token, which has a case
-            return (stretch,)
-        word = stretch.rstrip(".,;:!?")
-        low = word.lower() if word.isascii() else word
-        if len(word) == len(stretch):
-            return (low,)
-        if word and word[-1].isascii() and word[-1].isalnum():
-            return low, stretch[len(word) :]
-        return (stretch,)
-
-    def encode(self, parts: list[str]) -> None:
-        known = self.parts.young
-        letters, others = [p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]
-        for i in range(0, len(letters), 1000):
-            some = letters[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        return spread(pc.ascii_split_whitespace(texts.fill_null("")), self.lexicon)
+
+    def learn(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        # Special tokens have a case, and are left whole.
+        special = pc.match_substring(stretches, "<|")
+        words, tails = without_tails(pc.if_else(special, stretches, pc.ascii_lower(stretches)))
+        coded, kinds = words.dictionary_encode(), {t: i for i, t in enumerate(sorted(set(tails)))}
+        parts = [*coded.dictionary.to_pylist(), *kinds]
+        pool, starts, sizes = self.encode(parts)
+        each = np.empty(2 * len(stretches), np.int64)  # a stretch's word, then its tail
+        each[::2] = coded.indices.to_numpy()
+        each[1::2] = len(coded.dictionary) + np.fromiter(map(kinds.__getitem__, tails), np.int64, len(tails))
+        return gather(pool, starts[each], sizes[each])[0], sizes[each].reshape(-1, 2).sum(axis=1)
+
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where in it those of each part start and how many they are."""
+        letters, others = [i for i, p in enumerate(parts) if p.isalpha()], [i for i, p in enumerate(parts) if not p.isalpha()]
+        found, sizes, order = [], [], []
+        for at in range(0, len(letters), 1000):
+            some = letters[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([parts[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):  # letters that normalising takes apart
                 others += some
                 continue
-            raw, last = ids.tobytes(), 0
-            for p, stop in zip(some, (4 * stops).tolist(), strict=True):
-                known[p] = raw[last:stop]
-                last = stop
-        for i in range(0, len(others), 1000):
-            some = others[i : i + 1000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
+            found.append(ids)
+            sizes.append(np.diff(stops, prepend=0))
+            order += some
+        for at in range(0, len(others), 1000):
+            some = others[at : at + 1000]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([parts[i] for i in some], add_special_tokens=False)]
+            found.append(np.array([x for ids in lists for x in ids], "<u4"))
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            order += some
+        all_sizes = np.zeros(len(parts), np.int64)
+        starts = np.zeros(len(parts), np.int64)
+        if order:
+            flat = np.concatenate(sizes)
+            all_sizes[order], starts[order] = flat, np.cumsum(flat) - flat
+        return np.concatenate([np.zeros(0, "<u4"), *found]), starts, all_sizes
 
 
 _ENCODERS: dict[str, Encoder] = {}
