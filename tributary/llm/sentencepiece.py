@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm._text import Memo, ddl, row_batch, slices, spread
+from tributary.llm._text import TAIL, Lexicon, Memo, ddl, of_bytes, row_batch, slices, spread, without_tails
 
 MARK = "▁"
 _NEVER = float("inf")
@@ -61,10 +61,12 @@ class Model:
                 self.out[i] = piece.replace(MARK, " ").encode()
         if any(re.search(f"[^{MARK}]{MARK}|\\n|\\0", p) for p in self.rank):
             raise ValueError("the vocabulary has pieces that span words")
+        #: Whether no piece goes from a letter or digit to punctuation, so that these can be encoded apart.
+        self.tails = not any(re.search(f"[0-9A-Za-z][{re.escape(TAIL)}]", p) for p in self.rank)
         self.lengths = [len(self.piece.get(i, "")) for i in range(n)]
         self.histories: dict[str, list] = {}
         self.steps: dict[int, bool] = {}
-        self.words = Memo(WORDS)
+        self.words, self.lexicon = Memo(WORDS), Lexicon(self.learn, WORDS)
         self._automaton()
 
     def _automaton(self) -> None:
@@ -146,6 +148,14 @@ class Model:
             known = self.histories[piece] = self.merges(piece) if piece else [(_NEVER, "", "")]
         return known
 
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words: of what is before the punctuation at their ends, and of that."""
+        cut, tails = without_tails(words) if self.tails else (words, [""] * len(words))
+        coded = cut.dictionary_encode()
+        ids = self.words.resolve(coded.dictionary.to_pylist(), self.search)
+        ends = dict(zip(kinds := list(set(tails)), self.words.resolve(kinds, self.search), strict=True))
+        return of_bytes([ids[i] + ends[t] if t else ids[i] for i, t in zip(coded.indices.to_pylist(), tails, strict=True)])
+
     def search(self, words: list[str]) -> None:
         """Remembers the ids of distinct words."""
         following, ending, moves, steps, lengths, known = self.next, self.ending, self.moves, self.steps, self.lengths, self.words.young
@@ -189,7 +199,7 @@ class Model:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's start (and the last one's end); none for null and empty."""
-        return spread(marked_words(texts), lambda words: self.words.resolve(words, self.search))
+        return spread(marked_words(texts), self.lexicon)
 
     def decode(self, ids) -> str:
         """The text of ids: without the mark that encoding put before it."""
