@@ -367,7 +367,7 @@ def scc_by_rounds(spark, sf_dir):
     return found.select("cycle", F.array_join("members", ",").alias("members"), "size")
 
 
-BRIDGES = "pr AS (SELECT DISTINCT least(source, target) AS u, greatest(source, target) AS v FROM edges), cut(u, v, node) AS (SELECT u, v, u FROM pr UNION SELECT c.u, c.v, CASE WHEN p.u = c.node THEN p.v ELSE p.u END FROM cut c JOIN pr p ON (p.u = c.node OR p.v = c.node) AND NOT (p.u = c.u AND p.v = c.v)), br AS (SELECT u, v FROM pr WHERE (u, v) NOT IN (SELECT (u, v) FROM cut WHERE node = v))"
+BRIDGES = "pairs AS (SELECT DISTINCT least(source, target) AS u, greatest(source, target) AS v FROM edges), cut(u, v, node) AS (SELECT u, v, u FROM pairs UNION SELECT c.u, c.v, CASE WHEN p.u = c.node THEN p.v ELSE p.u END FROM cut c JOIN pairs p ON (p.u = c.node OR p.v = c.node) AND NOT (p.u = c.u AND p.v = c.v)), br AS (SELECT u, v FROM pairs WHERE (u, v) NOT IN (SELECT (u, v) FROM cut WHERE node = v))"
 
 
 @query(TRADE1 + f", {BRIDGES} SELECT * FROM br")
