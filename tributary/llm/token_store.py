@@ -46,7 +46,7 @@ END_ID = 1
 #: A cut is where the rolling hash of the last ROLL ids has CUT_BITS zero bits, at least MIN_IDS and at most MAX_IDS after the last one.
 ROLL, CUT_BITS, MIN_IDS, MAX_IDS = 4, 8, 64, 2048
 #: Words whose ids a worker remembers, and chunks whose digests a task remembers.
-WORDS, SEEN = 1_500_000, 400_000
+WORDS, SEEN = 800_000, 300_000
 
 
 class Encoder:
