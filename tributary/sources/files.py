@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import subprocess
-from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.functions.names import extension, relative
+from tributary.functions.names import extension
 from tributary.schema import FILES
 
 #: Larger files are reported and not parsed.
@@ -21,21 +22,40 @@ EXCLUDED = ("node_modules", ".git", "target", "build", "dist", ".gradle")
 def scan(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
     """(path, content, length) of files below root, paths relative to it; content is null beyond MAX_BYTES.
 
-    The listing and the size filter are done before any content is read.
+    Excluded folders aren't entered and large files aren't read. Spark's own
+    readers skip names that start with an underscore, as __init__.py does, so
+    the listing is done here; tasks read the contents from the shared root.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    # Spark lists empty files but makes no rows of them.
-    listed = spark.createDataFrame([(unquote(p),) for p in rows.inputFiles()], "path string")
-    base = root if "://" in root else f"file:{os.path.abspath(root)}"
-    below = lambda df: df.withColumn("path", relative(F.regexp_replace("path", "^file:/+", "file:/"), base))
-    rows = below(rows.select("path", "content", "length"))
-    empty = below(listed).join(rows.select("path"), "path", "left_anti")
-    rows = rows.unionByName(empty.select("path", F.lit("").cast("binary").alias("content"), F.lit(0).cast("long").alias("length")))
-    keep = ~F.concat(F.lit("/"), "path").rlike("/(" + "|".join(x.replace(".", r"\.") for x in EXCLUDED) + ")/")
-    rows = rows.where(keep)
-    if extensions:
-        rows = rows.where(extension(F.col("path")).isin(*extensions))
-    return rows.select("path", F.when(F.col("length") <= MAX_BYTES, F.decode("content", "UTF-8")).alias("content"), "length")
+    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
+    rows = [(p, n) for p, n in _walk(uri) if not extensions or os.path.splitext(p)[1][1:] in extensions]
+    listed = spark.createDataFrame(rows, "path string, length long").repartition(max(1, len(rows) // 500))
+
+    def load(batches):
+        files, base = fs.FileSystem.from_uri(uri)
+        for b in batches:
+            texts = []
+            for path, length in zip(b["path"].to_pylist(), b["length"].to_pylist(), strict=True):
+                text = None
+                if length <= MAX_BYTES:
+                    with files.open_input_file(f"{base}/{path}") as f:
+                        text = f.read().decode("utf-8", "replace")
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([b["path"], pa.array(texts, pa.string()), b["length"]], names=["path", "content", "length"])
+
+    return listed.mapInArrow(load, FILES)
+
+
+def _walk(uri: str):
+    """(relative path, size) of files, folder by folder."""
+    files, base = fs.FileSystem.from_uri(uri)
+    todo = [base]
+    while todo:
+        for info in files.get_file_info(fs.FileSelector(todo.pop())):
+            if info.type == fs.FileType.Directory:
+                if info.base_name not in EXCLUDED:
+                    todo.append(info.path)
+            elif info.type == fs.FileType.File:
+                yield info.path[len(base.rstrip("/")) + 1 :], info.size
 
 
 def too_large(files: DataFrame) -> DataFrame:
