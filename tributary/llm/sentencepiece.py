@@ -37,7 +37,7 @@ from tributary.llm._text import TAIL, Lexicon, Memo, ddl, of_bytes, row_batch, s
 MARK = "▁"
 _NEVER = float("inf")
 #: Words whose ids (in each of two generations), and pairs of pieces whose steps, a worker remembers.
-WORDS, STEPS = 500_000, 600_000
+WORDS, STEPS = 150_000, 300_000
 
 
 class Model:
@@ -249,7 +249,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         model = load(vocabulary)
         for whole in batches:
-            for b in slices(whole, text_col):
+            for b in slices(whole, text_col, 2 << 20):
                 texts = b[text_col].to_pylist()
                 every, starts = model.encode(b[text_col])
                 ids = [every[i:j] for i, j in pairwise(starts.tolist())]
