@@ -50,26 +50,86 @@ _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _BROKEN = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
 
 
+#: Layout parts that wrappers around an article are named after too (no-sidebar, header-fixed), and what else such names have.
+LAYOUT = {"ad", "ads", "banner", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "sidebar", "toolbar", "widget", "widgets"}
+WRAPS = {"body", "container", "content", "fixed", "free", "has", "have", "hidden", "layout", "no", "not", "page", "sticky", "with", "without", "wrap", "wrapper"}
+#: Why an element is kept out: by its tag, state or role; by class and id; by these, but named like a layout; and likely a wrapper.
+KEPT, HARD, SOFT, MIXED, WRAPPER = range(5)
+
+
 class Node:
-    """An open element: its path, whether it is kept out, and the class and id that tell it from its like."""
+    """An element: its path, its parent, why it would be kept out by itself, and whether it is kept out."""
 
-    __slots__ = ("name", "path", "out")
+    __slots__ = ("name", "path", "parent", "noise", "out")
 
-    def __init__(self, name: str, path: str, out: bool):
-        self.name, self.path, self.out = name, path, out
+    def __init__(self, name: str, path: str, parent: Node | None, noise: int):
+        self.name, self.path, self.parent, self.noise = name, path, parent, noise
+        self.out = bool(noise) or (parent is not None and parent.out)
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip() else {}
 
 
-def _noise(name: str, attributes: dict[str, str]) -> bool:
-    if name in DROPPED or "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES:
-        return True
+def _noise(name: str, attributes: dict[str, str]) -> int:
+    if (name in DROPPED and name != "form") or "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES:
+        return HARD
     if name in ("html", "body", "article", "main"):
-        return False
+        return KEPT
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return any(w in NOISE for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
+    words = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()) if w}
+    noise = words & NOISE
+    if not noise:
+        return WRAPPER if name == "form" else KEPT
+    if not noise <= LAYOUT or noise == words:
+        return SOFT
+    return WRAPPER if words & WRAPS else MIXED
+
+
+def _above(node: Node | None):
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _lift(found: list[tuple[str, Node, str]]) -> None:
+    """Wrappers of the article are no noise, whatever they are called.
+
+    Where all articles of a page are below noisy classes or forms, that with the
+    most text is kept (main first), where its wrappers are named like a layout.
+    In a page without any, a wrapper is one that holds over half of the text.
+    """
+    if not any(kind == "open" and node.noise > HARD for kind, node, _ in found):
+        return
+    kept, articles, groups = 0, {}, {}
+    for kind, node, text in found:
+        size = len(text.strip()) if kind == "text" else 0
+        if not size:
+            continue
+        if not node.out:
+            if any(a.name in ("article", "main") for a in _above(node)):
+                return
+            kept += size
+            continue
+        chain = [a for a in _above(node) if a.noise]
+        if any(a.noise == HARD for a in chain):
+            continue
+        inner = next(a for a in _above(node) if a.noise or a.name in ("article", "main"))
+        if not inner.noise and (inner.name == "main" or all(a.noise >= MIXED for a in chain)):
+            articles[inner] = articles.get(inner, 0) + size
+        if all(a.noise == WRAPPER for a in chain):
+            groups[tuple(chain)] = groups.get(tuple(chain), 0) + size
+    lifted: set = set()
+    if articles:
+        lifted = set(_above(max(articles, key=lambda a: (a.name == "main", articles[a]))))
+    elif groups:
+        fewest = min(map(len, groups))
+        best = max((g for g in groups if len(g) == fewest), key=groups.get)
+        lifted = set(best) if groups[best] > kept else set()
+    for kind, node, _ in found if lifted else ():
+        if kind == "open":
+            node.noise = KEPT if node in lifted else node.noise
+            node.out = bool(node.noise) or node.parent.out
 
 
 def tokens(page: str):
@@ -78,14 +138,21 @@ def tokens(page: str):
     kind: open, close or text. path names the element from the root, with class
     and id; out says that the place is one that the article never has.
     """
-    stack = [Node("", "", False)]
+    found = list(_parsed(page))
+    _lift(found)
+    return ((kind, node.path, text, node.out) for kind, node, text in found)
+
+
+def _parsed(page: str):
+    """(kind, node, text) of each token, before any wrapper is lifted."""
+    stack = [Node("", "", None, KEPT)]
     at, raw_until = 0, ""
 
     def pop(k):
         out = []
         while len(stack) > k:
             node = stack.pop()
-            out.append(("close", node.path, "", node.out))
+            out.append(("close", node, ""))
         return out
 
     page = _BROKEN.sub("", page)
@@ -97,7 +164,7 @@ def tokens(page: str):
             continue
         m = _TOKEN.search(page, at)
         if m is None or m.start() > at:
-            yield "text", stack[-1].path, page[at : m.start() if m else len(page)], stack[-1].out
+            yield "text", stack[-1], page[at : m.start() if m else len(page)]
         if m is None:
             break
         at = m.end()
@@ -127,8 +194,8 @@ def tokens(page: str):
             if stack[k].name in BLOCK:
                 break
         mark = "".join(f".{w}" for w in sorted(attributes.get("class", "").split())[:3]) + (f"#{attributes['id']}" if attributes.get("id") else "")
-        node = Node(name, f"{stack[-1].path}>{name}{mark}", stack[-1].out or _noise(name, attributes))
-        yield "open", node.path, name, node.out
+        node = Node(name, f"{stack[-1].path}>{name}{mark}", stack[-1], _noise(name, attributes))
+        yield "open", node, name
         if name in VOID:
             continue
         stack.append(node)
@@ -137,7 +204,7 @@ def tokens(page: str):
     yield from pop(1)
 
 
-def blocks(page: str) -> list[tuple[str, str, bool]]:
+def blocks(page: str, found=None) -> list[tuple[str, str, bool]]:
     """(path of the nearest enclosing block, text, out) in page order; text decoded, white space single, not empty."""
     out: list[tuple[str, str, bool]] = []
     parts: list[str] = []
@@ -149,7 +216,7 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
         if text:
             out.append((where, text, skip))
 
-    for kind, path, text, noise in tokens(page):
+    for kind, path, text, noise in tokens(page) if found is None else found:
         if kind == "text":
             here = _block_path(path)
             if here != where or noise != skip:
@@ -180,10 +247,11 @@ def host_of(url: Column) -> Column:
 def _counted(page: str) -> Counter:
     """Occurrences of the page's tokens: paths of blocks that open, and text runs, each with its length."""
     found: Counter = Counter()
-    for kind, path, _, noise in tokens(page):
+    parsed = list(tokens(page))
+    for kind, path, _, noise in parsed:
         if kind == "open" and not noise:
             found[path, 0] += 1
-    for path, text, noise in blocks(page):
+    for path, text, noise in blocks(page, parsed):
         if not noise:
             found[f"{path}\0{text}", len(text)] += 1
     return found
