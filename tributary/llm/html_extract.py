@@ -3,15 +3,16 @@
 A page is a sequence of tokens: tags, each with its path from the root, and
 runs of text between them. For every host, tokens that have the same occurrence
 vector (how often each page has them) form an equivalence class. Vectors aren't
-gathered: a vector is represented by its support (number of pages) and the XOR of
-a hash of page and count, which both are partial aggregates, so a host with a
-third of all pages is no hot group.
+gathered: of each, the number of pages that have the token once is counted by a
+partial aggregate, so a host with a third of all pages is no hot group.
 
-Classes that enough of the host's pages have are valid where their tags are
-ordered and nested; together, nested by path, they are the host's template. What
-lies between template tags are its slots. The slot of the article is the one that
-the article's own tags open and, where a host has none, the slot with the most
-text of its own, as opposed to text runs that the template itself repeats.
+Tags that enough of the host's pages have exactly once are, nested by path, the
+host's template; ids and numbered classes that few pages share aren't part of
+paths. What lies between template tags are its slots. The slot of the article is
+the one that the article's own tags open and, where a host has none, the slot
+with the most text of its own, as opposed to text runs that the template itself
+repeats. A page's own article in such a slot is taken out of it, and from a slot
+that is the whole page such runs are dropped.
 
 From that slot come the blocks of text; menus, headers, footers, sidebars,
 notices, adverts, forms and comments of readers inside or around it are dropped
@@ -33,6 +34,8 @@ from tributary.scratch import cut
 
 #: A class of tokens belongs to the template if this part of the host's pages have it, and so many pages at least.
 SUPPORT, MIN_PAGES = 0.5, 3
+#: An id, or a class word with digits, tells elements apart if this part of the host's pages have it, and two at least.
+SHARED = 0.05
 
 # Element names of the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -47,6 +50,7 @@ NOISE = {"ad", "ads", "adv", "advert", "advertisement", "adverts", "banner", "br
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+_DIGIT = re.compile("[0-9]")
 _BROKEN = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
 
 
@@ -132,18 +136,19 @@ def _lift(found: list[tuple[str, Node, str]]) -> None:
             node.out = bool(node.noise) or node.parent.out
 
 
-def tokens(page: str):
+def tokens(page: str, ids: list[str] | None = None):
     """(kind, path, text, out) of each token in page order.
 
     kind: open, close or text. path names the element from the root, with class
-    and id; out says that the place is one that the article never has.
+    and id; out says that the place is one that the article never has. With ids,
+    paths have only these of the ids and of the class words with digits.
     """
-    found = list(_parsed(page))
+    found = list(_parsed(page, None if ids is None else set(ids)))
     _lift(found)
     return ((kind, node.path, text, node.out) for kind, node, text in found)
 
 
-def _parsed(page: str):
+def _parsed(page: str, ids: set | None):
     """(kind, node, text) of each token, before any wrapper is lifted."""
     stack = [Node("", "", None, KEPT)]
     at, raw_until = 0, ""
@@ -193,7 +198,9 @@ def _parsed(page: str):
                 break
             if stack[k].name in BLOCK:
                 break
-        mark = "".join(f".{w}" for w in sorted(attributes.get("class", "").split())[:3]) + (f"#{attributes['id']}" if attributes.get("id") else "")
+        named = [w for w in attributes.get("class", "").split() if ids is None or w in ids or not _DIGIT.search(w)]
+        own = attributes.get("id", "").strip()
+        mark = "".join(f".{w}" for w in sorted(named)[:3]) + (f"#{own}" if own and (ids is None or own in ids) else "")
         node = Node(name, f"{stack[-1].path}>{name}{mark}", stack[-1], _noise(name, attributes))
         yield "open", node, name
         if name in VOID:
@@ -244,10 +251,10 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _counted(page: str) -> Counter:
+def _counted(page: str, ids: list[str] | None = None) -> Counter:
     """Occurrences of the page's tokens: paths of blocks that open, and text runs, each with its length."""
     found: Counter = Counter()
-    parsed = list(tokens(page))
+    parsed = list(tokens(page, ids))
     for kind, path, _, noise in parsed:
         if kind == "open" and not noise:
             found[path, 0] += 1
@@ -261,8 +268,8 @@ def _counts(batches):
     for whole in batches:
         for b in slices(whole, "html"):
             rows = []
-            for host, key, page in zip(b["host"].to_pylist(), b["key"].to_pylist(), b["html"].to_pylist(), strict=True):
-                found = _counted(page or "")
+            for host, key, page, ids in zip(b["host"].to_pylist(), b["key"].to_pylist(), b["html"].to_pylist(), b["ids"].to_pylist(), strict=True):
+                found = _counted(page or "", ids)
                 rows += [(host, key, None if n else t, hash_text(t) if n else None, t.partition("\0")[0], k, n) for (t, n), k in found.items()]
             names = (("host", pa.string()), ("key", pa.int64()), ("tag", pa.string()), ("run", pa.int64()), ("path", pa.string()), ("times", pa.int32()), ("chars", pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(names)], names=[n for n, _ in names])
@@ -274,49 +281,76 @@ def hash_text(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
+def shared_ids(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, ids): ids, and class words with digits, that enough pages of the host share; one row for each host with min_pages."""
+    sizes = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    values = F.regexp_extract_all("html", F.lit(r"""(?i)\sid\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), F.lit(1))
+    named = F.regexp_extract_all("html", F.lit(r"""(?i)\sclass\s*=\s*("[^"]*[0-9][^"]*"|'[^']*[0-9][^']*'|[^\s>"']*[0-9][^\s>"']*)"""), F.lit(1))
+    bare = lambda x: F.btrim(x, F.lit("\"' \t\n\r\f"))
+    words = F.filter(F.flatten(F.transform(named, lambda x: F.split(bare(x), r"\s+"))), lambda w: w.rlike("[0-9]"))
+    found = pages.select("host", F.explode(F.array_distinct(F.concat(F.transform(values, bare), words))).alias("id"))
+    counts = found.groupBy("host", "id").agg(F.count("*").alias("n")).join(sizes, "host").where(F.col("n") >= F.greatest(F.lit(2), F.lit(SHARED) * F.col("pages")))
+    ids = counts.groupBy("host").agg(F.collect_list("id").alias("ids"))
+    return sizes.select("host").join(ids, "host", "left").select("host", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+
+
 def templates(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, paths, content): the template's tag paths of each host, and the path whose slot holds the article.
+    """(host, content, runs, ids): the path whose slot holds the article, text runs of the template if that is the whole page, and ids of paths.
 
     pages has host, key (of the page) and html. Hosts with fewer than min_pages
     pages have no template and no row.
     """
-    counted = cut(pages.mapInArrow(_counts, "host string, key long, tag string, run long, path string, times int, chars long"), "tokens")
+    ids = cut(shared_ids(pages, min_pages), "ids")
+    counted = cut(pages.join(ids, "host").mapInArrow(_counts, "host string, key long, tag string, run long, path string, times int, chars long"), "tokens")
     sizes = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    vector = F.bit_xor(F.xxhash64("key", "times")).alias("vector")
-    tags = counted.where("tag is not null").groupBy("host", "tag").agg(vector, F.count("*").alias("support"), F.max("times").alias("times"))
-    # Equivalence classes: tokens of a host with one vector. A class that holds once a page is ordered by its paths' nesting.
-    classes = tags.join(sizes, "host").where(F.col("support") >= support * F.col("pages"))
-    classes = classes.withColumn("together", F.count("*").over(_by("host", "vector", "support")))
-    valid = classes.where((F.col("times") == 1) & (F.col("together") >= 2)).select("host", F.col("tag").alias("slot"))
+    # Tags by the pages that have them once; a listing with several articles is one page less.
+    tags = counted.where("tag is not null and times = 1").groupBy("host", "tag").agg(F.count("*").alias("support"))
+    valid = tags.join(sizes, "host").where(F.col("support") >= support * F.col("pages")).select("host", F.col("tag").alias("slot"))
     # Text of its own in the slot of each valid tag: runs that the template's pages don't share.
-    runs = counted.where("run is not null and path != ''").groupBy("host", "path", "run").agg(F.count("*").alias("support"), F.max("chars").alias("chars"))
-    own = runs.join(sizes, "host").where(F.col("support") < F.greatest(F.lit(2), support * F.col("pages"))).groupBy("host", "path").agg(F.sum(F.col("chars") * F.col("support")).alias("chars"))
+    runs = counted.where("run is not null and path != ''").groupBy("host", "path", "run").agg(F.count("*").alias("support"), F.max("chars").alias("chars")).join(sizes, "host")
+    frequent = F.col("support") >= F.greatest(F.lit(2), support * F.col("pages"))
+    own = runs.where(~frequent).groupBy("host", "path").agg(F.sum(F.col("chars") * F.col("support")).alias("chars"))
     # A slot holds its own text and that of the paths below: each path gives its text to all of its ancestors.
     above = own.select("host", "chars", F.explode(F.transform(F.sequence(F.lit(2), F.size(F.split("path", ">"))), lambda k: F.array_join(F.slice(F.split(F.col("path"), ">"), 1, k), ">"))).alias("slot"))
     held = above.groupBy("host", "slot").agg(F.sum("chars").alias("chars")).join(valid, ["host", "slot"])
     named = F.regexp_extract("slot", r">(article|main)(?:[.#][^>]*)?$", 1)
     rank = F.struct((named == "article").cast("int"), (named == "main").cast("int"), "chars", F.length("slot"), "slot")
-    best = held.groupBy("host").agg(F.max_by("slot", rank).alias("content"), F.sum("chars").alias("all"))
-    return best.select("host", "content")
+    best = held.groupBy("host").agg(F.max_by("slot", rank).alias("content"))
+    whole = best.where(F.col("content").rlike(_WHOLE)).select("host")
+    repeated = runs.where(frequent).join(whole, "host", "left_semi").groupBy("host").agg(F.collect_list("run").alias("runs"))
+    return ids.join(best, "host", "left").join(repeated, "host", "left").select("host", "content", "runs", "ids")
 
 
-def _by(*cols):
-    from pyspark.sql.window import Window
+#: Paths of html and body, whose slot is the whole page.
+_WHOLE = r"^(>html(?:[.#][^>]*)?)?(>body(?:[.#][^>]*)?)?$"
 
-    return Window.partitionBy(*cols)
 
-
-def main_text(page: str | None, content: str | None = None) -> str:
+def main_text(page: str | None, content: str | None = None, runs: list[int] | None = None, ids: list[str] | None = None) -> str:
     """The article of one page: the blocks in the article's slot, joined by line ends.
 
-    content is the path of the host's article slot, if a template was deduced.
+    content is the path of the host's article slot, if a template was deduced,
+    with ids in its paths, and runs are text runs of the template. A page's own
+    article or main inside the slot is taken if the slot is the whole page, or if
+    it has half of the slot's text; a whole page without one loses the runs.
     A page that has no such slot falls back to its own article or main element, and
     then to all of its blocks that aren't kept out.
     """
-    found = [b for b in blocks(page or "") if not b[2]]
+    found = [b for b in blocks(page or "", tokens(page or "", ids)) if not b[2]]
     slot = []
     if content:
         slot = [b for b in found if b[0] == content or b[0].startswith(content + ">")]
+    inside = [name for name in ("article", "main") if re.search(f">{name}(?=[.#>]|$)", content or "")]
+    if slot and not inside:
+        whole = re.search(_WHOLE, content)
+        for name in ("article", "main"):
+            own = [b for b in slot if re.search(f">{name}(?=[.#>]|$)", b[0])]
+            if own and (whole or 2 * sum(len(b[1]) for b in own) >= sum(len(b[1]) for b in slot)):
+                slot = own
+                break
+        else:
+            if whole and runs:
+                known = set(runs)
+                slot = [b for b in slot if hash_text(f"{b[0]}\0{b[1]}") not in known] or slot
     for name in ("article", "main"):
         if not slot:
             slot = [b for b in found if re.search(f">{name}(?=[.#>]|$)", b[0])]
@@ -334,12 +368,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(*dict.fromkeys([*out, html_col]))
     plain = rows.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(id_col, url_col).alias("key"), F.col(html_col).alias("html"))
     found = cut(templates(plain), "templates")
-    joined = rows.withColumn("__host", host_of(F.col(url_col))).join(found.withColumnRenamed("host", "__host").withColumnRenamed("content", "__content"), "__host", "left")
+    joined = rows.withColumn("__host", host_of(F.col(url_col))).join(found.select(*[F.col(c).alias(f"__{c}") for c in found.columns]), "__host", "left")
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, html_col):
-                texts = [main_text(p, c) for p, c in zip(b[html_col].to_pylist(), b["__content"].to_pylist(), strict=True)]
+                texts = [main_text(*r) for r in zip(*[b[c].to_pylist() for c in (html_col, "__content", "__runs", "__ids")], strict=True)]
                 yield row_batch(b, out, {"text": (texts, pa.string()), "n_chars": ([len(t) for t in texts], pa.int64())})
 
     return joined.mapInArrow(run, f"{ddl(rows, out)}, text string, n_chars long")
