@@ -444,6 +444,62 @@ def mermaid_lines(spark, sf_dir):
     return exports.mermaid_lines(g, domains.assign(g.nodes), structure.cycles(g.edges))
 
 
+# The same operators over whole graphs, which grow with the tables; trade_graph keeps at most three links of a nation.
+
+
+@query(EVENTS + f", {BRIDGES} SELECT * FROM br")
+def bridges_events(spark, sf_dir):
+    return structure.bridges(demo.event_graph(spark, sf_dir).edges)
+
+
+@query(EVENTS + f", {BRIDGES} SELECT u AS id FROM br UNION SELECT v FROM br")
+def bridge_nodes_events(spark, sf_dir):
+    return structure.bridge_nodes(structure.bridges(demo.event_graph(spark, sf_dir).edges))
+
+
+@query(EVENTS + f", {scc_sql()} SELECT * FROM cycs")
+def scc_by_rounds_events(spark, sf_dir):
+    found = structure.cycles(demo.event_graph(spark, sf_dir).edges, local_edges=0)
+    return found.select("cycle", F.array_join("members", ",").alias("members"), "size")
+
+
+@query()
+def call_depths_cyclic_events(spark, sf_dir):
+    return change.call_depths(demo.event_graph(spark, sf_dir), 3).select("id", "depth")
+
+
+@query()
+def pagerank_events(spark, sf_dir):
+    return centrality.pagerank(demo.event_graph(spark, sf_dir), tolerance=0.0)
+
+
+@query()
+def closeness_events(spark, sf_dir):
+    return centrality.closeness(demo.event_graph(spark, sf_dir))
+
+
+@query()
+def betweenness_events(spark, sf_dir):
+    return centrality.betweenness(demo.event_graph(spark, sf_dir))
+
+
+@query()
+def agent_tier1_nodes_events(spark, sf_dir):
+    g = demo.event_graph(spark, sf_dir)
+    return exports.agent_nodes(g, domains.assign(g.nodes), domains.hotspots(g, 3), centrality.pagerank(g, tolerance=0.0), structure.bridges(g.edges))
+
+
+@query()
+def dot_lines_fk(spark, sf_dir):
+    return exports.dot_lines(demo.fk_graph(spark, sf_dir))
+
+
+@query()
+def mermaid_lines_events(spark, sf_dir):
+    g = demo.event_graph(spark, sf_dir)
+    return exports.mermaid_lines(g, domains.assign(g.nodes), structure.cycles(g.edges))
+
+
 @query(FK + """SELECT id, '{"id":"' || id || '","type":"CLASS","sourcePath":"' || path || '","confidence":"HIGH"}' AS json FROM nodes""")
 def json_nodes(spark, sf_dir):
     return exports.node_rows(demo.fk_graph(spark, sf_dir))
