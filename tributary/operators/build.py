@@ -8,27 +8,39 @@ from pyspark.sql import functions as F
 from tributary.schema import CONFIDENCES, EDGE_TYPES, NODE_TYPES, Graph
 
 
+#: White space as regular expressions have it.
+_SPACE = " \t\n\x0b\f\r"
+
+
 def strip_namespace(id_: Column) -> Column:
     """The id after its first colon; ids that have none, or one at the start, are as they were."""
-    return F.regexp_replace(id_, "^[^:]+:", "")
+    at = F.instr(id_, ":")
+    return F.when(at > 1, F.substring(id_, at + 1, F.length(id_))).otherwise(id_)
 
 
 def malformed(id_: Column) -> Column:
     """Whether a declared id is null, blank, without a namespace, or has nothing on a side of its first colon."""
-    return id_.isNull() | ~F.coalesce(id_, F.lit("")).rlike(r"(?s)^\s*[^:\s][^:]*:.*\S")
+    at, space = F.instr(id_, ":"), F.lit(_SPACE)
+    some = (F.btrim(F.substring_index(id_, ":", 1), space) != "") & (F.btrim(F.substring(id_, at + 1, F.length(id_)), space) != "")
+    return id_.isNull() | (at == 0) | ~some
+
+
+def _failing(rows: DataFrame, bad: Column, told: Column) -> DataFrame:
+    """rows, failing on the first bad one when it is read. A condition, so that the columns stay plain ones for what follows."""
+    return rows.where(F.when(F.coalesce(bad, F.lit(True)), F.raise_error(told).cast("boolean")).otherwise(F.lit(True)))
 
 
 def check_modules(modules: DataFrame) -> DataFrame:
     """modules, failing on the first malformed id or unknown type when it is read."""
     bad = malformed(F.col("id")) | ~F.col("type").isin(*NODE_TYPES) | ~F.col("confidence").isin(*CONFIDENCES)
-    return modules.withColumn("id", F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.concat(F.lit("malformed module declaration: "), F.coalesce("id", F.lit("null"))))).otherwise(F.col("id")))
+    return _failing(modules, bad, F.concat(F.lit("malformed module declaration: "), F.coalesce("id", F.lit("null"))))
 
 
 def check_dependencies(deps: DataFrame) -> DataFrame:
     """deps, failing on the first malformed end or unknown type when it is read."""
     bad = malformed(F.col("source_id")) | malformed(F.col("target_id")) | ~F.col("edge_type").isin(*EDGE_TYPES)
     told = F.concat_ws(" -> ", F.coalesce("source_id", F.lit("null")), F.coalesce("target_id", F.lit("null")))
-    return deps.withColumn("source_id", F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.concat(F.lit("malformed dependency declaration: "), told))).otherwise(F.col("source_id")))
+    return _failing(deps, bad, F.concat(F.lit("malformed dependency declaration: "), told))
 
 
 def collisions(modules: DataFrame) -> DataFrame:
@@ -38,12 +50,6 @@ def collisions(modules: DataFrame) -> DataFrame:
     return found.where("n > 1").select(F.col("bare").alias("id"), "n", "declared")
 
 
-def first_modules(modules: DataFrame) -> DataFrame:
-    """One row an id: the declaration of lowest seq."""
-    rest = [c for c in modules.columns if c not in ("id", "seq")]
-    return modules.groupBy("id").agg(F.min_by(F.struct(*rest), "seq").alias("m"), F.min("seq").alias("seq")).select("id", "m.*", "seq")
-
-
 def warnings(modules: DataFrame, deps: DataFrame) -> DataFrame:
     """(kind, source, target): dependencies left out because an end isn't declared; the source is looked at first."""
     ids = modules.select(F.col("id").alias("known")).distinct()
@@ -53,11 +59,35 @@ def warnings(modules: DataFrame, deps: DataFrame) -> DataFrame:
     return out.select("kind", F.col("source_id").alias("source"), F.col("target_id").alias("target"))
 
 
+def _packed(e: DataFrame) -> Column:
+    """An edge's enumerated attributes as one number, the last bit saying whether it has evidence."""
+    place = lambda c, values: F.coalesce(F.array_position(F.array(*map(F.lit, values)), F.col(c)).cast("int"), F.lit(0))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return ((place("type", EDGE_TYPES) * 4 + place("confidence", CONFIDENCES)) * 2 + flag(F.col("dynamic"))) * 2 + flag(F.col("evidence").isNotNull())
+
+
+def _unpacked(code: Column) -> list[Column]:
+    value = lambda at, values: F.get(F.array(F.lit(None).cast("string"), *map(F.lit, values)), at.cast("int"))
+    return [value(F.floor(code / 16), EDGE_TYPES).alias("type"), value(F.floor(code / 4) % 4, CONFIDENCES).alias("confidence"), (F.floor(code / 2) % 2 == 1).alias("dynamic")]
+
+
+def _latest(edges: DataFrame, order: str = "seq", keys: tuple[str, str] = ("source", "target")) -> DataFrame:
+    """Of each pair of keys the edge of highest order, among edges that have source, target and an edge's attributes.
+
+    Numbers alone are aggregated, by hash and on the map side too; the evidence
+    of the few edges that have any is joined back.
+    """
+    coded = edges.withColumn("code", _packed(edges))
+    best = coded.groupBy(*keys).agg(F.max_by("code", order).alias("code"), F.max(order).alias("top"), *([F.max("seq").alias("seq")] if order != "seq" else []))
+    told = coded.where("evidence is not null").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(order).alias("_top"), "evidence")
+    told = told.groupBy(*[f"_{k}" for k in keys], "_top").agg(F.max("evidence").alias("evidence"))
+    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("top") == F.col("_top"), F.col("code") % 2 == 1]
+    return best.join(told, on, "left").select(*keys, *_unpacked(F.col("code")), "evidence", (F.col("top") if order == "seq" else F.col("seq")).alias("seq"))
+
+
 def last_edges(edges: DataFrame) -> DataFrame:
     """One row a (source, target): the one of highest seq; loops go."""
-    rest = [c for c in edges.columns if c not in ("source", "target", "seq")]
-    found = edges.where("source != target").groupBy("source", "target")
-    return found.agg(F.max_by(F.struct(*rest), "seq").alias("e"), F.max("seq").alias("seq")).select("source", "target", "e.*", "seq")
+    return _latest(edges.where("source != target"))
 
 
 def build(modules: DataFrame, deps: DataFrame, strict: bool = True) -> Graph:
@@ -65,19 +95,22 @@ def build(modules: DataFrame, deps: DataFrame, strict: bool = True) -> Graph:
 
     With strict, ids that several namespaces declare fail the read.
     """
-    nodes = first_modules(check_modules(modules))
-    ids = nodes.select(F.col("id").alias("known"))
-    kept = check_dependencies(deps).join(ids, F.col("source_id") == F.col("known"), "left_semi").join(ids, F.col("target_id") == F.col("known"), "left_semi")
-    bare = nodes.withColumn("declared", F.col("id")).withColumn("id", strip_namespace(F.col("id")))
-    bare = bare.groupBy("id").agg(F.min_by(F.struct("type", "source_path", "confidence", "seq"), "seq").alias("m"), F.count("*").alias("n"))
+    modules = check_modules(modules)
+    bare = modules.groupBy(strip_namespace(F.col("id")).alias("bare"))
+    bare = bare.agg(F.min_by(F.struct("type", "source_path", "confidence"), "seq").alias("m"), F.min("seq").alias("seq"), (F.min("id") != F.max("id")).alias("several"))
+    id_ = F.col("bare")
     if strict:
-        bare = bare.withColumn("id", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("several namespaces declare "), F.col("id")))).otherwise(F.col("id")))
-    nodes = bare.select("id", "m.type", F.lit(None).cast("string").alias("domain"), "m.source_path", F.array().cast("array<string>").alias("tags"), "m.confidence", "m.seq")
-    edges = kept.select(
-        strip_namespace(F.col("source_id")).alias("source"), strip_namespace(F.col("target_id")).alias("target"),
-        F.col("edge_type").alias("type"), "confidence", "dynamic", "evidence", "seq",
-    )
-    return Graph(nodes, last_edges(edges))
+        id_ = F.when(F.col("several"), F.raise_error(F.concat(F.lit("several namespaces declare "), F.col("bare")))).otherwise(id_)
+    nodes = bare.select(id_.alias("id"), "m.type", F.lit(None).cast("string").alias("domain"), "m.source_path", F.array().cast("array<string>").alias("tags"), "m.confidence", "seq")
+    ids = modules.select(F.col("id").alias("known"))
+    # The last join deals by source, which the aggregation then needs no shuffle for.
+    kept = check_dependencies(deps).join(ids, F.col("target_id") == F.col("known"), "left_semi").join(ids, F.col("source_id") == F.col("known"), "left_semi")
+    kept = kept.withColumnRenamed("edge_type", "type")
+    ends = [strip_namespace(F.col("source_id")), strip_namespace(F.col("target_id"))]
+    if strict:  # a bare id has one declared id, so these are as good as keys
+        found = _latest(kept.where(ends[0] != ends[1]), keys=("source_id", "target_id"))
+        return Graph(nodes, found.select(ends[0].alias("source"), ends[1].alias("target"), "type", "confidence", "dynamic", "evidence", "seq"))
+    return Graph(nodes, last_edges(kept.select(ends[0].alias("source"), ends[1].alias("target"), "type", "confidence", "dynamic", "evidence", "seq")))
 
 
 def merge(*graphs: Graph) -> Graph:
@@ -86,8 +119,8 @@ def merge(*graphs: Graph) -> Graph:
     for k, g in enumerate(graphs):
         n, e = g.nodes.withColumn("g", F.lit(k)), g.edges.withColumn("g", F.lit(k))
         nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
-    pick = lambda df, keys: df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in (*keys, "g")]), F.struct("g", "seq")).alias("x")).select(*keys, "x.*")
-    return Graph(pick(nodes, ["id"]), pick(edges, ["source", "target"]))
+    picked = nodes.groupBy("id").agg(F.max_by(F.struct(*[c for c in nodes.columns if c not in ("id", "g")]), "g").alias("x")).select("id", "x.*")
+    return Graph(picked, _latest(edges, "g"))
 
 
 def degrees(graph: Graph) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tributary.operators.build import build
-from tributary.schema import Graph
+from tributary.schema import Graph, Stored
 from tributary.scratch import cut
 
 #: (table, key, domain, class name before and after the key)
@@ -54,7 +54,7 @@ def fk_dependencies(spark: SparkSession, sf_dir: str, cutoff: str | None = None,
     items = t["lineitem"].join(orders.select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
 
     def dep(rows, source, target, kind, seq):
-        return rows.select(F.concat(F.lit("db:"), source).alias("source_id"), F.concat(F.lit("db:"), target).alias("target_id"), kind.alias("edge_type"), seq.cast("long").alias("seq")).distinct()
+        return rows.select(F.concat(F.lit("db:"), source).alias("source_id"), F.concat(F.lit("db:"), target).alias("target_id"), kind.alias("edge_type"), seq.cast("long").alias("seq"))
 
     imports = F.lit("IMPORTS")
     order = fk_id("orders", F.col("o_orderkey"))
@@ -74,15 +74,16 @@ def fk_dependencies(spark: SparkSession, sf_dir: str, cutoff: str | None = None,
 
 
 def fk_graph(spark: SparkSession, sf_dir: str, cutoff: str | None = None, late_type: str = "USES") -> Graph:
-    g = build(fk_modules(spark, sf_dir, cutoff), fk_dependencies(spark, sf_dir, cutoff, late_type))
-    return Graph(cut(g.nodes, "nodes"), cut(g.edges, "edges"))
+    """The graph of all rows along the foreign keys. Dependencies are written first, or every later step would put their ids together anew."""
+    modules, deps = fk_modules(spark, sf_dir, cutoff), fk_dependencies(spark, sf_dir, cutoff, late_type)
+    return Stored(lambda: build(modules, deps).nodes, lambda: build(cut(modules, "modules"), cut(deps, "dependencies")).edges)
 
 
 def plain_graph(nodes: DataFrame, edges: DataFrame) -> Graph:
     """A graph of bare ids: nodes has id, edges has source and target."""
     n = nodes.select("id", F.lit("MODULE").alias("type"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("source_path"), F.array().cast("array<string>").alias("tags"), F.lit("HIGH").alias("confidence"), F.lit(0).cast("long").alias("seq"))
     e = edges.where("source != target").select("source", "target").distinct()
-    return Graph(cut(n, "nodes"), cut(e.select("source", "target", F.lit("IMPORTS").alias("type"), F.lit("HIGH").alias("confidence"), F.lit(False).alias("dynamic"), F.lit(None).cast("string").alias("evidence"), F.lit(0).cast("long").alias("seq")), "edges"))
+    return Stored(lambda: n, lambda: e.select("source", "target", F.lit("IMPORTS").alias("type"), F.lit("HIGH").alias("confidence"), F.lit(False).alias("dynamic"), F.lit(None).cast("string").alias("evidence"), F.lit(0).cast("long").alias("seq")))
 
 
 def trade_graph(spark: SparkSession, sf_dir: str, k: int) -> Graph:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.scratch import cut
+
 NODES = "id string, type string, domain string, source_path string, tags array<string>, confidence string, seq long"
 EDGES = "source string, target string, type string, confidence string, dynamic boolean, evidence string, seq long"
 MODULES = "id string, type string, source_path string, confidence string, seq long"
@@ -50,3 +54,22 @@ class Graph:
     def counts(self) -> DataFrame:
         """One row: node_count, edge_count."""
         return self.nodes.agg(F.count("*").alias("node_count")).crossJoin(self.edges.agg(F.count("*").alias("edge_count")))
+
+
+class Stored(Graph):
+    """A graph whose tables are written when they are first read, each by itself: who reads nodes only doesn't wait for edges."""
+
+    def __init__(self, nodes: DataFrame | Callable[[], DataFrame], edges: DataFrame | Callable[[], DataFrame]):
+        object.__setattr__(self, "_plans", (nodes, edges))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self._table(0, "nodes")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._table(1, "edges")
+
+    def _table(self, k: int, label: str) -> DataFrame:
+        plan = self._plans[k]
+        return cut(plan if isinstance(plan, DataFrame) else plan(), label)
