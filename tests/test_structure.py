@@ -76,3 +76,24 @@ def test_density_guard(spark):
 def test_closeness_of_out_star(spark):
     got = {r.id: r.closeness for r in centrality.closeness(graph(spark, [("S", "T1"), ("S", "T2")])).collect()}
     assert got == {"S": 1.0, "T1": 0.0, "T2": 0.0}
+
+
+def test_large_graphs_have_no_all_pairs_paths(spark):
+    g = graph(spark, [(f"n{i}", f"n{i + 1}") for i in range(6)])
+    rows = centrality.bundle(g, most_nodes=5)["centrality"].collect()
+    assert len(rows) == 7 and all(r.betweenness is None and r.closeness is None and r.pagerank > 0 for r in rows)
+    assert all(r.closeness is not None for r in centrality.bundle(g)["centrality"].collect())
+    assert set(centrality.overview(g)["centrality"].columns) == {"id", "pagerank"}
+
+
+def test_a_report_counts_a_node_once(spark):
+    from tributary.operators import impact
+    from tributary.sinks import exports
+
+    g = graph(spark, [("A", "B"), ("B", "C"), ("A", "C")])
+    starts = spark.createDataFrame([("B",), ("C",)], "target string")
+    found = impact.impact(g, starts)
+    empty = spark.createDataFrame([], "change string, source string, target string, type string")
+    summary = spark.createDataFrame([("LOW", 0, 0, 0)], "overall_risk string, new_cycles int, cross_domain_edges int, critical_hits int")
+    lines = exports.report_lines(empty, summary, found)
+    assert "Depth 1: 2 affected" in lines and not any("Depth 2" in x for x in lines)

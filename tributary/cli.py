@@ -92,12 +92,14 @@ def _target(spark: SparkSession, o: argparse.Namespace, found: analysis.Analysis
     id_ = hit[0].id
     rows = impact.impact(found.graph, spark.createDataFrame([(id_,)], "target string"), o.depth, found.domains)
     if o.format == "agent" or o.json:
-        print(exports.target_json(found.graph, found.domains, rows, id_, centrality.bundle(found.graph)))
+        print(exports.target_json(found.graph, found.domains, rows, id_, centrality.overview(found.graph)))
         return 0
     total = impact.summary(rows).head(1)
     print(f"{id_}: {total[0].total_affected if total else 0} affected, {total[0].cross_domain if total else 0} reach other domains")
     for r in rows.orderBy("depth", "id").limit(exports.DOCUMENT_ROWS).collect():
         print(f"{'  ' * r.depth}{r.id} [{r.domain}] {r.risk} {r.layer}")
+    if total and total[0].total_affected > exports.DOCUMENT_ROWS:
+        print(f"... and {total[0].total_affected - exports.DOCUMENT_ROWS} more")
     for r in impact.by_layer(rows).orderBy("layer").collect():
         print(f"{r.layer}: {r.n}")
     return 0

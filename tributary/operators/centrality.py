@@ -17,6 +17,8 @@ from tributary.schema import Graph
 from tributary.scratch import cut, drop
 
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 30, 1e-6
+#: Nodes up to which a whole report includes measures over all shortest paths.
+PATH_NODES = 20_000
 
 
 class DensityError(ValueError):
@@ -109,15 +111,27 @@ def betweenness(graph: Graph, paths: DataFrame | None = None, guard: bool = True
     return out.select("id", F.when(F.col("top") > 0, F.coalesce("b", F.lit(0.0)) / F.col("top")).otherwise(0.0).alias("betweenness"))
 
 
-def bundle(graph: Graph) -> dict[str, DataFrame]:
+def overview(graph: Graph) -> dict[str, DataFrame]:
+    """centrality (id, pagerank), components (id, component) and bridges (u, v): what needs no paths between all pairs."""
+    return {"centrality": pagerank(graph), "components": weak_components(graph.nodes, graph.edges), "bridges": bridges(graph.edges)}
+
+
+def bundle(graph: Graph, most_nodes: int = PATH_NODES) -> dict[str, DataFrame]:
     """All of these: centrality (id, pagerank, betweenness, closeness), components (id, component), bridges (u, v).
 
-    Where the graph is too dense for betweenness, that column is null.
+    Shortest paths take a row for each pair of nodes. Where the graph has over
+    most_nodes nodes, betweenness and closeness are null, and so is betweenness
+    where the graph is too dense for it.
     """
-    paths = shortest_paths(graph)
-    try:
-        between = betweenness(graph, paths)
-    except DensityError:
-        between = graph.nodes.select("id", F.lit(None).cast("double").alias("betweenness"))
-    joined = pagerank(graph).join(between, "id").join(closeness(graph, paths), "id")
-    return {"centrality": joined, "components": weak_components(graph.nodes, graph.edges), "bridges": bridges(graph.edges)}
+    out = overview(graph)
+    none = lambda c: graph.nodes.select("id", F.lit(None).cast("double").alias(c))
+    if graph.nodes.count() > most_nodes:
+        between, close = none("betweenness"), none("closeness")
+    else:
+        paths = cut(shortest_paths(graph), "paths")
+        close = closeness(graph, paths)
+        try:
+            between = betweenness(graph, paths)
+        except DensityError:
+            between = none("betweenness")
+    return out | {"centrality": out["centrality"].join(between, "id").join(close, "id")}

@@ -252,6 +252,20 @@ def graph_diff_edges(spark, sf_dir):
     return change.diff_edges(*_base_head(spark, sf_dir))
 
 
+EVENT_DIFF = f"""WITH RECURSIVE {demo.event_sql('b', UNTIL)}, {demo.event_sql('h')},
+ch AS (SELECT id FROM hnodes WHERE id NOT IN (SELECT id FROM bnodes) UNION SELECT source FROM (SELECT source, target FROM hedges EXCEPT SELECT source, target FROM bedges)
+       UNION SELECT source FROM (SELECT source, target FROM bedges EXCEPT SELECT source, target FROM hedges) WHERE source IN (SELECT id FROM hnodes)), """
+
+
+@query(EVENT_DIFF + reach_sql("hedges", "SELECT id FROM ch", 3) + "SELECT id, min(depth) AS depth FROM reach GROUP BY 1")
+def diff_impact(spark, sf_dir):
+    """What the changes reach together: each node once, at its least depth."""
+    base, head = demo.event_graph(spark, sf_dir, UNTIL), demo.event_graph(spark, sf_dir)
+    changed = change.changed_nodes(change.diff_nodes(base, head), change.diff_edges(base, head))
+    starts = changed.join(head.nodes.select("id"), "id", "left_semi").select(F.col("id").alias("target"))
+    return impact.combined(impact.reach(head.edges, starts, 3))
+
+
 def scc_sql(p: str = "") -> str:
     """CTEs {p}cyc(id, cycle) of nodes on cycles and {p}cycs(cycle, members, size)."""
     return f"{p}r(a, b) AS (SELECT source, target FROM {p}edges UNION SELECT r.a, e.target FROM {p}r r JOIN {p}edges e ON e.source = r.b), {p}cyc AS (SELECT x.a AS id, least(x.a, min(x.b)) AS cycle FROM {p}r x JOIN {p}r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a), {p}cycs AS (SELECT cycle, string_agg(id, ',' ORDER BY id) AS members, count(*) AS size FROM {p}cyc GROUP BY 1)"

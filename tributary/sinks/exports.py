@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from tributary.functions.names import label, mermaid_id, pastel, short_name
 from tributary.operators.build import degrees
-from tributary.operators.centrality import bundle
-from tributary.operators.impact import ancestors
+from tributary.operators.centrality import overview
+from tributary.operators.impact import ancestors, combined
 from tributary.operators.structure import bridge_nodes
 from tributary.schema import Graph
 
@@ -112,7 +112,7 @@ def _spots(blind_spots: DataFrame) -> dict:
 
 def agent_json(graph: Graph, domains: DataFrame, cycles: DataFrame, hotspots: DataFrame, blind_spots: DataFrame, full: dict[str, DataFrame] | None = None) -> str:
     """A compact document whose detail goes down as the graph's size goes up."""
-    full = full or bundle(graph)
+    full = full or overview(graph)
     n, e = graph.nodes.count(), graph.edges.count()
     out = {"v": VERSION, "n": n, "e": e, "cc": full["components"].select("component").distinct().count()}
     pairs = full["bridges"]
@@ -144,7 +144,8 @@ def target_json(graph: Graph, domains: DataFrame, impacted: DataFrame, target: s
     ids = {r.id for r in _bounded(impacted.select("id"), ["id"])} | {target} | {r.id for r in _bounded(ancestors(graph, target, impacted), ["id"])}
     spark = graph.nodes.sparkSession
     some = spark.createDataFrame([(i,) for i in sorted(ids)], "id string")
-    inner = graph.edges.join(some, F.col("source") == F.col("id"), "left_semi").join(some, F.col("target") == F.col("id"), "left_semi").orderBy("source", "target").collect()
+    inner = graph.edges.join(some, F.col("source") == F.col("id"), "left_semi").join(some, F.col("target") == F.col("id"), "left_semi")
+    inner = _bounded(inner.select("source", "target"), ["source", "target"])
     names = {r.id: r.domain for r in domains.join(some, "id", "left_semi").collect()}
     ranks = {r.id: r.pagerank for r in full["centrality"].join(some, "id", "left_semi").collect()}
     loose = {r.id for r in bridge_nodes(full["bridges"]).join(some, "id", "left_semi").collect()}
@@ -155,7 +156,8 @@ def target_json(graph: Graph, domains: DataFrame, impacted: DataFrame, target: s
     kinds = sorted({names.get(x, "unknown") for x in order})
     steps = impacted.agg(F.count("*").alias("n"), F.coalesce(F.max("depth"), F.lit(0)).alias("d")).first()
     nodes = [[x, kinds.index(names.get(x, "unknown")), int(ranks.get(x, 0.0) * 10000 + 0.5), 2 if x in hot else 1 if depth[x] > 2 else 0, int(x in loose), int(x in hot)] for x in order]
-    pairs = [[at[r.u], at[r.v]] for r in full["bridges"].orderBy("u", "v").collect() if r.u in at and r.v in at]
+    near = full["bridges"].join(some, F.col("u") == F.col("id"), "left_semi").join(some, F.col("v") == F.col("id"), "left_semi")
+    pairs = [[at[r.u], at[r.v]] for r in _bounded(near.select("u", "v"), ["u", "v"])]
     return _dump({"v": VERSION, "target": target, "n": len(order), "depth": steps.d, "e": len(inner), "affected": steps.n, "domains": kinds, "nodes": nodes, "edges": [[at[r.source], at[r.target]] for r in inner], "bridges": pairs})
 
 
@@ -227,7 +229,10 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def report_lines(edges_diff: DataFrame, summary: DataFrame, impacted: DataFrame, violations: DataFrame | None = None, cap: int = 10) -> list[str]:
-    """A change report as text: risk, changed edges (so many of each kind), impact by depth, violations."""
+    """A change report as text: risk, changed edges (so many of each kind), impact by depth, violations.
+
+    A node that several changes affect counts once, at its least depth.
+    """
     s = summary.first()
     out = [f"Overall risk: {s.overall_risk}", f"New cycles: {s.new_cycles}", f"Cross-domain edge changes: {s.cross_domain_edges}", f"Critical path hits: {s.critical_hits}"]
     for change, sign in (("added", "+"), ("removed", "-")):
@@ -238,8 +243,10 @@ def report_lines(edges_diff: DataFrame, summary: DataFrame, impacted: DataFrame,
         out += [f"  {sign} {r.s} -> {r.t} [{r.type}]" for r in shown.collect()]
         if n > cap:
             out.append(f"  ... and {n - cap} more")
-    out += [f"Depth {r.depth}: {r.n} affected" for r in impacted.groupBy("depth").agg(F.count("*").alias("n")).orderBy("depth").collect()]
+    out += [f"Depth {r.depth}: {r.n} affected" for r in combined(impacted).groupBy("depth").agg(F.count("*").alias("n")).orderBy("depth").collect()]
     if violations is not None:
         out += [f"{r.severity} {r.rule}: {r.subject} ({r.details})" for r in violations.orderBy("rule", "subject").limit(cap).collect()]
+        more = violations.count() - cap
+        out += [f"... and {more} more violations"] if more > 0 else []
     blocked = s.new_cycles > 0 or s.overall_risk in ("HIGH", "VERY_HIGH", "BLOCKED")
     return [*out, "Gate: BLOCKED" if blocked else "Gate: passed"]
