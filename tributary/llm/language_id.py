@@ -1,7 +1,7 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
-Each language's dictionary is raw content: lower-cased snippets of its training
-texts, one after the other, up to ``dict_bytes``. A text is cut into pieces of
+Each language's dictionary is raw content: its training texts, whole and in
+lower case, one after the other. A text is cut into pieces of
 ``piece_bytes``; every piece is compressed against every dictionary, and the
 language whose dictionary gives the fewest bytes in total is the prediction.
 The pieces are short against the dictionary, so a long text isn't judged by
@@ -26,9 +26,8 @@ from pyspark.sql.window import Window
 
 from tributary.llm._text import ddl, row_batch
 
-#: The classifier is fitted on at most this many texts a language, and this many characters of each.
-FIT_TEXTS, FIT_CHARS = 400, 256
-DICT_BYTES = 256 << 10
+#: The classifier is fitted on at most this many texts a language, all of each.
+FIT_TEXTS = 128
 PIECE_BYTES = 2048
 MIN_MARGIN = 0.002
 MARGIN_SCALE = 5.0
@@ -41,29 +40,30 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_texts: int = FIT_TEXTS, fit_chars: int = FIT_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """{language: dictionary} from a bounded sample: of each language the distinct texts of smallest hash.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_texts: int = FIT_TEXTS) -> dict[str, bytes]:
+    """{language: dictionary} from a bounded sample of whole texts: of each language the fit_texts distinct ones of smallest hash.
 
-    A snippet is taken from the middle of its text. Rows with a null or blank
-    text, a null language or a null id, and held-out rows, aren't learned from.
+    Copies of a text are one. Rows with a null or blank text, a null language or
+    a null id, and held-out rows, aren't learned from. An empty table gives no language.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("id is not null and lang is not null and text is not null").where(~held_out("id")).where(F.col("text").rlike(r"\p{L}"))
-    start = F.greatest(F.lit(1), F.floor((F.length("text") - fit_chars) / 2).cast("int") + 1)
-    rows = rows.select("lang", F.xxhash64("text").alias("h"), F.substring(F.col("text"), start, F.lit(fit_chars)).alias("snippet"))
-    # A bounded number of hash ranges spreads a frequent language before the last selection.
-    first = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "snippet")
-    rows = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= fit_texts).drop("r")
-    last = Window.partitionBy("lang").orderBy("h", "snippet")
-    rows = rows.distinct().withColumn("r", F.row_number().over(last)).where(F.col("r") <= fit_texts)
+    hashed = rows.select("lang", F.xxhash64("text").alias("h"), "text")
+    # The smallest hashes are found without the texts: first in 64 ranges of hashes, so that a frequent language is spread, then of what these left.
+    keys = hashed.select("lang", "h").distinct()
+    first = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
+    keys = keys.withColumn("r", F.row_number().over(first)).where(F.col("r") <= fit_texts)
+    last = Window.partitionBy("lang").orderBy("h")
+    keys = keys.withColumn("r", F.row_number().over(last)).where(F.col("r") <= fit_texts).drop("r")
+    chosen = hashed.join(F.broadcast(keys), ["lang", "h"]).distinct()  # fit_texts rows a language
     found: dict[str, list] = {}
-    for r in rows.select("lang", "h", "snippet").collect():
-        found.setdefault(r.lang, []).append((r.h, r.snippet.lower()))
-    # Sentences that several snippets share are passages that travel between documents, not language.
+    for r in chosen.collect():
+        found.setdefault(r.lang, []).append((r.h, r.text.lower()))
+    # Sentences that several texts share are passages that travel between documents, not language.
     split = {lang: [re.split(r"(?<=[.\n])", s) for _, s in sorted(v)] for lang, v in sorted(found.items())}
     seen = Counter(x for v in split.values() for parts in v for x in {p.strip() for p in parts})
     own = {lang: ["".join(p for p in parts if seen[p.strip()] < 2) or "".join(parts) for parts in v] for lang, v in split.items()}
-    return {lang: "\n".join(v).encode("utf-8", "replace")[:dict_bytes] for lang, v in own.items()}
+    return {lang: "\n".join(v).encode("utf-8", "replace") for lang, v in own.items()}
 
 
 class Classifier:
