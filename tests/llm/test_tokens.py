@@ -113,3 +113,46 @@ def test_sentencepiece_operator(spark):
     back = sentencepiece.decode(got, vocabulary("piece_bpe_32k.model"))
     assert rows(back, "doc_id", "text") == rows(docs.fillna("", ["text"]), "doc_id", "text")
     assert sentencepiece.encode(empty(spark), vocabulary("piece_bpe_32k.model")).count() == 0
+
+
+def test_nothing_is_lost_silently(spark):
+    """A store that lacks a chunk, a recipe or a node of its manifest, or has another one, can't be read."""
+    docs = spark.createDataFrame([(i, f"text number {i} " * (i + 1) * 40) for i in range(12)] + [(None, "x"), (3, "again"), (3, "again")], "doc_id long, text string")
+    path = token_store.write(docs, new_path(spark, "t"), vocabulary("word_bpe_49k.json"))
+    want = token_store.read_digests(spark, path).collect()
+    assert len(want) == 15
+
+    def changed(part, change):
+        other = new_path(spark, "broken")
+        for p in ("pack", "recipes", "manifest"):
+            df = spark.read.parquet(f"{path}/{p}")
+            df = change(df) if p == part else df
+            (df.write.partitionBy("kind") if p == "pack" else df.write).parquet(f"{other}/{p}")
+        return other
+
+    assert sorted(token_store.read_digests(spark, changed("pack", lambda df: df)).collect(), key=repr) == sorted(want, key=repr)
+    one = spark.read.parquet(f"{path}/pack").where("kind = 'chunk'").agg({"digest": "min"}).first()[0]
+    for part, change in (
+        ("pack", lambda df: df.where((F.col("kind") != "chunk") | (F.col("digest") != F.lit(one)))),
+        ("recipes", lambda df: df.where("id is null or id != 5")),
+        ("recipes", lambda df: df.where("id is null")),
+        ("recipes", lambda df: df.withColumn("lengths", F.transform("lengths", lambda x: x + 1))),
+        ("manifest", lambda df: df.withColumn("root", F.when(F.col("level") == token_store.STORE, F.lit(b"x" * 16)).otherwise(F.col("root")))),
+        ("manifest", lambda df: df.withColumn("n_docs", F.col("n_docs") + 1)),
+        ("manifest", lambda df: df.where("level != 0")),
+    ):
+        with pytest.raises(Exception, match="chunk|document|manifest"):
+            token_store.read_digests(spark, changed(part, change)).collect()
+    with pytest.raises(Exception, match="chunk"):
+        token_store.read_ids(spark, changed("pack", lambda df: df.where((F.col("kind") != "chunk") | (F.col("digest") != F.lit(one))))).collect()
+
+
+def test_other_kinds_of_vocabulary_are_refused(tmp_path):
+    import json
+
+    config = json.load(open(vocabulary("word_bpe_49k.json"), encoding="utf-8"))
+    config["normalizer"]["normalizers"] = [n for n in config["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(config), encoding="utf-8")
+    with pytest.raises(ValueError, match="vocabulary"):
+        token_store.Encoder(str(path))

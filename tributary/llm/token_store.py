@@ -11,8 +11,9 @@ The store is a folder of Parquet tables:
 - ``pack/kind=recipe``: for each document its chunks' digests and lengths in order,
   and the Merkle root over these
 - ``recipes``: the recipes in ascending id order, numbered, in range partitions
-- ``manifest``: one row a partition: ids before it, number of ids and documents,
-  and the Merkle root over its documents' roots
+- ``manifest``: the Merkle tree above the documents' roots, in blocks of ``FAN`` nodes
+  (blocks of documents, blocks of these, partitions, the store), each with its
+  number of documents and of ids; partitions also with the ids before them
 
 A task sends a chunk's bytes only the first time that it meets it, and the
 copies that different tasks sent meet by digest, of which there are at most as
@@ -20,13 +21,17 @@ many as tasks: no key is hot, and the ids move once.
 
 Reading. Every chunk is read and checked against its address; a recipe's
 Merkle root is rebuilt from the digests of the bytes that were read and must
-equal the one written. Digests over whole documents are combined from those of
-their chunks; read_ids() puts the ids themselves together.
+equal the one written, as must the lengths and numbers of ids. The tree of the
+manifest is rebuilt from the documents read and compared node by node, so a
+missing chunk, recipe or block fails the read and is never left out silently.
+Digests over whole documents are combined from those of their chunks; read_ids()
+puts the ids themselves together.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from collections import OrderedDict
@@ -41,6 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tributary.llm._text import Lexicon, gather, slices, spread, without_tails
+from tributary.scratch import cut
 
 END_ID = 1
 #: A cut is where the rolling hash of the last ROLL ids has CUT_BITS zero bits, at least MIN_IDS and at most MAX_IDS after the last one.
@@ -63,6 +69,11 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
+        with open(vocabulary, encoding="utf-8") as f:
+            config = json.load(f)
+        steps = [n["type"] for n in (config.get("normalizer") or {}).get("normalizers", [])]
+        if "Lowercase" not in steps or config["model"].get("end_of_word_suffix") != "</w>" or not config.get("pre_tokenizer"):
+            raise ValueError("the vocabulary isn't one that lower-cases, splits words and marks their ends")
         self.tokenizer = Tokenizer.from_file(vocabulary)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -218,14 +229,40 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
     recipes = spark.read.schema(_PACK_DDL).parquet(f"{path}/pack").where("kind = 'recipe'").select("id", "digests", "lengths", "n_tokens", "root")
     placed = recipes.repartitionByRange("id").sortWithinPartitions("id", "root").select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "*")
     placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    parts = _recipes(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"), F.sort_array(F.collect_list(F.struct("row", "root"))).alias("roots"))
-    root = F.pandas_udf(lambda s: s.map(lambda x: merkle([bytes(r["root"]) for r in x])), "binary")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", "n_tokens", "n_docs", root("roots").alias("root"))
-    parts.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long"))).write.parquet(f"{path}/manifest")
+    tree = _tree(_recipes(spark, path).select("row", "n_tokens", "root"))
+    before = Window.partitionBy("level").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long"))
+    parts = tree.where(F.col("level") == PART).withColumn("start", start)  # one row a partition
+    tree.where(F.col("level") != PART).withColumn("start", F.lit(None).cast("long")).unionByName(parts).write.parquet(f"{path}/manifest")
     return path
 
 
+#: Bits of a row number that tell documents of a block apart, and levels of the manifest.
+FAN_BITS = 12
+PART, STORE = 2, 3
+_MANIFEST = "level int, key long, n_docs long, n_tokens long, root binary, start long"
+
+
+def _tree(docs: DataFrame) -> DataFrame:
+    """(level, key, n_docs, n_tokens, root) of the nodes above documents (row, n_tokens, root).
+
+    A row number is its partition and, below 33 bits, its place there: blocks of
+    2 ** FAN_BITS documents, blocks of as many blocks, partitions, the store. So no task holds
+    more than that many roots, and one a partition for the store's.
+    """
+    join = F.pandas_udf(lambda s: s.map(lambda x: merkle([bytes(r["root"]) for r in x])), "binary")
+
+    def up(nodes: DataFrame, key, level: int) -> DataFrame:
+        found = nodes.groupBy(key.alias("key")).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct(F.col("key").alias("at"), "root"))).alias("roots"))
+        return found.select(F.lit(level).alias("level"), "key", "n_docs", "n_tokens", join("roots").alias("root"))
+
+    at = F.col("key")
+    blocks = cut(up(docs.select(F.col("row").alias("key"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", "root"), F.shiftright(at, FAN_BITS), 0), "blocks")
+    groups = cut(up(blocks, F.shiftright(at, FAN_BITS), 1), "groups")
+    parts = up(groups, F.shiftright(at, 33 - 2 * FAN_BITS), PART)
+    return cut(blocks.unionByName(groups).unionByName(parts).unionByName(up(parts, F.lit(0).cast("long"), STORE)), "tree")
+
+
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("part int, row long, id long, digests array<binary>, lengths array<int>, n_tokens long, root binary").parquet(f"{path}/recipes")
 
@@ -269,38 +306,75 @@ def _checked(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.int64()))], names=["digest", "n", "crc"])
 
 
-def _rebuilt(parts: pd.Series, roots: pd.Series) -> pd.Series:
+def _rebuilt(parts: pd.Series, roots: pd.Series, totals: pd.Series) -> pd.Series:
     out = []
-    for chunks, root in zip(parts, roots, strict=True):
-        crc, leaves = 0, []
+    for chunks, root, total in zip(parts, roots, totals, strict=True):
+        crc, leaves, n = 0, [], 0
         for c in chunks:
+            if c["digest"] is None:
+                raise ValueError("a chunk of a document isn't in the store")
+            if c["n"] != c["length"]:
+                raise ValueError("a chunk has another length than its recipe says")
             leaves.append(bytes(c["digest"]))
             crc = combine(crc, int(c["crc"]), 4 * int(c["n"]))
-        if merkle(leaves) != bytes(root):
-            raise ValueError("a document can't be rebuilt: its chunks don't give its Merkle root")
+            n += int(c["n"])
+        if merkle(leaves) != bytes(root) or n != total:
+            raise ValueError("a document can't be rebuilt: its chunks don't give its Merkle root or its number of ids")
         out.append(crc)
     return pd.Series(out, dtype="int64")
 
 
+def _wanted(spark: SparkSession, path: str) -> DataFrame:
+    """One row a chunk of a document, in any order."""
+    each = F.posexplode(F.arrays_zip("digests", "lengths")).alias("pos", "c")
+    return _recipes(spark, path).select("part", "row", "id", "n_tokens", F.col("root"), each).select("*", F.col("c.digests").alias("address"), F.col("c.lengths").alias("length")).drop("c")
+
+
+def _check_manifest(spark: SparkSession, path: str, docs: DataFrame) -> None:
+    """Fails unless the tree above these documents is that of the manifest."""
+    found, written = _tree(docs), spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").drop("start")
+    pairs = found.select("level", "key", F.struct("n_docs", "n_tokens", "root").alias("a")).join(written.select("level", "key", F.struct("n_docs", "n_tokens", "root").alias("b")), ["level", "key"], "full")
+    bad = pairs.where(~F.col("a").eqNullSafe(F.col("b"))).select("level", "key").head(1)
+    if bad:
+        raise ValueError(f"the documents aren't those of the manifest: node {bad[0].key} of level {bad[0].level} differs")
+
+
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of each document of a store, verified as it is read."""
+    """(id, start, n_tokens, ids_crc32) of each document of a store.
+
+    All of the store is read and verified when this is called: a chunk, recipe
+    or node of the manifest that is missing, or isn't what it was, raises an error. Null ids
+    come first; repeated documents each have a row, one after the other; an empty store gives no rows.
+    """
     chunks = _chunks(spark, path).mapInArrow(_checked, "digest binary, n int, crc long")
-    recipes = _recipes(spark, path)
-    wanted = recipes.select("row", F.posexplode("digests").alias("pos", "digest"))
-    found = wanted.join(chunks, "digest").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "n", "crc"))).alias("parts"))
-    starts = spark.read.schema("part int, start long").parquet(f"{path}/manifest")
+    found = _wanted(spark, path).join(chunks, F.col("address") == F.col("digest"), "left")
+    docs = found.groupBy("part", "row", "id", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "n", "length", "crc"))).alias("parts"))
+    crc = F.pandas_udf(_rebuilt, "long")("parts", "root", "n_tokens").alias("ids_crc32")
+    docs = cut(docs.select("part", "row", "id", "n_tokens", "root", crc), "read")
+    _check_manifest(spark, path, docs.select("row", "n_tokens", "root"))
+    starts = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").where(F.col("level") == PART).select("key", F.col("start").alias("first"))
     inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = recipes.select("part", "row", "id", "n_tokens", "root").withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0).cast("long")))
-    placed = placed.join(F.broadcast(starts), "part")  # one row a partition
-    return placed.join(found, "row").select("id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", F.pandas_udf(_rebuilt, "long")("parts", "root").alias("ids_crc32"))
+    placed = docs.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0).cast("long")))
+    placed = placed.join(F.broadcast(starts), F.col("part") == F.col("key"))  # one row a partition
+    return placed.select("id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(id, row, ids): the ids of each document, put together from its chunks; sort by row for the stored order."""
+    """(id, row, ids): the ids of each document, put together from its chunks; sort by row for the stored order.
+
+    A chunk that is missing or has other bytes than its address says fails the
+    read. The manifest isn't looked at: read_digests() verifies a whole store.
+    """
 
     def join_ids(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda x: np.concatenate([np.frombuffer(c["ids"], "<u2" if c["width"] == 2 else "<u4").astype(np.int64) for c in x]))
+        def one(chunks):
+            for c in chunks:
+                if c["ids"] is None or digest(bytes([int(c["width"])]) + bytes(c["ids"])) != bytes(c["address"]):
+                    raise ValueError("a chunk of a document isn't in the store, or has other bytes")
+            return np.concatenate([np.frombuffer(c["ids"], "<u2" if c["width"] == 2 else "<u4").astype(np.int64) for c in chunks])
+
+        return parts.map(one)
 
-    wanted = _recipes(spark, path).select("row", "id", F.posexplode("digests").alias("pos", "digest"))
-    found = wanted.join(_chunks(spark, path), "digest").groupBy("row", "id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids", "width"))).alias("parts"))
+    found = _wanted(spark, path).join(_chunks(spark, path), F.col("address") == F.col("digest"), "left")
+    found = found.groupBy("row", "id").agg(F.sort_array(F.collect_list(F.struct("pos", "address", "ids", "width"))).alias("parts"))
     return found.select("id", "row", F.pandas_udf(join_ids, "array<long>")("parts").alias("ids"))
