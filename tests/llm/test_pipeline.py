@@ -99,3 +99,23 @@ def test_clean_documents_stay(spark):
     docs = docs.select(*COLUMNS)
     for name, stage in P.STAGES[1:3]:
         assert stage(spark, docs, path).count() == 40, name
+
+
+def test_columns_of_any_name_come_along(spark):
+    """Names of results and of internal columns do no harm, in the operators' results either."""
+    from tributary.llm import html_extract, line_dedup, sentencepiece
+    from tributary.llm.queries import vocabulary
+
+    clash = ["score", "margin", "rejected", "lang_pred", "n_words", "n_hit", "contaminated", "n_lines", "n_dropped", "kept_text", "keep_runs", "n_tokens", "ids", "fp", "rid", "row", "other", "key", "id", "Lang_Pred2"]
+    base = documents(spark).select(*COLUMNS)
+    path, docs = folder(spark, documents(spark)), base.select(*COLUMNS, *[F.lit(i).alias(c) for i, c in enumerate(clash)])
+    for name, stage in P.STAGES[:4]:
+        got, want = stage(spark, docs, path), stage(spark, base, path)
+        assert got.columns == docs.columns, name
+        assert sorted(map(repr, got.select(*COLUMNS).collect())) == sorted(map(repr, want.collect())), name
+    assert len(set(line_dedup.deduplicate(docs).columns)) == len(line_dedup.deduplicate(docs).columns)
+    got = language_id.classify(docs, {"en": b"abc"}, keep=["score", "source"])
+    assert got.columns == ["doc_id", "source", "lang_pred", "score", "margin", "rejected"] and got.where("score > 1").count() == 0
+    assert sentencepiece.encode(docs, vocabulary("piece_bpe_32k.model"), keep=["n_tokens", "ids", "source"]).columns.count("ids") == 1
+    pages = spark.createDataFrame([(1, "u", "<p>x", 5, 6)], "page_id long, url string, html string, text int, n_chars int")
+    assert html_extract.extract(pages, keep=["text", "n_chars"]).first().text == "x"

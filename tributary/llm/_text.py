@@ -19,6 +19,12 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(id_col: str, keep: list[str] | None, results) -> list[str]:
+    """The id and the columns to keep, each once; those named like a result column (in any case) are left out, the result has the name."""
+    names = {r.lower() for r in results}
+    return [c for c in dict.fromkeys([id_col, *(keep or [])]) if c == id_col or c.lower() not in names]
+
+
 def ddl(df, cols: list[str]) -> str:
     """The schema string of some columns of df."""
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)

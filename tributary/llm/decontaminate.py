@@ -18,6 +18,7 @@ by document. Documents are never shuffled in the first case.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm._text import ddl, row_batch, utf8
+from tributary.llm._text import ddl, kept, row_batch, utf8
 from tributary.scratch import cut
 
 WINDOW = 13
@@ -85,6 +86,17 @@ def compile_items(items, window: int = WINDOW) -> list[WuManber]:
     return [WuManber(m, patterns) for m, patterns in sorted(by_length.items())]
 
 
+_COMPILED: dict[str, list[WuManber]] = {}
+
+
+def compiled(token: str, shared, window: int) -> list[WuManber]:
+    """The searchers of a broadcast block, compiled once a worker process, which keeps those of one block."""
+    if token not in _COMPILED:
+        _COMPILED.clear()
+        _COMPILED[token] = compile_items(shared.value, window)
+    return _COMPILED[token]
+
+
 def hits(text: bytes | str | None, searchers: list[WuManber]) -> tuple[int, list[tuple[int, int]], set]:
     """Number of words, merged [start, end) spans that are hit, and the items found."""
     w, spans, items = words_of(text), [], set()
@@ -121,7 +133,7 @@ def _results(rows) -> dict:
 
 def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[int, Iterator[list]]:
     """The number of blocks that the benchmark's measured size asks for, and these, one at a time, as (id, text) lists."""
-    b = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
+    b = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null").distinct()
     n = -(-(b.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) or 1
     n = 1 if n == 1 else 2 * n  # so that an uneven deal stays near the bound
     dealt = b.withColumn("k", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
@@ -135,18 +147,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     that these are at least a twentieth of the words. Null and empty texts have
     no words and are clean. Null and blank benchmark texts, and null item ids,
     match nothing. Repeated items count once by id; repeated documents each
-    have a row. Other columns are ignored; empty tables are fine on either side.
+    have a row, null ids too. Other columns are ignored, and so are columns to keep
+    that are named like a result; empty tables are fine on either side.
     """
     spark = docs.sparkSession
-    out = list(dict.fromkeys([id_col, *(keep or [])]))
+    out = kept(id_col, keep, _RESULT)
     docs = docs.select(*dict.fromkeys([*out, text_col]))
     schema = f"{ddl(docs, out)}, {_RESULT_DDL}"
     n, each = blocks(benchmark, block_bytes=block_bytes)
     if n == 1:
-        shared = spark.sparkContext.broadcast(next(each))
+        shared, token = spark.sparkContext.broadcast(next(each)), uuid.uuid4().hex
 
         def search(batches):
-            searchers = compile_items(shared.value, window)
+            searchers = compiled(token, shared, window)
             for b in batches:
                 yield row_batch(b, out, _results([_summary(*hits(t, searchers)) for t in utf8(b[text_col])]))
 
@@ -156,8 +169,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for items in each:
         shared = spark.sparkContext.broadcast(items)
 
-        def scan(batches, shared=shared):
-            searchers = compile_items(shared.value, window)
+        def scan(batches, shared=shared, token=uuid.uuid4().hex):
+            searchers = compiled(token, shared, window)
             for b in batches:
                 found = [(s, spans, sorted(map(str, ids))) for s, t in zip(b["sha"].to_pylist(), utf8(b["text"]), strict=True) for _, spans, ids in [hits(t, searchers)] if spans]
                 yield row_batch(b, [], {"sha": ([x[0] for x in found], pa.string()), "spans": ([[list(p) for p in x[1]] for x in found], pa.list_(pa.list_(pa.int32()))), "items": ([x[2] for x in found], pa.list_(pa.string()))})

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tributary.llm._text import ddl, row_batch, slices
+from tributary.llm._text import ddl, kept, row_batch, slices
 from tributary.scratch import cut
 
 #: A class of tokens belongs to the template if this part of the host's pages have it, and so many pages at least.
@@ -452,9 +452,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty html give an empty text. Pages without a host (null urls too)
     are a host of their own. Rows that repeat are pages like others. Other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored, and so are columns to keep that are named like a result;
+    an empty table gives no rows.
     """
-    out = list(dict.fromkeys([id_col, url_col, *(keep or [])]))
+    out = kept(id_col, [url_col, *(keep or [])], ("text", "n_chars"))
     rows = pages.select(*dict.fromkeys([*out, html_col]))
     plain = rows.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(id_col, url_col).alias("key"), F.col(html_col).alias("html"))
     found = cut(templates(plain), "templates")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tributary.llm._text import ddl, row_batch
+from tributary.llm._text import ddl, kept, row_batch
 
 #: The classifier is fitted on at most this many texts a language, all of each.
 FIT_TEXTS = 128
@@ -101,9 +101,10 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     lang_pred is a learned language, or und if the text is null or has no
     letter (or nothing could be learned). Ties go to the language that sorts
     first. rejected: und, or the margin is under min_margin. Empty tables give
-    no rows; other columns are ignored.
+    no rows; other columns are ignored, and so are columns to keep that are named
+    like a result. Null ids and repeated rows are rows like others.
     """
-    out = list(dict.fromkeys([id_col, *(keep or [])]))
+    out = kept(id_col, keep, ("lang_pred", "score", "margin", "rejected"))
     docs = docs.select(*dict.fromkeys([*out, text_col]))
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 

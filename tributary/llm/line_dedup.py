@@ -26,6 +26,9 @@ MIN_DOCS = 5
 SLICES = 64
 
 
+RESULTS = ("kept_text", "n_lines", "n_dropped", "keep_runs")
+
+
 def line_key(line: Column) -> Column:
     """The line without white space at both ends, A-Z lower-cased."""
     return ascii_lower(F.btrim(line, F.lit(SPACE)))
@@ -82,12 +85,14 @@ def kept_runs(drops: Column, n_lines: Column) -> Column:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with kept_text, n_lines, n_dropped and keep_runs after its own columns (which must not have these names).
+    """docs with kept_text, n_lines, n_dropped and keep_runs after its own columns; own columns of these names give way.
 
     One row per row of docs. Other lines stay, joined by \\n. Null and empty
     texts have one empty line, which stays; a document that loses every line
     has an empty text. An empty table gives no rows.
     """
+    own = [c for c in docs.columns if c.lower() not in RESULTS]
+    docs = docs.select(*own)
     bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).withColumnsRenamed({"doc": "__doc", "text_hash": "__hash", "drops": "__drops"})
     joined = docs.withColumn("__own", F.xxhash64(text_col))
     joined = joined.join(bitmaps, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__hash")), "left")
@@ -97,7 +102,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.flatten(F.transform("keep_runs", lambda r: F.slice(F.col("__lines"), r["start"] + 1, r["length"])))
     out = out.withColumn("kept_text", F.when(F.col("__drops").isNull(), text).otherwise(F.array_join(kept, "\n")))
     out = out.withColumn("n_dropped", F.coalesce(F.aggregate("__drops", F.lit(0).cast("long"), lambda a, r: a + r["length"]), F.lit(0).cast("long")))
-    return out.withColumn("n_lines", F.col("n_lines").cast("long")).select(*docs.columns, "kept_text", "n_lines", "n_dropped", "keep_runs")
+    return out.withColumn("n_lines", F.col("n_lines").cast("long")).select(*own, *RESULTS)
 
 
 ORACLE = r"""

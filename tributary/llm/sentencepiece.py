@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm._text import TAIL, Lexicon, Memo, ddl, of_bytes, row_batch, slices, spread, without_tails
+from tributary.llm._text import TAIL, Lexicon, Memo, ddl, kept, of_bytes, row_batch, slices, spread, without_tails
 
 MARK = "▁"
 _NEVER = float("inf")
@@ -241,9 +241,10 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     ids_crc32 is over the ids as little-endian unsigned 32-bit integers. The
     ids are decoded again: decoded_sha256 is that text's digest, and round_trip
     whether it is the text that came in (where each U+2581 is a space). Null and
-    empty texts have no ids. Other columns are ignored; empty tables give no rows.
+    empty texts have no ids. Other columns are ignored, and so are columns to keep
+    that are named like a result; empty tables give no rows.
     """
-    out = list(dict.fromkeys([id_col, *(keep or [])]))
+    out = kept(id_col, keep, ("n_tokens", "ids_crc32", "decoded_sha256", "round_trip", "ids"))
     docs = docs.select(*dict.fromkeys([*out, text_col]))
 
     def run(batches):
