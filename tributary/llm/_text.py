@@ -45,6 +45,37 @@ def row_batch(batch, keep: list[str], new: dict):
     return pa.RecordBatch.from_arrays(arrays, names=[*keep, *new])
 
 
+_RESIDENT: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make):
+    """make()'s result, once a worker process: what tasks of one stage share.
+
+    A process keeps that of one key. Workers outlive stages, so the models of a
+    stage that is done would else stay in memory beside those of the next one.
+    """
+    if key not in _RESIDENT:
+        if _RESIDENT:
+            _RESIDENT.clear()
+            _give_back()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Memo:
     """What is known of words, in two generations: the frequent ones stay, and memory is bounded."""
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm._text import ddl, kept, row_batch, utf8
+from tributary.llm._text import ddl, kept, resident, row_batch, utf8
 from tributary.scratch import cut
 
 WINDOW = 13
@@ -86,15 +86,9 @@ def compile_items(items, window: int = WINDOW) -> list[WuManber]:
     return [WuManber(m, patterns) for m, patterns in sorted(by_length.items())]
 
 
-_COMPILED: dict[str, list[WuManber]] = {}
-
-
 def compiled(token: str, shared, window: int) -> list[WuManber]:
     """The searchers of a broadcast block, compiled once a worker process, which keeps those of one block."""
-    if token not in _COMPILED:
-        _COMPILED.clear()
-        _COMPILED[token] = compile_items(shared.value, window)
-    return _COMPILED[token]
+    return resident(("searchers", token), lambda: compile_items(shared.value, window))
 
 
 def hits(text: bytes | str | None, searchers: list[WuManber]) -> tuple[int, list[tuple[int, int]], set]:

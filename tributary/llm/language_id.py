@@ -14,8 +14,8 @@ bytes that the next one took, times ``MARGIN_SCALE`` and at most 1. A margin und
 
 from __future__ import annotations
 
-
 import re
+import uuid
 from collections import Counter
 
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tributary.llm._text import ddl, kept, row_batch
+from tributary.llm._text import ddl, kept, resident, row_batch
 
 #: The classifier is fitted on at most this many texts a language, all of each.
 FIT_TEXTS = 128
@@ -67,7 +67,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 class Classifier:
-    """Compressors for each dictionary; made once a task."""
+    """Compressors for each dictionary; made once a worker process."""
 
     def __init__(self, dictionaries: dict[str, bytes], piece_bytes: int = PIECE_BYTES, level: int = LEVEL):
         self.piece = piece_bytes
@@ -106,10 +106,10 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     """
     out = kept(id_col, keep, ("lang_pred", "score", "margin", "rejected"))
     docs = docs.select(*dict.fromkeys([*out, text_col]))
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    shared, token = docs.sparkSession.sparkContext.broadcast(dictionaries), uuid.uuid4().hex
 
     def run(batches):
-        predict = Classifier(shared.value)
+        predict = resident(("classifier", token), lambda: Classifier(shared.value))
         for b in batches:
             rows = [predict(t) for t in b[text_col].to_pylist()]
             new = {

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm._text import TAIL, Lexicon, Memo, ddl, kept, of_bytes, row_batch, slices, spread, without_tails
+from tributary.llm._text import TAIL, Lexicon, Memo, ddl, kept, of_bytes, resident, row_batch, slices, spread, without_tails
 
 MARK = "▁"
 _NEVER = float("inf")
@@ -225,14 +225,9 @@ def marked_words(texts: pa.Array) -> pa.Array:
     return split
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def load(path: str) -> Model:
-    """The model of a path, once a process."""
-    if path not in _MODELS:
-        _MODELS[path] = Model(path)
-    return _MODELS[path]
+    """The model of a path, kept by the worker process."""
+    return resident(("model", path), lambda: Model(path))
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tributary.llm._text import Lexicon, gather, slices, spread, without_tails
+from tributary.llm._text import Lexicon, gather, resident, slices, spread, without_tails
 from tributary.scratch import cut
 
 END_ID = 1
@@ -124,14 +124,9 @@ class Encoder:
         return np.concatenate([np.zeros(0, "<u4"), *found]), starts, all_sizes
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(vocabulary: str) -> Encoder:
-    """The encoder of a vocabulary file, once a process."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    """The encoder of a vocabulary file, kept by the worker process."""
+    return resident(("encoder", vocabulary), lambda: Encoder(vocabulary))
 
 
 def _mixed(n: int) -> np.ndarray:
