@@ -56,6 +56,18 @@ def test_strict_python_lines(spark):
     assert {r[1] for r in frontends.py_imports(df).collect()} == {"a", "b", "c", "e", "g", "h", "k", "n", "..o"}
 
 
+def test_javascript_statements(spark):
+    yes = ["import a from 'm1'", "import type {T} from 'm2'", "import a, {b as c,\n d} from \"m3\"", "import * as n from 'm4'", "import {\n// import all\nx } from 'm5'", "export {a, b} from 'm6'", "export * as ns from 'm7'", "import type from 'm8'"]
+    no = ["import 'n1'", "const x = require('n2')", "import('n3')", "export * from 'n4'", "export const from = 'n5'", "import{a}from'n6'", "import a + b from 'n7'", "export a from 'n8'"]
+    df = frame(spark, {"a.ts": ";\n".join([*yes, *no]), "b.vue": "<template/><SCRIPT setup lang='ts'>import a from './v1'</Script><script>import b from './v2'</script>", "c.vue": "<script>import a from 'v3'", "d.js": None, "e.js": "export " + "x " * 200_000})
+    assert {r[1] for r in frontends.js_imports(df).collect()} == {*(f"m{i}" for i in range(1, 9)), "./v1"}
+
+
+def test_invoke(spark):
+    df = spark.createDataFrame([("m.invoke(x)", True), ("Method.invoke", True), ("a().b.invoke  (c)", True), (").invoke(x)", False), ("m.invoked(x)", False), ("", False), ("m.invoke.x; n.invoke(y)", True)], "line string, want boolean")
+    assert df.where(java._invokes(F.col("line")) != F.col("want")).count() == 0
+
+
 def test_stdlib(spark):
     df = spark.createDataFrame([("os.path", True), ("Json", True), ("cProfile", True), ("numpy", False), ("", False)], "m string, want boolean")
     assert df.where(frontends.is_stdlib(F.col("m")) != F.col("want")).count() == 0

@@ -70,16 +70,13 @@ NODE_BUILTINS = (
     "querystring", "readline", "repl", "stream", "string_decoder", "sys", "timers", "tls", "tty", "url", "util",
     "v8", "vm", "worker_threads", "zlib",
 )
-# Fixed patterns: what counts as an import, a re-export, and a Vue file's script.
-JS_NAMES = r"(?:\{[^}]*\}|\*\s+as\s+\w+|\w+)"
-JS_IMPORT = rf"import\s+(?:type\s+)?{JS_NAMES}(?:\s*,\s*{JS_NAMES})*\s+from\s+['\"]([^'\"]+)['\"]"
-JS_REEXPORT = r"export\s+(?:\{[^}]*\}|\*\s+as\s+\w+)\s+from\s+['\"]([^'\"]+)['\"]"
-VUE_SCRIPT = r"(?i)<script(?:\s+setup)?(?:\s+[^>]*)?>([\s\S]*?)</script>"
 
 
 def vue_script(files: DataFrame) -> DataFrame:
     """files with content cut to the first script of Vue files; null where a Vue file has none."""
-    script = F.when(F.col("content").rlike(VUE_SCRIPT), F.regexp_extract("content", VUE_SCRIPT, 1))
+    tag = F.get(F.split("content", r"(?i)<script(?=[\s>])", 2), F.lit(1))
+    body = F.split(F.get(F.split(tag, ">", 2), F.lit(1)), "(?i)</script>", 2)
+    script = F.when(F.size(body) == 2, F.get(body, F.lit(0)))
     return files.withColumn("content", F.when(F.endswith("path", F.lit(".vue")), script).otherwise(F.col("content")))
 
 
@@ -87,11 +84,33 @@ def is_builtin(name: Column) -> Column:
     return F.get(F.split(F.regexp_replace(name, "^node:", ""), "/"), F.lit(0)).isin(*NODE_BUILTINS)
 
 
+def js_statements(files: DataFrame) -> DataFrame:
+    """(path, word, clause, import): what follows each word import or export, up to its first quoted string.
+
+    clause is what is between the word and from, braces emptied, null without a from that stands alone.
+    """
+    emptied = F.regexp_replace("content", r"\{[^{}'\"]*\}", "{}")
+    rows = files.select("path", F.explode(F.split(emptied, r"\b(?=(?:import|export)\s)")).alias("part"))
+    rows = rows.select("path", F.split("part", "['\"]", 3).alias("cut")).where(F.size("cut") == 3)
+    before = F.get("cut", F.lit(0))
+    word, rest = F.substring(before, 1, 6), F.expr("substring(cut[0], 7)")
+    clause = F.when(rest.rlike(r"\sfrom\s+$"), F.btrim(F.regexp_replace(rest, r"from\s+$", ""), F.lit(" \t\r\n\f\x0b")))
+    return rows.where(word.isin("import", "export")).select("path", word.alias("word"), clause.alias("clause"), F.get("cut", F.lit(1)).alias("import")).where("import != ''")
+
+
 def js_imports(files: DataFrame) -> DataFrame:
-    """(path, import): distinct specifiers of imports and re-exports."""
-    rows = vue_script(files)
-    found = F.array_union(F.regexp_extract_all("content", F.lit(JS_IMPORT), 1), F.regexp_extract_all("content", F.lit(JS_REEXPORT), 1))
-    return rows.select("path", F.explode(found).alias("import")).distinct()
+    """(path, import): distinct specifiers of imports and re-exports.
+
+    An import binds names, braces or a namespace, one or more of them, perhaps as
+    types; a re-export has braces or a namespace. Those that bind nothing don't count.
+    """
+    rows = js_statements(vue_script(files))
+    space = lambda c: c.rlike(r"^\*\s+as\s+\w+$")
+    binds = lambda c: (c == "{}") | c.rlike(r"^\w+$") | space(c)
+    plain = F.regexp_replace("clause", r"^type\s+", "")
+    imported = F.forall(F.split(plain, r"\s*,\s*"), binds)
+    again = (F.col("clause") == "{}") | space(F.col("clause"))
+    return rows.where(F.when(F.col("word") == "import", imported).otherwise(again)).select("path", "import").distinct()
 
 
 def resolve_js(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -138,21 +157,30 @@ def dependency_json(spark, path: str) -> Parsed:
 # Python.
 
 PY_EXTENSIONS = ["py", "pyi", "pyw"]
-# Fixed patterns: the import lines that are understood, strictly and with aliases, comments and parentheses.
-PY_IMPORT_STRICT = r"^import\s+([\w.]+(?:\s*,\s*[\w.]+)*(?:\s+as\s+\w+)?)$"
-PY_FROM_STRICT = r"^from\s+([\w.]+)\s+import\s+\S+(?:\s*,\s*\S+)*$"
-PY_IMPORT = r"^import\s+([\w.]+(?:\s+as\s+\w+)?(?:\s*,\s*[\w.]+(?:\s+as\s+\w+)?)*)\s*(?:#.*|;.*)?$"
-PY_FROM = r"^from\s+([\w.]+)\s+import\s+(.+)$"
 
 
 def py_imports(files: DataFrame, strict: bool = False) -> DataFrame:
-    """(path, import): distinct modules that lines import; relative ones with their dots."""
+    """(path, import): distinct modules that lines import; relative ones with their dots.
+
+    strict: no comments, an alias only at the end of a line that begins with
+    import, none in one that begins with from, and no parentheses with blanks.
+    """
+    dotted = lambda c: c.rlike(r"^[\w.]+$")
+    at = lambda c, k: F.get(c, F.lit(k))
     lines = files.select("path", F.explode(F.split("content", "\n")).alias("line")).select("path", F.btrim("line", F.lit(" \t\r\f\x0b")).alias("line"))
-    one, other = (PY_IMPORT_STRICT, PY_FROM_STRICT) if strict else (PY_IMPORT, PY_FROM)
-    plain = F.when(F.col("line").rlike(one), F.split(F.regexp_extract("line", one, 1), ","))
-    origin = F.when(F.col("line").rlike(other), F.array(F.regexp_extract("line", other, 1)))
-    names = lines.select("path", F.explode(F.coalesce(plain, origin)).alias("import"))
-    return names.select("path", F.regexp_replace(F.trim("import"), r"\s+as\s+.*$", "").alias("import")).where("import != ''").distinct()
+    lines = lines.where(F.col("line").rlike(r"^(import|from)\s")).select("path", "line", F.split("line", r"\s+", 4).alias("w"))
+
+    bare = F.col("line") if strict else F.regexp_replace("line", r"\s*[#;].*$", "")
+    items = F.transform(F.split(F.regexp_replace(bare, r"^import\s+", ""), r"\s*,\s*"), lambda x: F.split(x, r"\s+"))
+    single = lambda x: (F.size(x) == 1) & dotted(at(x, 0))
+    alias = lambda x: (F.size(x) == 3) & dotted(at(x, 0)) & (at(x, 1) == "as") & at(x, 2).rlike(r"^\w+$")
+    most = F.forall(F.slice(items, F.lit(1), F.size(items) - 1), single) if strict else F.lit(True)
+    plain = F.when((at(F.col("w"), 0) == "import") & most & F.forall(items, lambda x: single(x) | alias(x)), F.transform(items, lambda x: at(x, 0)))
+
+    names = at(F.col("w"), 3)
+    listed = ~F.regexp_replace(names, r"\s*,\s*", ",").rlike(r"\s") & ~names.rlike(r"\s,$") if strict else F.lit(True)
+    origin = F.when((at(F.col("w"), 0) == "from") & dotted(at(F.col("w"), 1)) & (at(F.col("w"), 2) == "import") & (names != "") & listed, F.array(at(F.col("w"), 1)))
+    return lines.select("path", F.explode(F.coalesce(plain, origin)).alias("import")).distinct()
 
 
 def is_stdlib(module: Column) -> Column:

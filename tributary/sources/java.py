@@ -292,7 +292,13 @@ PATTERNS = (
     ("publishEvent", "event-driven", "publishEvent"),
     ("Proxy.newProxyInstance", "dynamic-proxy", "Proxy.newProxyInstance"),
 )
-INVOKE = r"Method\.invoke|\w\.invoke\s*\("
+
+
+def _invokes(line: Column) -> Column:
+    """Whether a line calls a method named invoke of something, or names that of Method."""
+    cut = F.split(line, r"\.invoke")
+    calls = F.zip_with(F.slice(cut, F.lit(1), F.size(cut) - 1), F.slice(cut, F.lit(2), F.size(cut) - 1), lambda before, after: before.rlike(r"\w$") & F.startswith(F.ltrim(after), F.lit("(")))
+    return F.contains(line, F.lit("Method.invoke")) | F.exists(calls, lambda x: x)
 
 
 def blind_spots(files: DataFrame) -> DataFrame:
@@ -300,7 +306,7 @@ def blind_spots(files: DataFrame) -> DataFrame:
     java = files.where(F.endswith("path", F.lit(".java")))
     lines = java.select("path", F.posexplode(F.split("content", "\n")).alias("at", "line"))
     checks = [F.when(F.contains("line", F.lit(text)), F.struct(F.lit(kind).alias("type"), F.lit(told).alias("description"))) for text, kind, told in PATTERNS]
-    checks.append(F.when(F.col("line").rlike(INVOKE), F.struct(F.lit("reflection").alias("type"), F.lit("Method.invoke").alias("description"))))
+    checks.append(F.when(_invokes(F.col("line")), F.struct(F.lit("reflection").alias("type"), F.lit("Method.invoke").alias("description"))))
     hits = lines.select("path", "at", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("hit"))
     found = hits.select("hit.type", F.concat_ws(":", "path", (F.col("at") + 1).cast("string")).alias("location"), "hit.description")
     mapped = files.where(F.col("path").rlike(r"(Mapper|Dao)\.xml$")).select(F.lit("mybatis-xml").alias("type"), F.col("path").alias("location"), F.lit("MyBatis XML").alias("description"))
