@@ -36,6 +36,7 @@ import os
 import zlib
 from collections import OrderedDict
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -245,11 +246,11 @@ def _tree(docs: DataFrame) -> DataFrame:
     2 ** FAN_BITS documents, blocks of as many blocks, partitions, the store. So no task holds
     more than that many roots, and one a partition for the store's.
     """
-    join = F.pandas_udf(lambda s: s.map(lambda x: merkle([bytes(r["root"]) for r in x])), "binary")
+    join = F.arrow_udf(_roots, "binary")
 
     def up(nodes: DataFrame, key, level: int) -> DataFrame:
-        found = nodes.groupBy(key.alias("key")).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct(F.col("key").alias("at"), "root"))).alias("roots"))
-        return found.select(F.lit(level).alias("level"), "key", "n_docs", "n_tokens", join("roots").alias("root"))
+        found = nodes.groupBy(key.alias("key")).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct(F.col("key").alias("at"), "root"))).alias("nodes"))
+        return found.select(F.lit(level).alias("level"), "key", "n_docs", "n_tokens", join(F.col("nodes.root")).alias("root"))
 
     at = F.col("key")
     blocks = cut(up(docs.select(F.col("row").alias("key"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", "root"), F.shiftright(at, FAN_BITS), 0), "blocks")
@@ -301,22 +302,29 @@ def _checked(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.int64()))], names=["digest", "n", "crc"])
 
 
-def _rebuilt(parts: pd.Series, roots: pd.Series, totals: pd.Series) -> pd.Series:
-    out = []
-    for chunks, root, total in zip(parts, roots, totals, strict=True):
-        crc, leaves, n = 0, [], 0
-        for c in chunks:
-            if c["digest"] is None:
-                raise ValueError("a chunk of a document isn't in the store")
-            if c["n"] != c["length"]:
-                raise ValueError("a chunk has another length than its recipe says")
-            leaves.append(bytes(c["digest"]))
-            crc = combine(crc, int(c["crc"]), 4 * int(c["n"]))
-            n += int(c["n"])
-        if merkle(leaves) != bytes(root) or n != total:
+def _rebuilt(parts: pa.Array, roots: pa.Array, totals: pa.Array) -> pa.Array:
+    """The CRC-32 of each document, from its chunks (pos, digest, n, length, crc) in order."""
+    _, digests, sizes, lengths, crcs = parts.flatten().flatten()
+    if digests.null_count:
+        raise ValueError("a chunk of a document isn't in the store")
+    if not sizes.equals(lengths):
+        raise ValueError("a chunk has another length than its recipe says")
+    out, ends = [], (parts.offsets.to_numpy() - parts.offsets[0].as_py()).tolist()
+    for (first, last), root, total in zip(pairwise(ends), roots.to_pylist(), totals.to_pylist(), strict=True):
+        crc, size = 0, last - first
+        some = sizes.slice(first, size).to_pylist()
+        for n, c in zip(some, crcs.slice(first, size).to_pylist(), strict=True):
+            crc = combine(crc, c, 4 * n)
+        if merkle(digests.slice(first, size).to_pylist()) != root or sum(some) != total:
             raise ValueError("a document can't be rebuilt: its chunks don't give its Merkle root or its number of ids")
         out.append(crc)
-    return pd.Series(out, dtype="int64")
+    return pa.array(out, pa.int64())
+
+
+def _roots(nodes: pa.Array) -> pa.Array:
+    """The Merkle root over each list of nodes."""
+    flat, ends = nodes.flatten(), (nodes.offsets.to_numpy() - nodes.offsets[0].as_py()).tolist()
+    return pa.array([merkle(flat.slice(a, b - a).to_pylist()) for a, b in pairwise(ends)], pa.binary())
 
 
 def _wanted(spark: SparkSession, path: str) -> DataFrame:
@@ -344,7 +352,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     chunks = _chunks(spark, path).mapInArrow(_checked, "digest binary, n int, crc long")
     found = _wanted(spark, path).join(chunks, F.col("address") == F.col("digest"), "left")
     docs = found.groupBy("part", "row", "id", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "n", "length", "crc"))).alias("parts"))
-    crc = F.pandas_udf(_rebuilt, "long")("parts", "root", "n_tokens").alias("ids_crc32")
+    crc = F.arrow_udf(_rebuilt, "long")("parts", "root", "n_tokens").alias("ids_crc32")
     docs = cut(docs.select("part", "row", "id", "n_tokens", "root", crc), "read")
     _check_manifest(spark, path, docs.select("row", "n_tokens", "root"))
     starts = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").where(F.col("level") == PART).select("key", F.col("start").alias("first"))
