@@ -55,13 +55,18 @@ def resident(key: tuple, make):
     stage that is done would else stay in memory beside those of the next one.
     """
     if key not in _RESIDENT:
-        if _RESIDENT:
-            _RESIDENT.clear()
-            _give_back()
+        release()
         _RESIDENT[key] = make()
     return _RESIDENT[key]
 
 
+def release() -> None:
+    """Drops what resident() keeps; for tasks that need none of it."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        _give_back()
+
+
 def _give_back() -> None:
     """Freed memory goes back to the system, where the C library can do that."""
     import ctypes

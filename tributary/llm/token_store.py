@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tributary.llm._text import Lexicon, gather, resident, slices, spread, without_tails
+from tributary.llm._text import Lexicon, gather, release, resident, slices, spread, without_tails
 from tributary.scratch import cut
 
 END_ID = 1
@@ -292,6 +292,7 @@ def combine(first: int, second: int, n: int) -> int:
 
 def _checked(batches):
     """Address as it follows from the bytes, number of ids, and the CRC-32 of the ids in 4 bytes each."""
+    release()
     for b in batches:
         rows = []
         for d, data, width in zip(b["digest"].to_pylist(), b["ids"].to_pylist(), b["width"].to_pylist(), strict=True):
@@ -304,6 +305,7 @@ def _checked(batches):
 
 def _rebuilt(parts: pa.Array, roots: pa.Array, totals: pa.Array) -> pa.Array:
     """The CRC-32 of each document, from its chunks (pos, digest, n, length, crc) in order."""
+    release()
     _, digests, sizes, lengths, crcs = parts.flatten().flatten()
     if digests.null_count:
         raise ValueError("a chunk of a document isn't in the store")
@@ -323,6 +325,7 @@ def _rebuilt(parts: pa.Array, roots: pa.Array, totals: pa.Array) -> pa.Array:
 
 def _roots(nodes: pa.Array) -> pa.Array:
     """The Merkle root over each list of nodes."""
+    release()
     flat, ends = nodes.flatten(), (nodes.offsets.to_numpy() - nodes.offsets[0].as_py()).tolist()
     return pa.array([merkle(flat.slice(a, b - a).to_pylist()) for a, b in pairwise(ends)], pa.binary())
 
