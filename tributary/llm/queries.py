@@ -26,7 +26,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string"))), ",")
-    return out.select("conv_id", "part", "assistant", "n_turns", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), spans.alias("mask"))
+    return out.select("conv_id", "part", "assistant", "n_turns", "start", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), spans.alias("mask"))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
