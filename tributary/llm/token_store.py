@@ -254,9 +254,9 @@ def _tree(docs: DataFrame) -> DataFrame:
 
     at = F.col("key")
     blocks = cut(up(docs.select(F.col("row").alias("key"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", "root"), F.shiftright(at, FAN_BITS), 0), "blocks")
-    groups = cut(up(blocks, F.shiftright(at, FAN_BITS), 1), "groups")
+    groups = up(blocks, F.shiftright(at, FAN_BITS), 1)  # one row in 2 ** FAN_BITS blocks: cheaper made again than written
     parts = up(groups, F.shiftright(at, 33 - 2 * FAN_BITS), PART)
-    return cut(blocks.unionByName(groups).unionByName(parts).unionByName(up(parts, F.lit(0).cast("long"), STORE)), "tree")
+    return blocks.unionByName(groups).unionByName(parts).unionByName(up(parts, F.lit(0).cast("long"), STORE))
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
