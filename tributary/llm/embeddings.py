@@ -89,11 +89,14 @@ def design(n: int, dim: int, cap: int = CAP, size: int = LIST) -> tuple[int, flo
 
 
 def _unit(blobs: list[bytes], dim: int) -> np.ndarray:
-    v = np.frombuffer(b"".join(blobs), "<f8").reshape(-1, dim)
+    """Unit vectors of packed ones, whose components are floats or doubles, as their lengths tell."""
+    v = np.frombuffer(b"".join(blobs), "<f4" if len(blobs[0]) == 4 * dim else "<f8").reshape(-1, dim).astype(np.float64)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _decoder(designs: dict[int, tuple[int, float]]):
+def _decoder(designs: dict[int, tuple[int, float]], kind: pa.DataType):
+    """Adds the caps of each vector, in ascending order."""
+
     def run(batches):
         codes = {}
         for whole in batches:
@@ -108,8 +111,8 @@ def _decoder(designs: dict[int, tuple[int, float]]):
                     unit = _unit([blobs[i] for i in at_dim], dim)
                     lists = [code.decode(unit, LEAST) for code in codes[dim]]
                     for i, found in zip(at_dim.tolist(), zip(*lists, strict=True), strict=True):
-                        caps[i] = np.concatenate([CODES * c + k for k, c in enumerate(found)])
-                yield row_batch(b, ["label", "dim", "cid", "n", "vec"], {"caps": (caps, pa.list_(pa.int64()))})
+                        caps[i] = np.sort(np.concatenate([CODES * c + k for k, c in enumerate(found)]))
+                yield row_batch(b, ["label", "dim", "cid", "n", "vec"], {"caps": (caps, pa.list_(kind))})
 
     return run
 
@@ -118,8 +121,7 @@ def _verifier(threshold: float):
     """Compares the members of each unit (a cap, or two blocks of one), which come sorted by unit."""
 
     def compare(key, rows):
-        cap, b1, b2 = key[2:]
-        dim = key[1]
+        dim, _, b1, b2 = key[1:]
         n, cid = np.array([r[1] for r in rows]), np.array([r[0] for r in rows], np.int64)
         side = np.array([r[4] for r in rows])
         u = _unit([r[2] for r in rows], dim)
@@ -130,7 +132,7 @@ def _verifier(threshold: float):
         if not near.any():
             return
         # A link is counted in the first cap that both ends are in.
-        lower = [np.asarray(r[3], np.int64)[np.asarray(r[3]) < cap] for r in rows]
+        lower = [np.asarray(r[3], np.int64) for r in rows]
         kinds, at = np.unique(np.concatenate(lower), return_inverse=True)
         if len(kinds):
             member = np.zeros((len(rows), len(kinds)), np.float32)
@@ -159,13 +161,13 @@ def _verifier(threshold: float):
         key, rows = None, []
         for b in batches:
             out = []
-            cols = [b[c].to_pylist() for c in ("label", "dim", "cap", "b1", "b2", "cid", "n", "vec", "caps", "block")]
-            for *k, cid, n, vec, caps, block in zip(*cols, strict=True):
+            cols = [b[c].to_pylist() for c in ("label", "dim", "cap", "b1", "b2", "cid", "n", "vec", "lower", "block")]
+            for *k, cid, n, vec, lower, block in zip(*cols, strict=True):
                 if k != key:
                     if len(rows) > 1:
                         out += compare(key, rows)
                     key, rows = k, []
-                rows.append((cid, n, vec, caps, block))
+                rows.append((cid, n, vec, lower, block))
             yield _links(out)
         if len(rows) > 1:
             yield _links(list(compare(key, rows)))
@@ -194,24 +196,30 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = cut(good.groupBy("label", "v").agg(F.min("id").alias("cid"), F.count("*").alias("n")), "classes")
     sizes = classes.groupBy("label", F.size("v").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("most")).collect()  # one row a dimension
     designs = {r.dim: design(r.most, r.dim) for r in sizes}
+    filters = max((CODES * words ** min(BLOCKS, dim) for dim, (words, _) in designs.items()), default=0)
+    cap_type, arrow_type = ("int", pa.int32()) if filters < 1 << 31 else ("long", pa.int64())
+    component = "<f4" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "<f8"
 
     def pack(batches):
         for b in batches:
-            yield row_batch(b, ["label", "dim", "cid", "n"], {"vec": ([np.array(v, "<f8").tobytes() for v in b["v"].to_pylist()], pa.binary())})
+            yield row_batch(b, ["label", "dim", "cid", "n"], {"vec": ([np.array(v, component).tobytes() for v in b["v"].to_pylist()], pa.binary())})
 
     label = classes.schema["label"].dataType.simpleString()
     head = f"label {label}, dim int, cid long, n long, vec binary"
     packed = classes.select("label", F.size("v").alias("dim"), F.col("cid").cast("long").alias("cid"), "n", "v").mapInArrow(pack, head)
-    decoded = cut(packed.mapInArrow(_decoder(designs), f"{head}, caps array<long>"), "caps")
+    decoded = cut(packed.mapInArrow(_decoder(designs, arrow_type), f"{head}, caps array<{cap_type}>"), "caps")
     keys = ["label", "dim", "cap"]
-    counts = decoded.select("label", "dim", F.explode("caps").alias("cap")).groupBy(*keys).count().where("count > 1")
-    parts = cut(counts.select(*keys, F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "counts")
-    member = decoded.select("*", F.explode("caps").alias("cap")).join(parts, keys)
-    member = member.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    member = member.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    member = member.withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other"))
+    # Which caps have two members and how many blocks they make is found with ids alone; vectors move once a cap after that.
+    slim = decoded.select("label", "dim", "cid", F.explode("caps").alias("cap"))
+    counts = slim.groupBy(*keys).count().where("count > 1").select(*keys, F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+    shared = slim.join(counts, keys).groupBy("label", "dim", "cid").agg(F.sort_array(F.collect_list(F.struct("cap", "parts"))).alias("shared"))
+    member = decoded.drop("caps").join(shared, ["label", "dim", "cid"])
+    member = member.select("*", F.posexplode("shared").alias("at", "unit"))
+    member = member.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("unit.parts")).cast("int"))
+    member = member.select("*", F.explode(F.sequence(F.lit(0), F.col("unit.parts") - 1)).alias("other"))
+    member = member.withColumns({"cap": F.col("unit.cap"), "b1": F.least("block", "other"), "b2": F.greatest("block", "other"), "lower": F.slice(F.col("shared.cap"), F.lit(1), F.col("at"))})
     unit = [*keys, "b1", "b2"]
-    dealt = member.repartition(*unit).sortWithinPartitions(*unit).select(*unit, "cid", "n", "vec", "caps", "block")
+    dealt = member.select(*unit, "cid", "n", "vec", "lower", "block").repartition(*unit).sortWithinPartitions(*unit)
     found = cut(dealt.mapInArrow(_verifier(threshold), "cid long, links long, root long"), "links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     groups = connected_components(found, "cid", "root").withColumnsRenamed({"id": "cid"})
