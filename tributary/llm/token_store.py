@@ -235,6 +235,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
 
 #: Bits of a row number that tell documents of a block apart, and levels of the manifest.
 FAN_BITS = 12
+#: Tasks that make a level above blocks.
+FEW = 8
 PART, STORE = 2, 3
 _MANIFEST = "level int, key long, n_docs long, n_tokens long, root binary, start long"
 
@@ -248,15 +250,17 @@ def _tree(docs: DataFrame) -> DataFrame:
     """
     join = F.arrow_udf(_roots, "binary")
 
-    def up(nodes: DataFrame, key, level: int) -> DataFrame:
+    def up(nodes: DataFrame, key, level: int, tasks: int | None = None) -> DataFrame:
         found = nodes.groupBy(key.alias("key")).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct(F.col("key").alias("at"), "root"))).alias("nodes"))
+        found = found.coalesce(tasks) if tasks else found
         return found.select(F.lit(level).alias("level"), "key", "n_docs", "n_tokens", join(F.col("nodes.root")).alias("root"))
 
     at = F.col("key")
     blocks = cut(up(docs.select(F.col("row").alias("key"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", "root"), F.shiftright(at, FAN_BITS), 0), "blocks")
-    groups = up(blocks, F.shiftright(at, FAN_BITS), 1)  # one row in 2 ** FAN_BITS blocks: cheaper made again than written
-    parts = up(groups, F.shiftright(at, 33 - 2 * FAN_BITS), PART)
-    return blocks.unionByName(groups).unionByName(parts).unionByName(up(parts, F.lit(0).cast("long"), STORE))
+    # Above blocks there is a row in 2 ** (2 * FAN_BITS) documents or less: few tasks, and cheaper made again than written.
+    groups = up(blocks, F.shiftright(at, FAN_BITS), 1, FEW)
+    parts = up(groups, F.shiftright(at, 33 - 2 * FAN_BITS), PART, FEW)
+    return blocks.unionByName(groups).unionByName(parts).unionByName(up(parts, F.lit(0).cast("long"), STORE, 1))
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
