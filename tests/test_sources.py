@@ -69,7 +69,7 @@ def test_invoke(spark):
 
 
 def test_stdlib(spark):
-    df = spark.createDataFrame([("os.path", True), ("Json", True), ("cProfile", True), ("numpy", False), ("", False)], "m string, want boolean")
+    df = spark.createDataFrame([("os.path", True), ("Json", True), ("cProfile", True), ("distutils.core", True), ("imp", True), ("numpy", False), ("", False)], "m string, want boolean")
     assert df.where(frontends.is_stdlib(F.col("m")) != F.col("want")).count() == 0
 
 
@@ -129,6 +129,27 @@ def test_tiers(spark):
         assert doc["domains"] == {"d": n} and ("hint" in doc) == (n >= 500) and len(doc["bridges"]) == (30 if n >= 500 else n - 1)
 
 
+def test_in_roots(spark):
+    df = frame(spark, {"build.gradle": "", "src/main/java/a/A.java": "", "src/test/java/a/ATest.java": "", "gen/B.java": "", "web/x.ts": "", "Makefile": ""})
+    assert {r.path for r in files.in_roots(df).collect()} == {"build.gradle", "src/main/java/a/A.java", "web/x.ts", "Makefile"}
+    assert files.in_roots(df).columns == df.columns
+
+
+def test_spots_and_caps(spark):
+    spots = spark.createDataFrame([("t", "b", "second"), ("t", "a", "first"), ("u", "c", None)], "type string, location string, description string")
+    assert {tuple(r) for r in exports.spots_by_type(spots).collect()} == {("t", 2, "first"), ("u", 1, None)}
+    line = lambda r: r.location
+    assert cli._capped(spots, ["location"], 3, "spots", line) == ["a", "b", "c"]
+    assert cli._capped(spots, ["location"], 2, "spots", line) == ["a", "b", "... and 1 more spots"]
+
+
+def test_js_report(spark, project, tmp_path, capsys):
+    (tmp_path / "report.json").write_text(json.dumps({"modules": [{"source": "web/q.ts", "dependencies": [{"resolved": "web/r.ts", "module": "./r"}]}, {"source": "web/r.ts", "dependencies": []}]}))
+    assert cli.main(["analyze", str(project), "--json", "--languages", "js", "--js-report", str(tmp_path / "report.json")], spark) == 0
+    doc = json.loads(capsys.readouterr().out)
+    assert [n["id"] for n in doc["graph"]["nodes"]] == ["web/q.ts", "web/r.ts"] and doc["graph"]["stats"]["edgeCount"] == 1
+
+
 def test_cli(spark, project, capsys):
     assert cli.main(["analyze", str(project), "--dot", str(project / "g.dot")], spark) == 0
     assert "Nodes:" in capsys.readouterr().out and (project / "g.dot").exists()

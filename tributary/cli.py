@@ -6,7 +6,7 @@ import argparse
 import sys
 from datetime import UTC, datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.operators import centrality, impact
@@ -14,6 +14,7 @@ from tributary.plans import analysis
 from tributary.sinks import exports
 from tributary.sources import config as settings
 from tributary.sources.files import Git, scan
+from tributary.sources.frontends import FRONTENDS, JS_EXTENSIONS, dependency_json
 
 VERSION = "0.1.0"
 
@@ -29,6 +30,7 @@ def _options(argv: list[str] | None) -> argparse.Namespace:
     a.add_argument("--with-full-analysis", action="store_true")
     a.add_argument("--dot", metavar="FILE")
     a.add_argument("--mermaid", metavar="FILE")
+    a.add_argument("--js-report", metavar="FILE", help="a dependency scanner's JSON report, read instead of scanning JavaScript")
     d = sub.add_parser("diff")
     d.add_argument("base", nargs="?", default="HEAD")
     d.add_argument("head", nargs="?")
@@ -38,13 +40,17 @@ def _options(argv: list[str] | None) -> argparse.Namespace:
         s.add_argument("--depth", type=int, default=3)
         s.add_argument("--languages", type=lambda x: x.split(","))
         s.add_argument("--format", choices=("text", "agent"), default="text")
+        s.add_argument("--all-java", action="store_true", help="Java outside the source roots too, such as tests")
         s.add_argument("--config", help="settings, .tributary.yml in the project by default")
     return p.parse_args(argv)
 
 
 def analyze(spark: SparkSession, o: argparse.Namespace) -> int:
     config = settings.load(o.config or f"{o.path}/.tributary.yml")
-    found = analysis.analyse(scan(spark, o.path), config, o.languages)
+    frontends = FRONTENDS
+    if o.js_report:
+        frontends = FRONTENDS | {"js": (JS_EXTENSIONS, lambda _: dependency_json(spark, o.js_report))}
+    found = analysis.analyse(scan(spark, o.path), config, o.languages, frontends, o.all_java)
     if o.target:
         return _target(spark, o, found)
     if o.dot:
@@ -72,15 +78,20 @@ def summary_lines(found: analysis.Analysis) -> list[str]:
     out = [f"Nodes: {n}", f"Edges: {e}"]
     if found.sparse():
         out.append("Few dependencies were found for so many nodes; are all sources readable?")
-    out += [f"Domain {r.domain}: {r.n}" for r in found.domains.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").limit(100).collect()]
+    out += _capped(found.domains.groupBy("domain").agg(F.count("*").alias("n")), ["domain"], 100, "domains", lambda r: f"Domain {r.domain}: {r.n}")
     hot = found.hotspots.limit(cap + 1).collect()
     out += [f"Hotspot {r.id}: {r.in_degree} dependents" for r in hot[:cap]]
     if len(hot) > cap:
         out.append(f"... and {found.hotspots.count() - cap} more")
     out += [f"Cycle: {' -> '.join(r.members)}" for r in found.cycles.orderBy("cycle").limit(exports.TOP_CYCLES).collect()]
-    out += [f"Blind spots of type {r.type}: {r.n}" for r in found.blind_spots.groupBy("type").agg(F.count("*").alias("n")).orderBy("type").collect()]
-    out += [f"Left out: {r.source} -> {r.target} ({r.kind})" for r in found.warnings.orderBy("source", "target").limit(20).collect()]
-    return out
+    out += [f"Blind spots of type {r.type}: {r.n}, first: {r.description}" for r in exports.spots_by_type(found.blind_spots).orderBy("type").collect()]
+    return out + _capped(found.warnings, ["source", "target"], 20, "left out", lambda r: f"Left out: {r.source} -> {r.target} ({r.kind})")
+
+
+def _capped(rows: DataFrame, order: list[str], cap: int, what: str, line) -> list[str]:
+    """The first rows as lines, and how many more there are."""
+    out = [line(r) for r in rows.orderBy(*order).limit(cap + 1).collect()]
+    return out if len(out) <= cap else [*out[:cap], f"... and {rows.count() - cap} more {what}"]
 
 
 def _target(spark: SparkSession, o: argparse.Namespace, found: analysis.Analysis) -> int:
@@ -112,7 +123,7 @@ def diff(spark: SparkSession, o: argparse.Namespace) -> int:
         return 2
     config = settings.load(o.config or f"{o.path}/.tributary.yml")
     head = git.snapshot(spark, o.head) if o.head else scan(spark, o.path)
-    found = analysis.compare(git.snapshot(spark, o.base), head, git.changed(o.base, o.head), config, o.depth, o.languages)
+    found = analysis.compare(git.snapshot(spark, o.base), head, git.changed(o.base, o.head), config, o.depth, o.languages, o.all_java)
     violations = found.head.violations(config)
     print("\n".join(exports.report_lines(found.edges, found.summary, found.impact, violations)))
     s = found.summary.first()

@@ -11,6 +11,7 @@ from tributary.operators import change, domains, impact, structure
 from tributary.schema import Graph
 from tributary.scratch import cut
 from tributary.sources.config import Config
+from tributary.sources.files import in_roots
 from tributary.sources.frontends import graph_of, parse
 
 
@@ -47,10 +48,13 @@ class Analysis:
         return out
 
 
-def analyse(files: DataFrame, config: Config | None = None, languages: list[str] | None = None) -> Analysis:
-    """Reads source files and analyses their graph; without any files, that of an empty graph."""
+def analyse(files: DataFrame, config: Config | None = None, languages: list[str] | None = None, frontends: dict | None = None, all_java: bool = True) -> Analysis:
+    """Reads source files and analyses their graph; without any files, that of an empty graph.
+
+    frontends replaces those of the library; without all_java, Java is read below source roots only.
+    """
     config = config or Config()
-    parsed = parse(config.visible(files), languages)
+    parsed = parse(config.visible(files if all_java else in_roots(files)), languages, frontends)
     graph, warnings = graph_of(parsed)
     graph = Graph(cut(graph.nodes, "nodes"), cut(graph.edges, "edges"))
     found = cut(domains.assign(graph.nodes, config.prefixes()), "domains")
@@ -73,10 +77,10 @@ class Change:
     impact: DataFrame
 
 
-def compare(base_files: DataFrame, head_files: DataFrame, changed_files: list[str] | None = None, config: Config | None = None, depth: int = 3, languages: list[str] | None = None) -> Change:
+def compare(base_files: DataFrame, head_files: DataFrame, changed_files: list[str] | None = None, config: Config | None = None, depth: int = 3, languages: list[str] | None = None, all_java: bool = True) -> Change:
     """Both snapshots are read whole, so no difference is missed or made up."""
     config = config or Config()
-    base, head = analyse(base_files, config, languages), analyse(head_files, config, languages)
+    base, head = (analyse(f, config, languages, all_java=all_java) for f in (base_files, head_files))
     nodes, edges = cut(change.diff_nodes(base.graph, head.graph), "diff"), cut(change.diff_edges(base.graph, head.graph), "diff")
     cycles = change.diff_cycles(base.cycles, head.cycles)
     matched = None

@@ -106,8 +106,13 @@ def _dump(value) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
+def spots_by_type(blind_spots: DataFrame) -> DataFrame:
+    """(type, n, description) of each type of blind spot, with the description of the first by location."""
+    return blind_spots.groupBy("type").agg(F.count("*").alias("n"), F.min(F.struct("location", "description")).getField("description").alias("description"))
+
+
 def _spots(blind_spots: DataFrame) -> dict:
-    return {r.type: r.n for r in blind_spots.groupBy("type").agg(F.count("*").alias("n")).orderBy("type").collect()}
+    return {r.type: r.n for r in spots_by_type(blind_spots).orderBy("type").collect()}
 
 
 def agent_json(graph: Graph, domains: DataFrame, cycles: DataFrame, hotspots: DataFrame, blind_spots: DataFrame, full: dict[str, DataFrame] | None = None) -> str:
@@ -127,7 +132,7 @@ def agent_json(graph: Graph, domains: DataFrame, cycles: DataFrame, hotspots: Da
         out["cycles"] = [r.members for r in cycles.orderBy("cycle").collect()]
         return _dump(out)
     capped = n >= TIER2
-    out["domains"] = {r.domain: r["count"] for r in domains.groupBy("domain").count().orderBy("domain").limit(DOCUMENT_ROWS).collect()}
+    out["domains"] = {r.domain: r["count"] for r in _bounded(domains.groupBy("domain").count(), ["domain"])}
     hot = hotspots.join(full["centrality"].select("id", "pagerank"), "id").orderBy(F.col("in_degree").desc(), "id").limit(TOP_HOTSPOTS if capped else TIER2)
     out["hotspots"] = [{"id": r.id, "pr": r.pagerank, "dependents": r.in_degree} for r in hot.collect()]
     out["bridges"] = [f"{r.u}->{r.v}" for r in pairs.orderBy("u", "v").limit(TOP_BRIDGES if capped else TIER2).collect()]

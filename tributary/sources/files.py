@@ -107,6 +107,14 @@ def source_roots(files: DataFrame) -> DataFrame:
     return found.crossJoin(F.broadcast(first)).where("rank = first").select("module", "path").distinct()  # one row
 
 
+def in_roots(files: DataFrame) -> DataFrame:
+    """files, of Java sources only those below a source root (test sources and generated code are not)."""
+    java = extension(F.col("path")) == "java"
+    roots = source_roots(files).select(F.col("path").alias("root")).distinct()
+    below = files.where(java).withColumn("root", F.regexp_extract("path", r"^((?:.+/)?src/main/java)/", 1)).join(roots, "root", "left_semi")
+    return files.where(~java | java.isNull()).unionByName(below.select(*files.columns))
+
+
 def class_folders(files: DataFrame) -> DataFrame:
     """(path): folders of compiled classes, at most two levels down."""
     return files.select(F.regexp_extract("path", r"^((?:[^/]+/){0,2}(?:target/classes|build/classes/java/main))/", 1).alias("path")).where("path != ''").distinct()

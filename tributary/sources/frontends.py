@@ -183,9 +183,16 @@ def py_imports(files: DataFrame, strict: bool = False) -> DataFrame:
     return lines.select("path", F.explode(F.coalesce(plain, origin)).alias("import")).distinct()
 
 
+# Modules that the standard library had and that newer versions of Python no longer name.
+FORMER_STDLIB = (
+    "aifc", "asynchat", "asyncore", "audioop", "binhex", "cgi", "cgitb", "chunk", "crypt", "distutils", "formatter", "imghdr", "imp", "lib2to3", "mailcap", "msilib",
+    "nis", "nntplib", "ossaudiodev", "parser", "pipes", "smtpd", "sndhdr", "spwd", "sunau", "symbol", "telnetlib", "thread", "uu", "xdrlib",
+)
+
+
 def is_stdlib(module: Column) -> Column:
-    """Whether a dotted module's first part is in the standard library, whatever the case."""
-    names = sorted({n.lower() for n in sys.stdlib_module_names})
+    """Whether a dotted module's first part is, or once was, in the standard library, whatever the case."""
+    names = sorted({n.lower() for n in sys.stdlib_module_names} | set(FORMER_STDLIB))
     return F.lower(F.get(F.split(module, r"\."), F.lit(0))).isin(*names)
 
 
