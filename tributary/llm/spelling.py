@@ -147,6 +147,8 @@ def forms(words: DataFrame, pairs: DataFrame, ratio: int = RATIO) -> DataFrame:
     that is ratio times the word's n or more; root is where forms lead to in the
     end, the word itself if it has none.
     """
+    if ratio < 2:
+        raise ValueError("forms end for certain only if each is at least twice as frequent as the word before")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near")))
     both = both.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
@@ -155,19 +157,18 @@ def forms(words: DataFrame, pairs: DataFrame, ratio: int = RATIO) -> DataFrame:
     out = out.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(follows, F.col("best.near")).alias("form"), F.when(follows, F.col("form_n")).alias("form_n"))
     out = cut(out, "forms")
     steps = out.where(F.col("form").isNotNull()).select("word", F.col("form").alias("root"))
-    # n grows tenfold with each step, so there are 19 steps at most, and five doublings lead to the end of each chain.
-    for _ in range(max(1, _steps(ratio).bit_length())):
+    # n grows by the ratio with each step, so the largest one bounds the steps (19 at ratio 10), and each doubling goes twice as far.
+    most = out.agg(F.max("form_n")).first()[0] or 0
+    for _ in range((_steps(ratio, most) - 1).bit_length()):
         onward = steps.select(F.col("word").alias("via"), F.col("root").alias("onward"))
         steps = cut(steps.join(onward, F.col("root") == F.col("via"), "left").select("word", F.coalesce("onward", "root").alias("root")), "roots")
     return out.join(steps, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
-def _steps(ratio: int) -> int:
-    """How often a count of 64 bits can grow by a ratio."""
-    if ratio < 2:
-        raise ValueError("forms end for certain only if each is at least twice as frequent as the word before")
-    steps, n = 0, 1
-    while n < 1 << 63:
+def _steps(ratio: int, most: int) -> int:
+    """How many forms there can be one after the other if none has more than most occurrences, 1 at least."""
+    steps, n = 1, ratio
+    while n * ratio <= most:
         steps, n = steps + 1, n * ratio
     return steps
 
