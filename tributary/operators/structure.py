@@ -25,7 +25,7 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _split(edges: DataFrame, local_edges: int) -> tuple[DataFrame, DataFrame]:
+def split(edges: DataFrame, local_edges: int) -> tuple[DataFrame, DataFrame]:
     """Edges with their component, of components within the bound and beyond it."""
     plain = edges.select("source", "target").where("source != target").distinct()
     named = plain.join(connected_components(plain, "source", "target"), F.col("source") == F.col("id")).select("component", "source", "target")
@@ -36,7 +36,7 @@ def _split(edges: DataFrame, local_edges: int) -> tuple[DataFrame, DataFrame]:
 
 def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, cycle): members of strongly connected components of two nodes and more; cycle is the smallest member."""
-    small, large = _split(edges, local_edges)
+    small, large = split(edges, local_edges)
     found = small.groupBy("component").applyInPandas(_tarjan, f"id {_kind(edges)}, cycle {_kind(edges)}")
     if large.head(1):
         found = found.unionByName(_coloured(large))
@@ -136,7 +136,7 @@ def cycles(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
 def bridges(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(u, v), u < v: edges of the undirected simple graph without which a component falls apart."""
     pairs = edges.where("source != target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
-    small, large = _split(pairs, local_edges)
+    small, large = split(pairs, local_edges)
     found = small.groupBy("component").applyInPandas(_low_links, f"u {_kind(edges)}, v {_kind(edges)}")
     if large.head(1):
         found = found.unionByName(_xor_bridges(large))

@@ -411,13 +411,19 @@ def pagerank(spark, sf_dir):
 PATHS = "lv(d, s, id, paths) AS (SELECT 0, id, id, 1.0::DOUBLE FROM nodes UNION ALL SELECT l.d + 1, l.s, e.target, sum(l.paths) FROM lv l JOIN edges e ON e.source = l.id WHERE l.d < 25 GROUP BY 1, 2, 3), sp AS (SELECT s, id, d AS dist, paths FROM lv QUALIFY row_number() OVER (PARTITION BY s, id ORDER BY d) = 1)"
 
 
-@query(TRADE3 + f", {PATHS}, r AS (SELECT s, count(*) AS r, sum(dist) AS t FROM sp WHERE dist > 0 GROUP BY 1) SELECT n.id, round(CASE WHEN r.r > 1 THEN least(1.0::DOUBLE, (r.r - 1)::DOUBLE / r.t * ((SELECT count(*) FROM nodes) - 1)) ELSE 0.0 END, 6) AS closeness FROM nodes n LEFT JOIN r ON r.s = n.id")
+CLOSENESS = "r AS (SELECT s, count(*) AS r, sum(dist) AS t FROM sp WHERE dist > 0 GROUP BY 1) SELECT n.id, round(CASE WHEN r.r > 1 THEN least(1.0::DOUBLE, (r.r - 1)::DOUBLE / r.t * ((SELECT count(*) FROM nodes) - 1)) ELSE 0.0 END, 6) AS closeness FROM nodes n LEFT JOIN r ON r.s = n.id"
+
+
+@query(TRADE3 + f", {PATHS}, {CLOSENESS}")
 def closeness(spark, sf_dir):
     found = centrality.closeness(demo.trade_graph(spark, sf_dir, 3))
     return found.select("id", F.round("closeness", 6).alias("closeness"))
 
 
-@query(TRADE3 + f", {PATHS}, b AS (SELECT a.id, sum(a.paths * c.paths / z.paths) AS b FROM sp a JOIN sp c ON c.s = a.id JOIN sp z ON z.s = a.s AND z.id = c.id AND z.dist = a.dist + c.dist WHERE a.dist > 0 AND c.dist > 0 AND z.dist > 0 GROUP BY 1) SELECT n.id, round(coalesce(b.b, 0) / (SELECT max(b) FROM b), 6) AS betweenness FROM nodes n LEFT JOIN b USING (id)")
+BETWEENNESS = "b AS (SELECT a.id, sum(a.paths * c.paths / z.paths) AS b FROM sp a JOIN sp c ON c.s = a.id JOIN sp z ON z.s = a.s AND z.id = c.id AND z.dist = a.dist + c.dist WHERE a.dist > 0 AND c.dist > 0 AND z.dist > 0 GROUP BY 1) SELECT n.id, round(coalesce(b.b, 0) / (SELECT max(b) FROM b), 6) AS betweenness FROM nodes n LEFT JOIN b USING (id)"
+
+
+@query(TRADE3 + f", {PATHS}, {BETWEENNESS}")
 def betweenness(spark, sf_dir):
     found = centrality.betweenness(demo.trade_graph(spark, sf_dir, 3))
     return found.select("id", F.round("betweenness", 6).alias("betweenness"))
@@ -487,14 +493,14 @@ def pagerank_events(spark, sf_dir):
     return centrality.pagerank(demo.event_graph(spark, sf_dir), tolerance=0.0)
 
 
-@query()
+@query(EVENTS + f", {PATHS}, {CLOSENESS}")
 def closeness_events(spark, sf_dir):
-    return centrality.closeness(demo.event_graph(spark, sf_dir))
+    return centrality.closeness(demo.event_graph(spark, sf_dir)).select("id", F.round("closeness", 6).alias("closeness"))
 
 
-@query()
+@query(EVENTS + f", {PATHS}, {BETWEENNESS}")
 def betweenness_events(spark, sf_dir):
-    return centrality.betweenness(demo.event_graph(spark, sf_dir))
+    return centrality.betweenness(demo.event_graph(spark, sf_dir)).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
 @query()
