@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,12 +132,18 @@ def call_depths(graph: Graph, bound: int) -> DataFrame:
     """(id, depth, exact): nodes on the longest simple path of dependents that starts at each node, itself included.
 
     Without cycles depths are settled by levels, without a bound. Nodes whose
-    dependents meet a cycle are searched path by path up to ``bound`` + 1 nodes, which is all
-    that a rule with that limit asks; depths beyond are told as bound + 1, and exact is false.
+    dependents meet a cycle are settled up to ``bound`` + 1 nodes, which is all that
+    a rule with that limit asks; depths beyond are told as bound + 1, and exact is false.
+
+    A path that leaves a strongly connected component never returns to it, so a
+    simple path is known well enough by its length and its nodes in the component
+    it starts in. Of these sets of nodes few are kept for each start and length:
+    whatever can precede a path can also precede a kept one (see _Family). So
+    there are no more rows than nodes times a number that depends on bound alone.
     """
-    step = graph.edges.select(F.col("target").alias("id"), F.col("source").alias("next"))
-    cyclic = strong_components(graph.edges).select("id")
-    tainted = cut(_closure(step.select(F.col("next").alias("id"), F.col("id").alias("next")), cyclic), "tainted")
+    step = graph.edges.select(F.col("target").alias("id"), F.col("source").alias("next")).where("id != next").distinct()
+    labels = cut(strong_components(graph.edges), "labels")
+    tainted = cut(_closure(step.select(F.col("next").alias("id"), F.col("id").alias("next")), labels.select("id")), "tainted")
     clean = cut(graph.nodes.select("id").join(tainted, "id", "left_anti"), "clean")
     free = cut(step.join(clean, "id", "left_semi"), "free")
     depth = cut(clean.withColumn("depth", F.lit(1)), "depth")
@@ -146,18 +153,111 @@ def call_depths(graph: Graph, bound: int) -> DataFrame:
         if not after.join(depth, ["id", "depth"], "left_anti").head(1):
             break
         depth = after
-    out = depth.withColumn("exact", F.lit(True))
-    paths = cut(tainted.select(F.col("id").alias("start"), "id", F.array("id").alias("path")), "paths")
-    found = paths.select("start", F.lit(1).alias("depth"))
-    for k in range(2, bound + 2):
-        paths = cut(paths.join(step, "id").where(~F.array_contains("path", F.col("next"))).select("start", F.col("next").alias("id"), F.array_append("path", F.col("next")).alias("path")), "paths")
-        if not paths.head(1):
+    bent = _bent_depths(step.join(tainted, "id", "left_semi"), labels, tainted, depth, bound + 1)
+    return depth.withColumn("exact", F.lit(True)).unionByName(bent.select("id", "depth", (F.col("depth") <= bound).alias("exact")))
+
+
+def _bent_depths(step: DataFrame, labels: DataFrame, tainted: DataFrame, clean: DataFrame, most: int) -> DataFrame:
+    """(id, depth): for the tainted nodes, up to most."""
+    own = labels.select("id", F.col("cycle").alias("here"))
+    to = labels.select(F.col("id").alias("next"), F.col("cycle").alias("there"))
+    named = step.join(own, "id", "left").join(to, "next", "left")
+    inside, across = named.where("here = there"), named.where("here IS NULL OR there IS NULL OR here != there")
+    inside, across = cut(inside.select("id", "next"), "inside"), cut(across.select("id", "next"), "across")
+    depth = tainted.withColumn("depth", F.lit(1))
+    family = tainted.select("id", F.array("id").alias("path"))
+    for k in range(2, most + 1):
+        # On from paths within the component, and from nodes elsewhere that k - 1 nodes start at, whatever these are.
+        grown = inside.join(family.withColumnRenamed("id", "next"), "next").where(~F.array_contains("path", F.col("id")))
+        grown = grown.select("id", F.array_append("path", F.col("id")).alias("path"))
+        ready = depth.where(F.col("depth") == k - 1).unionByName(clean.where(F.col("depth") >= k - 1)).select(F.col("id").alias("next")).distinct()
+        fresh = across.join(ready, "next", "left_semi").select("id", F.array("id").alias("path")).distinct()
+        family = cut(_few(grown.unionByName(fresh), most - k), "family")
+        reached = family.select("id").distinct().withColumn("depth", F.lit(k))
+        depth = cut(depth.unionByName(reached).groupBy("id").agg(F.max("depth").alias("depth")), "depth")
+        if not family.head(1):
             break
-        found = found.unionByName(paths.select("start", F.lit(k).alias("depth")).distinct())
-        if k == bound + 1:
-            break
-    rest = found.groupBy(F.col("start").alias("id")).agg(F.max("depth").alias("depth"))
-    return out.unionByName(rest.select("id", "depth", (F.col("depth") <= bound).alias("exact")))
+    return depth
+
+
+def _few(paths: DataFrame, ahead: int) -> DataFrame:
+    """Of the paths of each id as many as matter if ahead more nodes are to precede them: first in each task, then for each id."""
+    kind = paths.schema.simpleString().removeprefix("struct<").removesuffix(">").replace("id:", "id ", 1).replace(",path:", ", path ")
+
+    def reduce(batches):
+        kept, held = {}, 0
+        for b in batches:
+            for id_, path in zip(b.column("id").to_pylist(), b.column("path").to_pylist(), strict=True):
+                held += kept.setdefault(id_, _Family(ahead)).add(path)
+            if held > HELD_PATHS:
+                yield _rows(kept, b.schema)
+                kept, held = {}, 0
+        if kept:
+            yield _rows(kept, b.schema)
+
+    return paths.mapInArrow(reduce, kind).repartition("id").sortWithinPartitions("id").mapInArrow(_by_id(ahead), kind)
+
+
+#: Paths that a task holds before it passes on what it has.
+HELD_PATHS = 200_000
+
+
+def _by_id(ahead: int):
+    """The same for partitions that are sorted by id and have all of its paths; ids are held until a batch ends, the last one until it does."""
+
+    def reduce(batches):
+        kept, last = {}, None
+        for b in batches:
+            for id_, path in zip(b.column("id").to_pylist(), b.column("path").to_pylist(), strict=True):
+                last = id_
+                kept.setdefault(id_, _Family(ahead)).add(path)
+            yield _rows({k: v for k, v in kept.items() if k != last}, b.schema)
+            kept = {last: kept[last]} if last in kept else {}
+        if kept:
+            yield _rows(kept, b.schema)
+
+    return reduce
+
+
+def _rows(kept: dict, schema: pa.Schema) -> pa.RecordBatch:
+    pairs = [(id_, path) for id_, family in kept.items() for path in family.paths]
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], schema.field("id").type), pa.array([p[1] for p in pairs], schema.field("path").type)], schema=schema)
+
+
+class _Family:
+    """Representatives of paths: for any set of ahead nodes, if some added path has none of them, a kept one has none of them.
+
+    A tree: each place has a path, and a branch for each of its nodes, for sets with
+    that node, down to ahead branches. A set is followed from the top along a node
+    that it shares with the path there; where it shares none, or is used up, the
+    path does. So a path goes to every empty place whose branches avoid its nodes.
+    """
+
+    def __init__(self, ahead: int):
+        self.ahead, self.top, self.paths = ahead, None, []
+
+    def add(self, path: list) -> bool:
+        """Whether the path is kept."""
+        nodes = set(path)
+        if self.top is None:
+            self.top = (path, {})
+            self.paths.append(path)
+            return True
+        kept, todo = False, [(self.top, 0)]
+        while todo:
+            (there, branches), depth = todo.pop()
+            if depth == self.ahead:
+                continue
+            for x in there:
+                if x in nodes:
+                    continue
+                if x in branches:
+                    todo.append((branches[x], depth + 1))
+                else:
+                    branches[x], kept = (path, {}), True
+        if kept:
+            self.paths.append(path)
+        return kept
 
 
 def _closure(step: DataFrame, start: DataFrame) -> DataFrame:
