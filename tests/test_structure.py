@@ -35,6 +35,26 @@ def test_deep_chain(spark):
     assert structure.bridges(graph(spark, edges).edges).count() == 1499
 
 
+def test_bridges_of_a_chain_take_few_rounds(spark, monkeypatch):
+    """Tables written for 4,000 nodes in a row with a ring at the end: under 60, not one for each of them."""
+    made, plain = [], structure.cut
+    monkeypatch.setattr(structure, "cut", lambda df, label="cut": made.append(label) or plain(df, label))
+    monkeypatch.setattr(structure, "WIDE", 2)
+    edges = [(f"N{i:04}", f"N{i + 1:04}") for i in range(4_000)] + [("N3990", "N4000"), *((f"N{i:04}", "leaf%d" % i) for i in (0, 1)), *(("N2000", f"s{i}") for i in range(9))]
+    found = {(r.u, r.v) for r in structure.bridges(graph(spark, edges).edges, 0).collect()}
+    assert found == {tuple(sorted(e)) for e in edges if not (e[0] >= "N3990" and e[1] <= "N4000" and e[0] < "O")}
+    assert len(made) < 60, made
+
+
+def test_forest_in_rounds_and_in_one_task(spark):
+    edges = sorted({tuple(sorted(e)) for e in random_edges(8, 30, 45)})
+    for bound in (0, 12, 1_000):
+        got = [(r.source, r.target) for r in structure.forest(graph(spark, edges).edges, bound).collect()]
+        low = components(nodes_of(edges), edges)
+        assert len(got) == len(set(got)) == len(low) - len(set(low.values())) and set(got) <= set(edges)
+        assert components(nodes_of(edges), got) == low
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_graphs_both_ways(spark, seed):
     edges = random_edges(seed)

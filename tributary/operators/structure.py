@@ -3,7 +3,8 @@
 Both split the graph into weakly connected components first. A component whose
 number of edges, which is counted, stays under ``local_edges`` is solved in one
 task; larger ones are solved by rounds of joins. No component beyond that
-bound is ever in one place.
+bound is ever in one place. The rounds for bridges grow with the logarithm of
+the nodes, those for cycles with their depth.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tributary.operators.components import connected_components
 from tributary.scratch import cut, drop
@@ -139,7 +141,7 @@ def bridges(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     small, large = split(pairs, local_edges)
     found = small.groupBy("component").applyInPandas(_low_links, f"u {_kind(edges)}, v {_kind(edges)}")
     if large.head(1):
-        found = found.unionByName(_xor_bridges(large))
+        found = found.unionByName(_xor_bridges(large, local_edges))
     return found
 
 
@@ -171,33 +173,112 @@ def _low_links(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["u", "v"])
 
 
-def _xor_bridges(pairs: DataFrame) -> DataFrame:
-    """Bridges by levels: every edge outside a breadth-first tree has a random tag, and a tree edge is a bridge if the tags below it cancel out."""
-    both = cut(pairs.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(pairs.select(F.col("target").alias("a"), F.col("source").alias("b"))), "both")
-    roots = pairs.groupBy("component").agg(F.min("source").alias("id"))
-    tree = cut(roots.select("id", F.lit(None).cast(_kind(pairs)).alias("parent"), F.lit(0).alias("level")), "tree")
-    depth, front = 0, tree
-    while True:
-        reached = both.join(front.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
-        front = cut(reached.join(tree.select("id"), "id", "left_anti").withColumn("level", F.lit(depth + 1)), "front")
-        if not front.head(1):
-            break
-        depth += 1
-        tree = cut(tree.unionByName(front), "tree")
-    up = tree.where("parent is not null").select(F.least("id", "parent").alias("source"), F.greatest("id", "parent").alias("target"))
-    rest = pairs.select("source", "target").join(up, ["source", "target"], "left_anti").withColumn("tag", F.xxhash64("source", "target"))
-    tags = rest.select(F.col("source").alias("id"), "tag").unionByName(rest.select(F.col("target").alias("id"), "tag")).groupBy("id").agg(F.bit_xor("tag").alias("tag"))
-    tagged = cut(tree.join(tags, "id", "left").select("id", "parent", "level", F.coalesce("tag", F.lit(0).cast("long")).alias("tag")), "tagged")
-    out, below = None, None
-    for level in range(depth, 0, -1):
-        here = tagged.where(F.col("level") == level)
-        if below is not None:
-            here = here.join(below, "id", "left").select("id", "parent", "level", F.col("tag").bitwiseXOR(F.coalesce("sub", F.lit(0).cast("long"))).alias("tag"))
-        here = cut(here, "level")
-        found = here.where("tag = 0").select(F.least("id", "parent").alias("u"), F.greatest("id", "parent").alias("v"))
-        out = found if out is None else out.unionByName(found)
-        below = here.groupBy(F.col("parent").alias("id")).agg(F.bit_xor("tag").alias("sub"))
-    return out
+def _xor_bridges(pairs: DataFrame, local_edges: int = 0) -> DataFrame:
+    """Bridges in a number of rounds that grows with the logarithm of the nodes, however deep the graph is.
+
+    Every edge outside a spanning forest has a random tag, a node the xor of its
+    edges' tags; a forest edge is a bridge if the tags on one side of it cancel out.
+    The sides are stretches of a walk around the tree, which comes in along each
+    edge once from either end; the xor of what follows in the walk is added up by
+    pointers that jump twice as far each time.
+    """
+    kind = _kind(pairs)
+    tree = cut(forest(pairs, local_edges), "tree")
+    rest = pairs.select("source", "target").join(tree, ["source", "target"], "left_anti").withColumn("tag", F.xxhash64("source", "target"))
+    tags = rest.select(F.explode(F.array("source", "target")).alias("v"), "tag").groupBy("v").agg(F.bit_xor("tag").alias("tag"))
+    walk = cut(_walk(tree, pairs.select("component").distinct(), tags), "walk")
+    while walk.where("next_u IS NOT NULL").head(1):
+        after = cut(_jumped(_jumped(walk)), "walk")
+        drop(walk)
+        walk = after
+    ends = walk.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.bit_xor("x").alias("x"))
+    return ends.where("x = 0").select(F.col("u").cast(kind), F.col("v").cast(kind))
+
+
+def _jumped(walk: DataFrame) -> DataFrame:
+    """Each step's xor and pointer moved on to where the next step's point; steps at the end of their walk stay out of the join."""
+    on = walk.select(F.col("u").alias("next_u"), F.col("v").alias("next_v"), F.col("x").alias("more"), F.col("next_u").alias("far_u"), F.col("next_v").alias("far_v"))
+    moved = walk.where("next_u IS NOT NULL").join(on, ["next_u", "next_v"])
+    moved = moved.select("u", "v", F.col("x").bitwiseXOR(F.col("more")).alias("x"), F.col("far_u").alias("next_u"), F.col("far_v").alias("next_v"))
+    return moved.unionByName(walk.where("next_u IS NULL"))
+
+
+#: Neighbours of a node that one task puts in a row.
+WIDE = 100_000
+
+
+def _walk(tree: DataFrame, roots: DataFrame, tags: DataFrame) -> DataFrame:
+    """(u, v, x, next_u, next_v): the steps of a walk around each tree, from its smallest node (component) on.
+
+    After a step from u to v comes the one from v to its neighbour after u, in any
+    order that goes around; neighbours of hubs are put in rows of WIDE, and these
+    rows one behind the other. x is v's tag at one of the steps that lead to v, else 0.
+    """
+    steps = tree.select(F.col("source").alias("u"), F.col("target").alias("v")).unionByName(tree.select(F.col("target").alias("u"), F.col("source").alias("v")))
+    sizes = steps.groupBy("v").agg(F.min("u").alias("first"), F.ceil(F.count("*") / WIDE).alias("rows"))
+    steps = steps.join(sizes, "v").withColumn("row", F.when(F.col("u") == F.col("first"), 0).otherwise(F.pmod(F.xxhash64("u"), F.col("rows"))))
+    # The first neighbour leads the first row, so the last row's end goes on to it.
+    heads = steps.groupBy("v", "row").agg(F.min("u").alias("head"))
+    heads = heads.withColumn("after", F.lead("head").over(Window.partitionBy("v").orderBy("row"))).select("v", "row", "after")
+    steps = steps.withColumn("beside", F.lead("u").over(Window.partitionBy("v", "row").orderBy("u"))).join(heads, ["v", "row"])
+    steps = steps.join(tags, "v", "left").join(roots.select(F.col("component").alias("v"), F.lit(True).alias("root")), "v", "left")
+    to = F.coalesce("beside", "after")
+    to = F.when(to.isNull() & F.col("root").isNull(), F.col("first")).otherwise(to)
+    tag = F.when(F.col("u") == F.col("first"), F.coalesce("tag", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return steps.select("u", "v", tag.alias("x"), F.when(to.isNotNull(), F.col("v")).alias("next_u"), to.alias("next_v"))
+
+
+def forest(pairs: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(source, target): edges that connect what pairs connect, without a cycle.
+
+    In each round every node takes one of its edges, in an order that is drawn anew
+    each time, so chains of choices are short; what they connect becomes one node.
+    Half of the nodes go in every round at least. What fits into one task is done there.
+    """
+    live, found, salt = cut(pairs.select(F.col("source").alias("a"), F.col("target").alias("b"), "source", "target"), "live"), None, 0
+    while n := live.count():
+        if n <= local_edges:
+            last = live.coalesce(1).mapInPandas(_kruskal, f"source {_kind(pairs)}, target {_kind(pairs)}")
+            return last if found is None else found.unionByName(last)
+        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b"), "source", "target"))
+        taken = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("source", "target", F.lit(salt)).alias("h"), "source", "target", "b")).alias("e"))
+        taken = cut(taken.select("a", "e.b", "e.source", "e.target"), "taken")
+        # Two that take the same edge: the smaller one is the top. There are no other circles, as each edge down a chain comes earlier in the order.
+        other = taken.select(F.col("a").alias("b"), F.col("source").alias("s"), F.col("target").alias("t"))
+        top = (F.col("source") == F.col("s")) & (F.col("target") == F.col("t")) & (F.col("a") < F.col("b"))
+        tops = taken.join(other, "b").select("a", F.when(top, F.col("a")).otherwise(F.col("b")).alias("top"))
+        while True:
+            for _ in range(3):
+                tops = tops.join(tops.select(F.col("a").alias("top"), F.col("top").alias("far")), "top").select("a", F.col("far").alias("top"))
+            tops = cut(tops, "tops")
+            if not tops.where("a != top").join(tops.where("a != top").select(F.col("a").alias("top")), "top", "left_semi").head(1):
+                break
+        part = taken.select("source", "target").distinct()
+        found = part if found is None else found.unionByName(part)
+        joined = live.join(tops.withColumnRenamed("top", "x"), "a").join(tops.select(F.col("a").alias("b"), F.col("top").alias("y")), "b").where("x != y")
+        least = joined.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min(F.struct("source", "target")).alias("e"))
+        after = cut(least.select("a", "b", "e.source", "e.target"), "live")
+        drop(live)
+        live, salt = after, salt + 1
+    return found if found is not None else pairs.select("source", "target").limit(0)
+
+
+def _kruskal(frames):
+    up: dict = {}
+
+    def top(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for pdf in frames:
+        rows = []
+        for a, b, s, t in zip(pdf["a"], pdf["b"], pdf["source"], pdf["target"], strict=True):
+            if (x := top(a)) != (y := top(b)):
+                up[max(x, y)] = min(x, y)
+                rows.append((s, t))
+        yield pd.DataFrame(rows, columns=["source", "target"])
 
 
 def bridge_nodes(found: DataFrame) -> DataFrame:

@@ -110,6 +110,21 @@ def event_graph(spark: SparkSession, sf_dir: str, until: str | None = None) -> G
     return plain_graph(rows.select(F.col("source").alias("id")).distinct(), rows.where("target is not null"))
 
 
+def places_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Regions, nations, suppliers and customers along their foreign keys; a customer whose first order has status F also depends on the supplier of its first item."""
+    t = {n: table(spark, sf_dir, n) for n in ("region", "nation", "supplier", "customer", "orders", "lineitem")}
+    first = t["lineitem"].join(t["orders"].select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
+    first = first.groupBy("o_custkey").agg(F.min_by(F.struct("l_suppkey", "o_orderstatus"), F.struct("l_orderkey", "l_linenumber", "l_suppkey")).alias("f")).where("f.o_orderstatus = 'F'").select("o_custkey", "f.l_suppkey")
+    ids = [t[n].select(fk_id(n, F.col(key)).alias("id")) for n, key in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey"))]
+    links = [
+        t["nation"].select(fk_id("nation", F.col("n_nationkey")).alias("source"), fk_id("region", F.col("n_regionkey")).alias("target")),
+        t["supplier"].select(fk_id("supplier", F.col("s_suppkey")), fk_id("nation", F.col("s_nationkey"))),
+        t["customer"].select(fk_id("customer", F.col("c_custkey")), fk_id("nation", F.col("c_nationkey"))),
+        first.select(fk_id("customer", F.col("o_custkey")), fk_id("supplier", F.col("l_suppkey"))),
+    ]
+    return plain_graph(ids[0].union(ids[1]).union(ids[2]).union(ids[3]), links[0].union(links[1]).union(links[2]).union(links[3]))
+
+
 CUTOFF = "1998-06-30"
 
 # The same graphs in the oracle's SQL.
@@ -155,3 +170,13 @@ def event_sql(prefix: str = "", until: str | None = None) -> str:
 {prefix}nodes AS (SELECT DISTINCT source AS id FROM {prefix}ev),
 {prefix}next AS (SELECT source, lead(source) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM {prefix}ev),
 {prefix}edges AS (SELECT DISTINCT source, target FROM {prefix}next WHERE target IS NOT NULL AND source <> target)"""
+
+
+def places_sql() -> str:
+    """CTEs nodes(id) and edges(source, target)."""
+    first = "(SELECT o_custkey, arg_min(l_suppkey, (l_orderkey, l_linenumber, l_suppkey)) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING arg_min(o_orderstatus, (l_orderkey, l_linenumber, l_suppkey)) = 'F')"
+    return f"""nodes AS (SELECT {sql_id("region", "r_regionkey")} AS id FROM region UNION ALL SELECT {sql_id("nation", "n_nationkey")} FROM nation UNION ALL SELECT {sql_id("supplier", "s_suppkey")} FROM supplier UNION ALL SELECT {sql_id("customer", "c_custkey")} FROM customer),
+edges AS (SELECT {sql_id("nation", "n_nationkey")} AS source, {sql_id("region", "n_regionkey")} AS target FROM nation
+  UNION ALL SELECT {sql_id("supplier", "s_suppkey")}, {sql_id("nation", "s_nationkey")} FROM supplier
+  UNION ALL SELECT {sql_id("customer", "c_custkey")}, {sql_id("nation", "c_nationkey")} FROM customer
+  UNION ALL SELECT {sql_id("customer", "o_custkey")}, {sql_id("supplier", "s")} FROM {first})"""

@@ -464,6 +464,25 @@ def mermaid_lines(spark, sf_dir):
     return exports.mermaid_lines(g, domains.assign(g.nodes), structure.cycles(g.edges))
 
 
+PLACES = f"WITH RECURSIVE {demo.places_sql()}"
+PLACE_BRIDGES = "pairs AS (SELECT DISTINCT least(source, target) AS u, greatest(source, target) AS v FROM edges), und AS (SELECT u AS a, v AS b FROM pairs UNION ALL SELECT v, u FROM pairs), cut(u, v, node) AS (SELECT u, v, u FROM pairs UNION SELECT c.u, c.v, n.b FROM cut c JOIN und n ON n.a = c.node WHERE NOT (n.a = c.u AND n.b = c.v) AND NOT (n.a = c.v AND n.b = c.u)), held AS (SELECT u, v FROM cut WHERE node = v), br AS (SELECT pairs.u, pairs.v FROM pairs ANTI JOIN held ON held.u = pairs.u AND held.v = pairs.v)"
+
+
+@query(PLACES + f", {PLACE_BRIDGES} SELECT * FROM br")
+def bridges_places(spark, sf_dir):
+    return structure.bridges(demo.places_graph(spark, sf_dir).edges)
+
+
+@query(PLACES + f", {PLACE_BRIDGES} SELECT * FROM br")
+def bridges_places_by_rounds(spark, sf_dir):
+    return structure.bridges(demo.places_graph(spark, sf_dir).edges, local_edges=0)
+
+
+@query(PLACES + f", {PLACE_BRIDGES} SELECT u AS id FROM br UNION SELECT v FROM br")
+def bridge_nodes_places(spark, sf_dir):
+    return structure.bridge_nodes(structure.bridges(demo.places_graph(spark, sf_dir).edges))
+
+
 # The same operators over whole graphs, which grow with the tables; trade_graph keeps at most three links of a nation.
 
 
