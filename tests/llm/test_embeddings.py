@@ -67,3 +67,11 @@ def test_recall_at_the_threshold():
 @pytest.mark.parametrize("label", ["string", "int"])
 def test_empty(spark, label):
     assert embeddings.near_duplicates(spark.createDataFrame([], f"vec_id long, embedding array<float>, label {label}")).count() == 0
+
+
+def test_one_id_with_several_vectors(spark):
+    """A link is its vector's, not its id's; rows of one id are joined by links alone."""
+    x, y, near = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, 0.05, 0.0]
+    some = [(1, x, 0), (1, y, 0), (2, near, 0), (3, y, 0), (3, x, 0)]
+    got = rows(embeddings.near_duplicates(frame(spark, some)), *COLS)
+    assert got == slow(some) and (1, 1, 1, True) in got and (1, 2, 1, True) in got

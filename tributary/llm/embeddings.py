@@ -187,13 +187,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     these are equal. Rows whose vector is null, empty, zero or has null or
     non-finite components, or whose label or id is null, link with nothing; a
     null id has no component and isn't kept. Vectors of different lengths don't
-    link. Repeated rows are rows like others. Other columns are ignored.
+    link. Repeated rows are rows like others, and so are different vectors of one
+    id: each has its own links, and components are joined by links, not by ids.
+    Other columns are ignored.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)) & F.col("label").isNotNull() & F.col("id").isNotNull())
     good = rows.where("sound").select("id", "label", "v")
-    classes = cut(good.groupBy("label", "v").agg(F.min("id").alias("cid"), F.count("*").alias("n")), "classes")
+    # A class of equal vectors has a number of its own: two of them may have the same smallest id.
+    classes = good.groupBy("label", "v").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     sizes = classes.groupBy("label", F.size("v").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("most")).collect()  # one row a dimension
     designs = {r.dim: design(r.most, r.dim) for r in sizes}
     filters = max((CODES * words ** min(BLOCKS, dim) for dim, (words, _) in designs.items()), default=0)
@@ -206,7 +210,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     label = classes.schema["label"].dataType.simpleString()
     head = f"label {label}, dim int, cid long, n long, vec binary"
-    packed = classes.select("label", F.size("v").alias("dim"), F.col("cid").cast("long").alias("cid"), "n", "v").mapInArrow(pack, head)
+    packed = classes.select("label", F.size("v").alias("dim"), "cid", "n", "v").mapInArrow(pack, head)
     decoded = cut(packed.mapInArrow(_decoder(designs, arrow_type), f"{head}, caps array<{cap_type}>"), "caps")
     keys = ["label", "dim", "cap"]
     # Which caps have two members and how many blocks they make is found with ids alone; vectors move once a cap after that.
@@ -223,8 +227,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = cut(dealt.mapInArrow(_verifier(threshold), "cid long, links long, root long"), "links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     groups = connected_components(found, "cid", "root").withColumnsRenamed({"id": "cid"})
+    lows = groups.join(classes.select("cid", "low"), "cid").groupBy("component").agg(F.min("low").alias("least"))
+    groups = groups.join(lows, "component").select("cid", "least")
     named = classes.join(links, "cid", "left").join(groups, "cid", "left")
-    named = cut(named.select("label", "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component_id")), "named")
+    named = cut(named.select("label", "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "low").alias("component_id")), "named")
     linked = rows.where("sound").join(named, ["label", "v"]).select("id", "n_links", "component_id")
     out = linked.unionByName(rows.where("not sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
