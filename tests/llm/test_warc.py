@@ -60,6 +60,23 @@ def test_any_zstd_tool_reads_a_bundle(spark):
     assert n == len(some)
 
 
+@pytest.mark.parametrize("most", ["-1", "10m"])
+def test_rows_that_repeat_in_several_files(spark, most):
+    """Each payload has one response, whichever way Spark joins."""
+    df, some = pages(spark)
+    where = new_path(spark, "pages")
+    for _ in range(3):
+        df.repartition(4).write.mode("append").parquet(where)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    try:
+        got = warc.read(spark, warc.write(spark.read.parquet(where), new_path(spark, "warc")))
+        assert rows(got, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want(some * 3)
+        assert got.select("record_id").distinct().count() == 3 * len(some)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_broken_index_is_noticed(spark):
     df, _ = pages(spark)
     path = warc.write(df, new_path(spark, "warc"))

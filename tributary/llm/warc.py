@@ -138,12 +138,16 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     body = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), body.alias("body"))
     rows = rows.withColumn("digest", F.sha2("body", 256)).withColumn("size", F.octet_length("body"))
-    # Which page holds the payload: ids and digests alone are shuffled for it, after a partial aggregation.
-    firsts = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.where("n > 1").drop("n")
-    slim = rows.select("id", "digest", "size").where(F.col("size") >= min_bytes).join(firsts, "digest").select("id", "digest", "first").distinct()
-    slim = slim.withColumnsRenamed({"id": "slim_id", "digest": "slim_digest"})
-    joined = rows.join(slim, F.col("id").eqNullSafe(F.col("slim_id")) & (F.col("digest") == F.col("slim_digest")), "left").select("id", "url", "body", "digest", "first")
+    # Which page holds the payload, and which rows repeat: ids and digests alone are shuffled for it, after a partial aggregation.
+    keys = rows.groupBy("id", "digest", "size").agg(F.count("*").alias("times"))
+    firsts = keys.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.sum("times").alias("n"))
+    slim = keys.join(firsts.where("n > 1").drop("n"), "digest", "left").where("times > 1 OR first IS NOT NULL")
+    slim = slim.select(F.col("id").alias("slim_id"), F.col("digest").alias("slim_digest"), "times", "first")
+    joined = rows.join(slim, F.col("id").eqNullSafe(F.col("slim_id")) & (F.col("digest") == F.col("slim_digest")), "left")
+    # Rows that repeat come together, whatever files they are in and however Spark joins; the others stay where they are.
+    cols = ("id", "url", "body", "digest", "first")
+    repeated = joined.where("times > 1").select(*cols).repartition("id", "digest")
+    joined = joined.where("times IS NULL OR times = 1").select(*cols).unionByName(repeated)
     folder = f"{path}/bundles"
 
     def store(batches):
