@@ -142,12 +142,10 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     keys = rows.groupBy("id", "digest", "size").agg(F.count("*").alias("times"))
     firsts = keys.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.sum("times").alias("n"))
     slim = keys.join(firsts.where("n > 1").drop("n"), "digest", "left").where("times > 1 OR first IS NOT NULL")
-    slim = slim.select(F.col("id").alias("slim_id"), F.col("digest").alias("slim_digest"), "times", "first")
-    joined = rows.join(slim, F.col("id").eqNullSafe(F.col("slim_id")) & (F.col("digest") == F.col("slim_digest")), "left")
-    # Rows that repeat come together, whatever files they are in and however Spark joins; the others stay where they are.
-    cols = ("id", "url", "body", "digest", "first")
-    repeated = joined.where("times > 1").select(*cols).repartition("id", "digest")
-    joined = joined.where("times IS NULL OR times = 1").select(*cols).unionByName(repeated)
+    page = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("page")
+    # Rows that repeat come together, whatever files they are in and however Spark joins; a sort-merge join needs no other shuffle.
+    apart = rows.select(page, *rows.columns).repartition("page", "digest")
+    joined = apart.join(slim.select(page, "digest", "first"), ["page", "digest"], "left").select("id", "url", "body", "digest", "first")
     folder = f"{path}/bundles"
 
     def store(batches):
