@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import names
-from tributary.operators import build, centrality, change, domains, impact, structure
+from tributary.operators import build, centrality, change, domains, impact, patch, structure
 from tributary.plans import demo, fixtures
 from tributary.schema import Graph, risk_label
 from tributary.sinks import exports
@@ -464,6 +464,46 @@ def mermaid_lines(spark, sf_dir):
     return exports.mermaid_lines(g, domains.assign(g.nodes), structure.cycles(g.edges))
 
 
+def _patched_fk(spark, sf_dir):
+    """The base snapshot, patched by the rows that are new or declare something else in the head one."""
+    base = patch.with_paths(demo.fk_modules(spark, sf_dir, demo.CUTOFF), demo.fk_dependencies(spark, sf_dir, demo.CUTOFF, "IMPORTS"))
+    modules, deps = patch.with_paths(demo.fk_modules(spark, sf_dir), demo.fk_dependencies(spark, sf_dir))
+    late = demo.table(spark, sf_dir, "orders").where((F.col("o_orderdate") > F.lit(demo.CUTOFF).cast("timestamp")) | (F.col("o_orderstatus") == "F"))
+    changed = late.select(F.concat(F.lit("sales/orders/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return patch.patch(patch.snapshot(*base), changed, modules, deps)
+
+
+@query(FK + "SELECT source, target, type FROM edges")
+def patched_edges(spark, sf_dir):
+    return _patched_fk(spark, sf_dir).graph.edges.select("source", "target", "type")
+
+
+def _patched_events(spark, sf_dir):
+    """Event graphs of users as files: those of users with later events change."""
+
+    def declared(until):
+        g = demo.event_graph(spark, sf_dir, until)
+        user = lambda c: F.substring_index(c, ".", 1)
+        modules = g.nodes.select(F.concat(F.lit("ev:"), F.col("id")).alias("id"), "type", user("id").alias("source_path"), "confidence", "seq", user("id").alias("path"))
+        kinds = g.edges.select(F.concat(F.lit("ev:"), F.col("source")).alias("source_id"), F.concat(F.lit("ev:"), F.col("target")).alias("target_id"), F.col("type").alias("edge_type"), "confidence", "evidence", "dynamic", "seq", user("source").alias("path"))
+        return modules, kinds
+
+    events = demo.table(spark, sf_dir, "events").where(F.col("ts") > F.lit(UNTIL).cast("timestamp"))
+    changed = events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"))
+    return patch.patch(patch.snapshot(*declared(UNTIL)), changed, *declared(None))
+
+
+@query(EVENTS + f", {scc_sql()} SELECT * FROM cycs")
+def patched_cycles(spark, sf_dir):
+    found = _patched_events(spark, sf_dir).cycles
+    return found.select("cycle", F.array_join("members", ",").alias("members"), "size")
+
+
+@query(EVENTS + f", {WCC} SELECT a AS id, min(b) AS component FROM w GROUP BY 1")
+def patched_components(spark, sf_dir):
+    return _patched_events(spark, sf_dir).components
+
+
 PLACES = f"WITH RECURSIVE {demo.places_sql()}"
 PLACE_BRIDGES = "pairs AS (SELECT DISTINCT least(source, target) AS u, greatest(source, target) AS v FROM edges), und AS (SELECT u AS a, v AS b FROM pairs UNION ALL SELECT v, u FROM pairs), cut(u, v, node) AS (SELECT u, v, u FROM pairs UNION SELECT c.u, c.v, n.b FROM cut c JOIN und n ON n.a = c.node WHERE NOT (n.a = c.u AND n.b = c.v) AND NOT (n.a = c.v AND n.b = c.u)), held AS (SELECT u, v FROM cut WHERE node = v), br AS (SELECT pairs.u, pairs.v FROM pairs ANTI JOIN held ON held.u = pairs.u AND held.v = pairs.v)"
 
