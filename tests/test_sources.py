@@ -164,3 +164,37 @@ def test_cli(spark, project, capsys):
     assert {(r.change, r.source, r.target) for r in found.edges.collect()} == {("added", "shop.core.Base", "shop.api.OrderController")}
     assert [r.change for r in found.cycles.collect()] == ["new"]
     assert found.summary.first().overall_risk == "VERY_HIGH"
+
+
+def test_git_contents_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    import subprocess
+
+    monkeypatch.setattr(files, "FILES_A_TASK", 2)
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@y", *a], check=True, capture_output=True)
+    some = {"a.java": "class A {}\n", "b/é ü.py": "import os\n", "empty.js": "", "big.py": "x" * (files.MAX_BYTES + 1), "no_end.ts": "a\nb", "same.java": "class A {}\n"}
+    for path, text in some.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(text)
+    git("init", "-q")
+    git("add", "-A")
+    git("commit", "-qm", "x")
+    repo = files.Git(str(tmp_path))
+    got = {r.path: (r.content, r.length) for r in repo.snapshot(spark, "HEAD").collect()}
+    assert got == {p: (None if len(t) > files.MAX_BYTES else t, len(t.encode())) for p, t in some.items()}
+    assert {r.path for r in repo.snapshot(spark, "HEAD", ["py"]).collect()} == {"b/é ü.py", "big.py"}
+    assert repo.snapshot(spark, "HEAD", ["vue"]).count() == 0
+
+
+def test_a_file_is_parsed_once_for_each_content(spark):
+    from pyspark.sql import functions as F
+
+    before = spark.createDataFrame([("A.java", "class A { }"), ("B.java", "class B extends A { }"), ("C.java", "class C { }")], "path string, content string")
+    after = spark.createDataFrame([("A.java", "class A { }"), ("B.java", "class B { }"), ("D.java", "class D extends A { }")], "path string, content string")
+    known = java.tokenized(before).withColumn("bean", F.lit(True))
+    rows = {r.path: (r.bean, list(r.extends)) for r in java.tokenized(after, known).collect()}
+    assert rows == {"A.java": (True, []), "B.java": (False, []), "D.java": (False, ["A"])}
+    reader = frontends.JavaReader()
+    for some in (before, after):
+        one, two = frontends.graph_of(reader(some))[0], frontends.graph_of(frontends.java_frontend(some))[0]
+        edges = lambda g: sorted((r.source, r.target, r.type) for r in g.edges.collect())
+        assert edges(one) == edges(two) and len(edges(one)) == 1

@@ -12,7 +12,7 @@ from tributary.schema import Graph
 from tributary.scratch import cut
 from tributary.sources.config import Config
 from tributary.sources.files import in_roots
-from tributary.sources.frontends import graph_of, parse
+from tributary.sources.frontends import FRONTENDS, JavaReader, graph_of, parse
 
 
 @dataclass
@@ -78,9 +78,10 @@ class Change:
 
 
 def compare(base_files: DataFrame, head_files: DataFrame, changed_files: list[str] | None = None, config: Config | None = None, depth: int = 3, languages: list[str] | None = None, all_java: bool = True) -> Change:
-    """Both snapshots are read whole, so no difference is missed or made up."""
+    """Both snapshots are resolved whole, so no difference is missed or made up; Java files that are the same in both are parsed once."""
     config = config or Config()
-    base, head = (analyse(f, config, languages, all_java=all_java) for f in (base_files, head_files))
+    shared = FRONTENDS | {"java": (FRONTENDS["java"][0], JavaReader())}
+    head, base = (analyse(f, config, languages, shared, all_java) for f in (head_files, base_files))
     nodes, edges = cut(change.diff_nodes(base.graph, head.graph), "diff"), cut(change.diff_edges(base.graph, head.graph), "diff")
     cycles = change.diff_cycles(base.cycles, head.cycles)
     matched = None

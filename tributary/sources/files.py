@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import subprocess
+import threading
 
 import pyarrow as pa
 from pyarrow import fs
@@ -158,13 +159,51 @@ class Git:
         return self._run("show", f"{ref}:{path}")
 
     def snapshot(self, spark: SparkSession, ref: str, extensions: list[str] | None = None) -> DataFrame:
-        """(path, content, length) of the files of a commit."""
+        """(path, content, length) of the files of a commit; content is null beyond the size limit.
+
+        The driver lists names and object ids. Contents are read by tasks, each with
+        one git process for all of its files; so the repository has to be where
+        executors can read it.
+        """
         rows = []
         for line in self._run("ls-tree", "-r", "-l", "-z", ref).split("\0"):
             head, _, path = line.partition("\t")
             if not path or (extensions and path.rpartition(".")[2] not in extensions):
                 continue
-            size = head.split()[3]
-            if size.isdigit():
-                rows.append((path, self.content(ref, path) if int(size) <= MAX_BYTES else None, int(size)))
-        return spark.createDataFrame(rows, FILES)
+            if (size := head.split()[3]).isdigit():
+                rows.append((path, head.split()[2], int(size)))
+        listed = spark.createDataFrame(rows, "path string, object string, length long")
+        parts = max(1, min(len(rows) // FILES_A_TASK + 1, 10_000))
+        return listed.repartition(parts, "object").mapInArrow(_contents(self.root, self.timeout), FILES)
+
+
+#: Files of a commit that a task reads.
+FILES_A_TASK = 2_000
+
+
+def _contents(root: str, timeout: int):
+    """Reads the objects in batches of (path, object, length) through git cat-file --batch, one after the other."""
+
+    def run(batches):
+        with subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as git:
+            watch = threading.Timer(timeout, git.kill)
+            for b in batches:
+                texts = []
+                for object_, length in zip(b.column("object").to_pylist(), b.column("length").to_pylist(), strict=True):
+                    if length > MAX_BYTES:
+                        texts.append(None)
+                        continue
+                    watch.cancel()
+                    watch = threading.Timer(timeout, git.kill)
+                    watch.start()
+                    git.stdin.write(f"{object_}\n".encode())
+                    git.stdin.flush()
+                    head = git.stdout.readline().split()
+                    if len(head) != 3:
+                        raise RuntimeError(f"git has no object {object_}, or took longer than {timeout} s")
+                    texts.append(git.stdout.read(int(head[2]) + 1)[:-1].decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(texts, pa.string()), b.column("length")], names=["path", "content", "length"])
+            watch.cancel()
+            git.stdin.close()
+
+    return run

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators.build import build, warnings
 from tributary.schema import BLIND_SPOTS, DEPENDENCIES, MODULES, Graph
+from tributary.scratch import cut
 from tributary.sources import java
 from tributary.sources.files import parsable, route, too_large
 
@@ -245,13 +246,25 @@ def python(files: DataFrame, strict: bool = False) -> Parsed:
 # Java.
 
 
-def java_frontend(files: DataFrame) -> Parsed:
-    """Types, their imports, supertypes and injections, resolved against all types of the project at once."""
-    types = java.types(files)
+def java_frontend(files: DataFrame, rows: DataFrame | None = None) -> Parsed:
+    """Types, their imports, supertypes and injections, resolved against all types of the project at once; rows are java.tokenized() ones of the files, if there are any."""
+    rows = java.tokenized(files) if rows is None else rows
+    types, errors = rows.where("error IS NULL").drop("error", "digest"), rows.where("error IS NOT NULL").select("path", F.col("error").alias("message"))
     links, ambiguous = java.links(types), java.ambiguous(types)
     modules = module_rows(types, "java", F.col("fqcn"), F.col("kind"), F.col("path"), "HIGH")
     deps = dependency_rows(links, "java", F.col("source"), F.col("target"), F.col("type"), "HIGH", F.col("evidence"), F.col("rank"))
-    return Parsed(modules, deps, java.blind_spots(files).unionByName(ambiguous), java.errors(files))
+    return Parsed(modules, deps, java.blind_spots(files).unionByName(ambiguous), errors)
+
+
+class JavaReader:
+    """A front end for several snapshots of a project: each file is parsed once for each content it has, and resolved in each snapshot."""
+
+    def __init__(self):
+        self.rows: DataFrame | None = None
+
+    def __call__(self, files: DataFrame) -> Parsed:
+        self.rows = cut(java.tokenized(files, self.rows), "types")
+        return java_frontend(files, self.rows)
 
 
 FRONTENDS: dict[str, tuple[list[str], Callable[[DataFrame], Parsed]]] = {

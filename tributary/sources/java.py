@@ -213,6 +213,15 @@ def _tokenized(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, _DDL)
 
 
+def tokenized(files: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """What the parser finds in files (path, content), with their digests; files that earlier has with the same path and digest aren't parsed again."""
+    keyed = files.select("path", "content", F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"))
+    if earlier is not None:
+        rest = keyed.join(earlier.select("path", "digest").distinct(), ["path", "digest"], "left_anti")
+        return earlier.join(keyed.select("path", "digest"), ["path", "digest"], "left_semi").select(earlier.columns).unionByName(tokenized(rest))
+    return _tokenized(keyed).join(keyed.select("path", "digest"), "path")
+
+
 def types(files: DataFrame) -> DataFrame:
     """One row a declared type; nested ones are named after the package, and have the file's imports too."""
     return _tokenized(files).where("error is null").drop("error")
