@@ -88,3 +88,19 @@ def test_hostile_pages_take_linear_time():
         assert time.perf_counter() - began < 4, page[:8]
     deep = "<div>" * 3000 + "<p>in</p>" + "</div>" * 3000 + "<p>after</p>"
     assert H.main_text(deep) == "in\nafter"
+
+
+def test_pages_that_repeat(spark):
+    """Rows twice over, in another file as it were, have the same template as once, and the same texts."""
+    rows = site()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    once, twice = (sorted(map(tuple, H.extract(p).select("page_id", "text").distinct().collect())) for p in (pages, pages.unionByName(pages)))
+    assert once == twice and len(once) == len(rows)
+    keyed = pages.select(F.lit("s.org").alias("host"), F.col("page_id").alias("key"), "html")
+    found = [sorted((r.host, r.content, r.heading) for r in H.templates(p).collect()) for p in (keyed, keyed.unionByName(keyed))]
+    assert found[0] == found[1] and found[0][0][1]
+
+
+def test_a_fourth_class_word_tells_elements_apart():
+    paths = [x[1].path for x in H._parsed('<p class="a b c d">x</p><p class="a b c e">y</p><p class="b a c d">z</p>', None) if x[0] == "open"]
+    assert len(paths) == 3 and paths[0] == paths[2] != paths[1]

@@ -30,6 +30,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from itertools import chain
+from zlib import crc32
 
 import pandas as pd
 import pyarrow as pa
@@ -242,7 +243,8 @@ def _parsed(page: str, ids: set | None):
                 break
         named = [w for w in attributes.get("class", "").split() if ids is None or w in ids or not _DIGIT.search(w)]
         own = attributes.get("id", "").strip()
-        mark = "".join(f".{w}" for w in sorted(named)[:3]) + (f"#{own}" if own and (ids is None or own in ids) else "")
+        named.sort()
+        mark = "".join(f".{w}" for w in named[:3]) + (f"~{crc32(' '.join(named).encode('utf-8', 'replace')):08x}" if len(named) > 3 else "") + (f"#{own}" if own and (ids is None or own in ids) else "")
         node = Node(name, f"{stack[-1].path}>{name}{mark}", stack[-1], _noise(name, attributes))
         yield "open", node, name
         if name in VOID:
@@ -337,15 +339,18 @@ def classes(counted: DataFrame, sizes: DataFrame, support: float = SUPPORT) -> D
     don't count for it. Tags of a class are on the same n pages.
     """
     once = counted.where("tag is not null and times = 1")
-    tags = once.groupBy("host", "tag").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("class"))
+    # Sums and not xors, which rows that repeat would cancel; halves of two hashes, so that sums of 2^31 pages fit.
+    part = lambda seed: F.sum(F.xxhash64("key", F.lit(seed)).bitwiseAND(0xFFFFFFFF))
+    tags = once.groupBy("host", "tag").agg(F.count("*").alias("n"), part(1).alias("one"), part(2).alias("two"))
+    tags = tags.select("host", "tag", "n", F.xxhash64("n", "one", "two").alias("class"))
     large = cut(tags.join(sizes, "host").where(F.col("n") >= support * F.col("pages")).select("host", "tag", "class", "n"), "classes")
     seen = once.select("host", "key", "tag", "at").join(large, ["host", "tag"])
     # Ordered: tags that change places in their class, against its mean order, leave it.
-    sequence = seen.groupBy("host", "class", "key").agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("at", "tag")))["tag"]).alias("order"))
+    sequence = seen.groupBy("host", "class", "key").agg(F.xxhash64(F.sort_array(F.collect_set(F.struct("at", "tag")))["tag"]).alias("order"))
     mixed = sequence.groupBy("host", "class").agg((F.min("order") != F.max("order")).alias("mixed")).where("mixed").select("host", "class")
     loose = cut(seen.join(mixed, ["host", "class"]), "loose")
     mean = loose.groupBy("host", "tag").agg(F.avg("at").alias("mean"))
-    orders = loose.join(mean, ["host", "tag"]).groupBy("host", "class", "key").agg(F.sort_array(F.collect_list(F.struct("at", "tag", "mean"))).alias("tags"))
+    orders = loose.join(mean, ["host", "tag"]).groupBy("host", "class", "key").agg(F.sort_array(F.collect_set(F.struct("at", "tag", "mean"))).alias("tags"))
     movers = orders.select("host", F.explode(F.pandas_udf(_movers, "array<string>")(F.transform("tags", lambda t: F.struct(t["mean"].alias("mean"), t["tag"].alias("tag"))))).alias("tag")).distinct()
     seen = cut(seen.join(movers, ["host", "tag"], "left_anti"), "ordered")
     # Nested: on all pages the same tag of the host's largest class comes before.
