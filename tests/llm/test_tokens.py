@@ -140,6 +140,8 @@ def test_nothing_is_lost_silently(spark):
         ("manifest", lambda df: df.withColumn("root", F.when(F.col("level") == token_store.STORE, F.lit(b"x" * 16)).otherwise(F.col("root")))),
         ("manifest", lambda df: df.withColumn("n_docs", F.col("n_docs") + 1)),
         ("manifest", lambda df: df.where("level != 0")),
+        ("manifest", lambda df: df.withColumn("start", F.col("start") + 1_000)),
+        ("recipes", lambda df: df.withColumn("id", F.when(F.col("id") == 1, 2).when(F.col("id") == 2, 1).otherwise(F.col("id")).cast("long"))),
     ):
         with pytest.raises(Exception, match="chunk|document|manifest"):
             token_store.read_digests(spark, changed(part, change)).collect()

@@ -225,11 +225,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
     recipes = spark.read.schema(_PACK_DDL).parquet(f"{path}/pack").where("kind = 'recipe'").select("id", "digests", "lengths", "n_tokens", "root")
     placed = recipes.repartitionByRange("id").sortWithinPartitions("id", "root").select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "*")
     placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    tree = _tree(_recipes(spark, path).select("row", "n_tokens", "root"))
-    before = Window.partitionBy("level").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long"))
-    parts = tree.where(F.col("level") == PART).withColumn("start", start)  # one row a partition
-    tree.where(F.col("level") != PART).withColumn("start", F.lit(None).cast("long")).unionByName(parts).write.parquet(f"{path}/manifest")
+    _tree(_recipes(spark, path).select("row", "id", "n_tokens", "root")).write.parquet(f"{path}/manifest")
     return path
 
 
@@ -242,7 +238,10 @@ _MANIFEST = "level int, key long, n_docs long, n_tokens long, root binary, start
 
 
 def _tree(docs: DataFrame) -> DataFrame:
-    """(level, key, n_docs, n_tokens, root) of the nodes above documents (row, n_tokens, root).
+    """(level, key, n_docs, n_tokens, root, start) of the nodes above documents (row, id, n_tokens, root).
+
+    A document's leaf is the digest of its id, number of ids and root, so none of
+    these can change unnoticed. start, of partitions alone, is the number of ids before them.
 
     A row number is its partition and, below 33 bits, its place there: blocks of
     2 ** FAN_BITS documents, blocks of as many blocks, partitions, the store. So no task holds
@@ -256,11 +255,16 @@ def _tree(docs: DataFrame) -> DataFrame:
         return found.select(F.lit(level).alias("level"), "key", "n_docs", "n_tokens", join(F.col("nodes.root")).alias("root"))
 
     at = F.col("key")
+    told = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), "n_tokens", F.hex("root"))
+    docs = docs.select("row", "n_tokens", F.unhex(F.sha2(told, 256)).alias("root"))
     blocks = cut(up(docs.select(F.col("row").alias("key"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", "root"), F.shiftright(at, FAN_BITS), 0), "blocks")
     # Above blocks there is a row in 2 ** (2 * FAN_BITS) documents or less: few tasks, and cheaper made again than written.
     groups = up(blocks, F.shiftright(at, FAN_BITS), 1, FEW)
     parts = up(groups, F.shiftright(at, 33 - 2 * FAN_BITS), PART, FEW)
-    return blocks.unionByName(groups).unionByName(parts).unionByName(up(parts, F.lit(0).cast("long"), STORE, 1))
+    before = Window.partitionBy("level").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(None).cast("long").alias("start")
+    starts = parts.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))  # one row a partition
+    return blocks.unionByName(groups).unionByName(up(parts, F.lit(0).cast("long"), STORE, 1)).select("*", none).unionByName(starts)
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -340,13 +344,15 @@ def _wanted(spark: SparkSession, path: str) -> DataFrame:
     return _recipes(spark, path).select("part", "row", "id", "n_tokens", F.col("root"), each).select("*", F.col("c.digests").alias("address"), F.col("c.lengths").alias("length")).drop("c")
 
 
-def _check_manifest(spark: SparkSession, path: str, docs: DataFrame) -> None:
-    """Fails unless the tree above these documents is that of the manifest."""
-    found, written = _tree(docs), spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").drop("start")
-    pairs = found.select("level", "key", F.struct("n_docs", "n_tokens", "root").alias("a")).join(written.select("level", "key", F.struct("n_docs", "n_tokens", "root").alias("b")), ["level", "key"], "full")
+def _check_manifest(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
+    """(key, first): the number of ids before each partition, as it follows from these documents; fails unless the tree above them is that of the manifest."""
+    found, written = cut(_tree(docs), "tree"), spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+    node = F.struct("n_docs", "n_tokens", "root", "start")
+    pairs = found.select("level", "key", node.alias("a")).join(written.select("level", "key", node.alias("b")), ["level", "key"], "full")
     bad = pairs.where(~F.col("a").eqNullSafe(F.col("b"))).select("level", "key").head(1)
     if bad:
         raise ValueError(f"the documents aren't those of the manifest: node {bad[0].key} of level {bad[0].level} differs")
+    return found.where(F.col("level") == PART).select("key", F.col("start").alias("first"))
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -361,8 +367,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     docs = found.groupBy("part", "row", "id", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "n", "length", "crc"))).alias("parts"))
     crc = F.arrow_udf(_rebuilt, "long")("parts", "root", "n_tokens").alias("ids_crc32")
     docs = cut(docs.select("part", "row", "id", "n_tokens", "root", crc), "read")
-    _check_manifest(spark, path, docs.select("row", "n_tokens", "root"))
-    starts = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").where(F.col("level") == PART).select("key", F.col("start").alias("first"))
+    starts = _check_manifest(spark, path, docs.select("row", "id", "n_tokens", "root"))
     inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0).cast("long")))
     placed = placed.join(F.broadcast(starts), F.col("part") == F.col("key"))  # one row a partition
