@@ -1,11 +1,12 @@
 import json
 import subprocess
 
+import project as fixtures
 import pytest
 from pyspark.sql import functions as F
 
 from tributary import cli
-from tributary.plans import analysis, fixtures
+from tributary.plans import analysis
 from tributary.schema import FILES
 from tributary.sinks import exports
 from tributary.sources import config, files, frontends, java
@@ -198,3 +199,33 @@ def test_a_file_is_parsed_once_for_each_content(spark):
         one, two = frontends.graph_of(reader(some))[0], frontends.graph_of(frontends.java_frontend(some))[0]
         edges = lambda g: sorted((r.source, r.target, r.type) for r in g.edges.collect())
         assert edges(one) == edges(two) and len(edges(one)) == 1
+
+
+def test_each_language_of_the_project(spark):
+    found = {(r.path, r["import"]) for r in frontends.py_imports(fixtures.files(spark, "py")).collect()}
+    assert found == set(fixtures.PY_IMPORTS)
+    some = fixtures.files(spark, "java", "xml")
+    assert {tuple(r) for r in java.blind_spots(some).collect()} == set(fixtures.BLIND_SPOTS)
+    assert {tuple(r) for r in java.di_resolution(java.types(fixtures.files(spark, "java"))).collect()} == set(fixtures.DI)
+    g, _ = frontends.graph_of(frontends.java_frontend(fixtures.files(spark, "java")))
+    assert {(r.source, r.target, r.type) for r in g.edges.collect()} == set(fixtures.JAVA_EDGES)
+    scripts = frontends.vue_script(fixtures.files(spark, "vue")).selectExpr("path", "content is not null").collect()
+    assert {tuple(r) for r in scripts} == {("web/App.vue", True), ("web/Empty.vue", False)}
+    assert {r.ext: r.n for r in files.by_extension(fixtures.files(spark)).collect()} == {"java": 10, "js": 1, "ts": 2, "vue": 2, "py": 6, "xml": 1, "json": 1}
+
+
+@pytest.mark.parametrize("name", ["files_by_extension", "py_imports", "py_edges", "js_imports", "js_packages", "vue_script", "java_imports", "di_resolution", "blind_spots", "source_nodes", "risk_levels"])
+def test_sources_from_tables(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from tributary.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = registry.queries()[name](spark, sf)
+    want = con.execute(registry.oracle_sql()[name])
+    order = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(order)
+    rows = [tuple(r) for r in got.select(order).collect()]
+    assert rows and sorted(rows, key=repr) == sorted(want.fetchall(), key=repr)

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tributary.functions import names
 from tributary.operators import build, centrality, change, domains, impact, patch, structure
-from tributary.plans import demo, fixtures
+from tributary.plans import demo, source_tree
 from tributary.schema import Graph, risk_label
 from tributary.sinks import exports
 from tributary.sources import frontends, java
+from tributary.sources.files import by_extension
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -294,12 +295,22 @@ def risk_score(spark, sf_dir):
     return change.class_risk(g, fk_domains(g), g.nodes.select("id"), none, CRITICAL).select("id", "risk")
 
 
-@query("SELECT * FROM (VALUES (4, 0, 0, false, false, false, 'LOW'), (5, 0, 0, false, false, false, 'MEDIUM'), (10, 0, 0, false, false, false, 'MEDIUM'), (11, 0, 0, false, false, false, 'HIGH'), (0, 3, 0, false, false, false, 'HIGH'), (0, 0, 3, false, false, false, 'HIGH'), (0, 0, 0, true, false, false, 'HIGH'), (0, 0, 0, false, true, false, 'VERY_HIGH'), (0, 0, 0, false, false, true, 'LOW'), (5, 0, 0, false, false, true, 'HIGH'), (11, 0, 0, false, false, true, 'VERY_HIGH'), (0, 0, 0, false, true, true, 'BLOCKED')) t(in_degree, cross_domain, depth, critical, cyclic, unsure, risk)")
+# Ranks from 0 (LOW) to 4 (BLOCKED): the highest of all reasons, and one more where little is known.
+LEVELS = """WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey),
+f AS (SELECT c_custkey, CAST(coalesce(n, 0) AS BIGINT) AS in_degree, c_nationkey % 5 AS cross_domain, c_nationkey % 4 AS depth, c_acctbal > 9500 AS critical, c_acctbal < -500 AS cyclic, c_mktsegment = 'BUILDING' AS unsure FROM customer LEFT JOIN o ON o_custkey = c_custkey),
+k AS (SELECT *, CASE WHEN cyclic THEN 3 WHEN in_degree > 10 OR cross_domain >= 3 OR depth >= 3 OR critical THEN 2 WHEN in_degree >= 5 THEN 1 ELSE 0 END AS level FROM f)
+SELECT c_custkey, in_degree, cross_domain, depth, critical, cyclic, unsure, ['LOW', 'MEDIUM', 'HIGH', 'VERY_HIGH', 'BLOCKED'][CASE WHEN unsure AND level > 0 THEN level + 2 ELSE level + 1 END] AS risk FROM k"""
+
+
+@query(LEVELS)
 def risk_levels(spark, sf_dir):
-    rows = [(4, 0, 0, 0, 0, 0), (5, 0, 0, 0, 0, 0), (10, 0, 0, 0, 0, 0), (11, 0, 0, 0, 0, 0), (0, 3, 0, 0, 0, 0), (0, 0, 3, 0, 0, 0), (0, 0, 0, 1, 0, 0), (0, 0, 0, 0, 1, 0), (0, 0, 0, 0, 0, 1), (5, 0, 0, 0, 0, 1), (11, 0, 0, 0, 0, 1), (0, 0, 0, 0, 1, 1)]
-    df = spark.createDataFrame([(*r[:3], *map(bool, r[3:])) for r in rows], "in_degree int, cross_domain int, depth int, critical boolean, cyclic boolean, unsure boolean")
-    rank = change.risk(*(F.col(c) for c in df.columns))
-    return df.withColumn("risk", risk_label(rank))
+    """Risk of each customer: orders are its dependents, its nation and balance say the rest."""
+    n = demo.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    df = demo.table(spark, sf_dir, "customer").join(n, "c_custkey", "left").selectExpr(
+        "c_custkey", "coalesce(n, 0L) as in_degree", "c_nationkey % 5 as cross_domain", "c_nationkey % 4 as depth", "c_acctbal > 9500 as critical",
+        "c_acctbal < -500 as cyclic", "c_mktsegment = 'BUILDING' as unsure",
+    )
+    return df.withColumn("risk", risk_label(change.risk(*(F.col(c) for c in df.columns[1:]))))
 
 
 SYNTH = DIFF + f", {DOM.format(p='h')}, {DEGREES.format(p='h')}, {FOREIGN.format(p='h')}, cr AS (SELECT deg.id, {RISK} AS risk FROM ch JOIN deg USING (id) LEFT JOIN f USING (id)), s AS (SELECT CASE WHEN bool_or(risk = 'HIGH') THEN 'HIGH' WHEN bool_or(risk = 'MEDIUM') THEN 'MEDIUM' ELSE 'LOW' END AS overall_risk, CAST(0 AS BIGINT) AS new_cycles, (SELECT count(*) FROM de JOIN dom a ON a.id = de.source JOIN dom b ON b.id = de.target WHERE a.domain <> b.domain) AS cross_domain_edges, (SELECT count(*) FROM ch WHERE contains(lower(id), 'supplier1') OR contains(lower(id), 'order7')) AS critical_hits FROM cr)"
@@ -590,47 +601,56 @@ def json_edges(spark, sf_dir):
     return exports.edge_rows(demo.fk_graph(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('java', 10), ('js', 1), ('ts', 2), ('vue', 2), ('py', 6), ('xml', 1), ('json', 1)) t(ext, n)")
+@query(source_tree.EXTENSIONS_SQL)
 def files_by_extension(spark, sf_dir):
-    from tributary.sources.files import by_extension
+    return by_extension(source_tree.files(spark, sf_dir)).select("ext", "n")
 
-    return by_extension(fixtures.files(spark)).select("ext", F.col("n").cast("int").alias("n"))
 
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in fixtures.PY_IMPORTS) + ") t(path, import)")
+@query(source_tree.PY_IMPORTS_SQL)
 def py_imports(spark, sf_dir):
-    found = frontends.py_imports(fixtures.files(spark, "py"))
-    return found.select("path", "import")
+    return frontends.py_imports(source_tree.python_files(spark, sf_dir)).select("path", "import")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in fixtures.PY_EDGES) + ") t(source, target)")
+@query(source_tree.PY_EDGES_SQL)
 def py_edges(spark, sf_dir):
-    g, _ = frontends.graph_of(frontends.python(fixtures.files(spark, "py")))
+    g, _ = frontends.graph_of(frontends.python(source_tree.python_files(spark, sf_dir)))
     return g.edges.select("source", "target")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in fixtures.JS_EDGES) + ") t(source, target)")
+@query(source_tree.JS_EDGES_SQL)
 def js_imports(spark, sf_dir):
-    g, _ = frontends.graph_of(frontends.javascript(fixtures.files(spark, "js", "ts", "vue")))
+    g, _ = frontends.graph_of(frontends.javascript(source_tree.javascript_files(spark, sf_dir)))
     return g.edges.select("source", "target")
 
 
-@query("SELECT * FROM (VALUES ('web/App.vue', true), ('web/Empty.vue', false)) t(path, has_script)")
+@query(source_tree.PACKAGES_SQL)
+def js_packages(spark, sf_dir):
+    return frontends.javascript(source_tree.javascript_files(spark, sf_dir)).blind_spots
+
+
+@query(source_tree.VUE_SQL)
 def vue_script(spark, sf_dir):
-    return frontends.vue_script(fixtures.files(spark, "vue")).select("path", F.col("content").isNotNull().alias("has_script"))
+    files = source_tree.javascript_files(spark, sf_dir).where(F.endswith("path", F.lit(".vue")))
+    return frontends.vue_script(files).select("path", F.col("content").isNotNull().alias("has_script"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in fixtures.JAVA_EDGES) + ") t(source, target, type)")
+@query(source_tree.JAVA_EDGES_SQL)
 def java_imports(spark, sf_dir):
-    g, _ = frontends.graph_of(frontends.java_frontend(fixtures.files(spark, "java")))
+    g, _ = frontends.graph_of(frontends.java_frontend(source_tree.java_files(spark, sf_dir).where(F.endswith("path", F.lit(".java")))))
     return g.edges.select("source", "target", "type")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c or 'NULL'}, {d})" for a, b, c, d in [(a, b, f"'{c}'" if c else None, str(d).lower()) for a, b, c, d in fixtures.DI]) + ") t(source, wanted, target, ambiguous)")
+@query(source_tree.DI_SQL)
 def di_resolution(spark, sf_dir):
-    return java.di_resolution(java.types(fixtures.files(spark, "java")))
+    return java.di_resolution(java.types(source_tree.java_files(spark, sf_dir).where(F.endswith("path", F.lit(".java")))))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in fixtures.BLIND_SPOTS) + ") t(type, location, description)")
+@query(source_tree.BLIND_SQL)
 def blind_spots(spark, sf_dir):
-    return java.blind_spots(fixtures.files(spark, "java", "xml"))
+    return java.blind_spots(source_tree.java_files(spark, sf_dir))
+
+
+@query(source_tree.NODES_SQL)
+def source_nodes(spark, sf_dir):
+    g, _ = frontends.graph_of(frontends.parse(source_tree.files(spark, sf_dir)))
+    return g.nodes.select("id", "type", "source_path")
