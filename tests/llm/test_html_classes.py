@@ -104,3 +104,22 @@ def test_pages_that_repeat(spark):
 def test_a_fourth_class_word_tells_elements_apart():
     paths = [x[1].path for x in H._parsed('<p class="a b c d">x</p><p class="a b c e">y</p><p class="b a c d">z</p>', None) if x[0] == "open"]
     assert len(paths) == 3 and paths[0] == paths[2] != paths[1]
+
+
+NAMES = ("menu-planning", "comment-on-the-law", "advert-history", "subscription-economics", "promo-code-fraud", "sponsor-letters", "nav-history", "share-price", "related-work", "widget-design", "notice-period", "social-science")
+
+
+def test_article_text_stays_whatever_its_names():
+    for name in NAMES:
+        assert H.main_text(f'<article><p>First</p><section class="{name}"><p>Real part</p></section></article>') == "First\nReal part", name
+        assert H.main_text(f'<main><p>First</p><div id="{name}">Real part</div></main>') == "First\nReal part", name
+        assert H.main_text(f'<article class="{name}"><p>First</p></article><div class="sidebar">x</div>') == "First", name
+    for name in ("ad", "ads mid", "ad-slot-inline", "comments", "user-comments", "comment-list", "comment-author", "share-buttons", "newsletter-signup", "related-posts", "menu", "cookie-notice", "promo-box", "sidebar", "sponsored-links", "adSlot"):
+        assert H.main_text(f'<article><p>First</p><section class="{name}"><p>No part</p></section></article>') == "First", name
+
+
+def test_a_deduced_slot_is_like_an_article():
+    page = '<body><div class="top">x</div><div class="b"><p>First</p><div class="menu-planning">Real part</div><div class="ad">No</div></div></body>'
+    slot = ">body>div.b"
+    assert H.main_text(page, slot) == "First\nReal part"
+    assert H.main_text('<body><div class="menu-planning">Far</div><p>Text</p></body>') == "Text"  # outside of any, words of layout still count

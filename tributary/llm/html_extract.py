@@ -74,20 +74,23 @@ WRAPS = {"body", "container", "content", "fixed", "free", "has", "have", "hidden
 #: Noise only by themselves or beside each other, noise or these words of page layout; and whose words an article element may be.
 VAGUE = {"banner", "header", "notice", "notices", "promotion", "related", "reply", "share", "social", "widget"}
 UI = {"area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "col", "container", "content", "fixed", "float", "global", "has", "icons", "inner", "item", "items", "layout", "left", "legal", "links", "list", "main", "media", "no", "not", "outer", "page", "panel", "posts", "right", "row", "section", "site", "sticky", "text", "top", "wrap", "wrapper"}
+#: What else the names of such parts have inside an article, beside UI and WRAPS; a name with any other word (menu-planning) is of the article's own text.
+PARTS = {"after", "author", "before", "by", "card", "cards", "code", "count", "desktop", "email", "embed", "end", "entry", "feed", "form", "google", "grid", "group", "heading", "icon", "in", "inline", "js", "label", "latest", "leaderboard", "link", "message", "meta", "mid", "mobile", "more", "mpu", "new", "post", "primary", "rail", "reader", "readers", "recent", "secondary", "single", "slot", "stories", "strip", "thread", "threads", "tile", "title", "tools", "unit", "user", "users"}
 READERS = {"comment", "comments", "disqus", "replies", "reply", "respond"}
 #: Why an element is kept out: by its tag, state or role; by class and id; by these, but named like a layout; and likely a wrapper.
 KEPT, HARD, SOFT, MIXED, WRAPPER = range(5)
 
 
 class Node:
-    """An element: its path, that of the nearest block around it, its parent, why it would be kept out by itself, and whether it is."""
+    """An element: its path, that of the nearest block around it, its parent, why it would be kept out by itself, whether it is, and whether its children are within an article."""
 
-    __slots__ = ("name", "path", "block", "parent", "noise", "out")
+    __slots__ = ("name", "path", "block", "parent", "noise", "out", "within")
 
     def __init__(self, name: str, path: str, parent: Node | None, noise: int):
         self.name, self.path, self.parent, self.noise = name, path, parent, noise
         self.block = path if parent is None or name in BLOCK or name in RAW else parent.block
         self.out = bool(noise) or (parent is not None and parent.out)
+        self.within = (name in ("article", "main") and not noise) or (parent is not None and parent.within)
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -106,7 +109,13 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip() else {}
 
 
-def _noise(name: str, attributes: dict[str, str]) -> int:
+def _of_layout(group: set[str]) -> bool:
+    """Whether the words of one class or id all are such as name parts of pages."""
+    return not group - NOISE - UI - WRAPS - PARTS
+
+
+def _noise(name: str, attributes: dict[str, str], within: bool = False) -> int:
+    """Why an element would be kept out by itself; within an article (or the deduced slot), names count only if all of their words are of layout."""
     if (name in DROPPED and name != "form") or "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES:
         return HARD
     if name in ("html", "body"):
@@ -116,7 +125,9 @@ def _noise(name: str, attributes: dict[str, str]) -> int:
         return WRAPPER if name == "form" else KEPT
     groups = [{w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", n).lower()) if w} for n in names.split()]
     if name in ("article", "main"):
-        return SOFT if any(g & READERS for g in groups) else KEPT
+        return SOFT if any(g & READERS and _of_layout(g) for g in groups) else KEPT
+    if within:
+        groups = [g for g in groups if _of_layout(g)]
     # Words that mean something else beside others (social-science, article-header) count by themselves or with words of layout.
     groups = [g - VAGUE if g - VAGUE - NOISE - UI else g for g in groups]
     words = set().union(*groups)
@@ -174,19 +185,20 @@ def _lift(found: list[tuple[str, Node, str]]) -> None:
             node.out = bool(node.noise) or node.parent.out
 
 
-def tokens(page: str, ids: list[str] | None = None):
+def tokens(page: str, ids: list[str] | None = None, slot: str | None = None):
     """(kind, node, text) of each token in page order.
 
     kind: open, close or text. The node's path names the element from the root,
     with class and id; out says that the place is one that the article never
     has. With ids, paths have only these of the ids and of the class words with digits.
+    slot is the path of a deduced slot, which is as an article to what is in it.
     """
-    found = list(_parsed(page, None if ids is None else set(ids)))
+    found = list(_parsed(page, None if ids is None else set(ids), slot))
     _lift(found)
     return found
 
 
-def _parsed(page: str, ids: set | None):
+def _parsed(page: str, ids: set | None, slot: str | None = None):
     """(kind, node, text) of each token, before any wrapper is lifted."""
     stack = [Node("", "", None, KEPT)]
     at, raw_until, deep = 0, "", Counter()
@@ -245,7 +257,8 @@ def _parsed(page: str, ids: set | None):
         own = attributes.get("id", "").strip()
         named.sort()
         mark = "".join(f".{w}" for w in named[:3]) + (f"~{crc32(' '.join(named).encode('utf-8', 'replace')):08x}" if len(named) > 3 else "") + (f"#{own}" if own and (ids is None or own in ids) else "")
-        node = Node(name, f"{stack[-1].path}>{name}{mark}", stack[-1], _noise(name, attributes))
+        node = Node(name, f"{stack[-1].path}>{name}{mark}", stack[-1], _noise(name, attributes, stack[-1].within))
+        node.within = node.within or (slot is not None and node.path == slot)
         yield "open", node, name
         if name in VOID:
             continue
@@ -427,7 +440,8 @@ def main_text(page: str | None, content: str | None = None, heading: str | None
     A page that has no such slot falls back to its own article or main element, and
     then to all of its blocks that aren't kept out.
     """
-    found = [b for b in blocks(page or "", tokens(page or "", ids)) if not b[2]]
+    narrow = content if content and not re.search(_WHOLE, content) else None
+    found = [b for b in blocks(page or "", tokens(page or "", ids, narrow)) if not b[2]]
     slot = []
     if content:
         inside_of = lambda path, slot: path == slot or path.startswith(slot + ">")
