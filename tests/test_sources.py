@@ -46,7 +46,6 @@ def test_roots_and_routing(spark):
     assert [tuple(r) for r in files.source_roots(df).collect()] == [("core", "core/src/main/java")]
     df = frame(spark, {"app/build.gradle": "", "app/src/main/java/A.java": "", "build-x/build.gradle": "", "build-x/src/main/java/A.java": ""})
     assert [tuple(r) for r in files.source_roots(df).collect()] == [("app", "app/src/main/java")]
-    assert [r.path for r in files.class_folders(frame(spark, {"a/target/classes/X.class": "", "a/b/c/target/classes/X.class": ""})).collect()] == ["a/target/classes"]
     with pytest.raises(ValueError, match="claim"):
         files.route(df, {"a": ["x"], "b": ["x"]})
 

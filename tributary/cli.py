@@ -13,6 +13,7 @@ from tributary.operators import centrality, impact
 from tributary.plans import analysis
 from tributary.sinks import exports
 from tributary.sources import config as settings
+from tributary.sources.classes import class_files, class_roots, compiled
 from tributary.sources.files import Git, scan
 from tributary.sources.frontends import FRONTENDS, JS_EXTENSIONS, dependency_json
 
@@ -50,7 +51,8 @@ def analyze(spark: SparkSession, o: argparse.Namespace) -> int:
     frontends = FRONTENDS
     if o.js_report:
         frontends = FRONTENDS | {"js": (JS_EXTENSIONS, lambda _: dependency_json(spark, o.js_report))}
-    found = analysis.analyse(scan(spark, o.path), config, o.languages, frontends, o.all_java)
+    hooks = [compiled(spark, class_files(spark, o.path))] if class_roots(spark, o.path) else []
+    found = analysis.analyse(scan(spark, o.path), config, o.languages, frontends, o.all_java, hooks)
     if o.target:
         return _target(spark, o, found)
     if o.dot:

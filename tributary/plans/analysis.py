@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from tributary.schema import Graph
 from tributary.scratch import cut
 from tributary.sources.config import Config
 from tributary.sources.files import in_roots
-from tributary.sources.frontends import FRONTENDS, JavaReader, graph_of, parse
+from tributary.sources.frontends import FRONTENDS, JavaReader, Parsed, graph_of, parse
 
 
 @dataclass
@@ -48,13 +49,16 @@ class Analysis:
         return out
 
 
-def analyse(files: DataFrame, config: Config | None = None, languages: list[str] | None = None, frontends: dict | None = None, all_java: bool = True) -> Analysis:
+def analyse(files: DataFrame, config: Config | None = None, languages: list[str] | None = None, frontends: dict | None = None, all_java: bool = True, hooks: Iterable[Callable[[Parsed], Parsed]] = ()) -> Analysis:
     """Reads source files and analyses their graph; without any files, that of an empty graph.
 
     frontends replaces those of the library; without all_java, Java is read below source roots only.
+    hooks see what all front ends found, and those before them, and declare more; the graph is built once, from all of it.
     """
     config = config or Config()
     parsed = parse(config.visible(files if all_java else in_roots(files)), languages, frontends)
+    for hook in hooks:
+        parsed += hook(parsed)
     graph, warnings = graph_of(parsed)
     graph = Graph(cut(graph.nodes, "nodes"), cut(graph.edges, "edges"))
     found = cut(domains.assign(graph.nodes, config.prefixes()), "domains")

@@ -56,16 +56,17 @@ def drop(df: DataFrame | None) -> None:
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
+    fs, p = filesystem(spark, path)
     fs.delete(p, True)
 
 
-def _fs(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it has it."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def _delete_on_exit(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
+    fs, p = filesystem(spark, path)
     fs.deleteOnExit(p)

@@ -27,12 +27,12 @@ def scan(spark: SparkSession, root: str, extensions: list[str] | None = None) ->
     readers skip names that start with an underscore, as __init__.py does, so
     the listing is done here; tasks read the contents from the shared root.
     """
-    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
-    rows = [(p, n) for p, n in _walk(uri) if not extensions or os.path.splitext(p)[1][1:] in extensions]
+    root = root if "://" in root else os.path.abspath(root)
+    rows = [(p, n) for p, n in _walk(root) if not extensions or os.path.splitext(p)[1][1:] in extensions]
     listed = spark.createDataFrame(rows, "path string, length long").repartition(max(1, len(rows) // 500))
 
     def load(batches):
-        files, base = fs.FileSystem.from_uri(uri)
+        files, base = _opened(root)
         for b in batches:
             texts = []
             for path, length in zip(b["path"].to_pylist(), b["length"].to_pylist(), strict=True):
@@ -46,9 +46,14 @@ def scan(spark: SparkSession, root: str, extensions: list[str] | None = None) ->
     return listed.mapInArrow(load, FILES)
 
 
-def _walk(uri: str):
+def _opened(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI or of a local path, which may hold any characters, and the path in it."""
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+
+
+def _walk(root: str):
     """(relative path, size) of files, folder by folder."""
-    files, base = fs.FileSystem.from_uri(uri)
+    files, base = _opened(root)
     todo = [base]
     while todo:
         for info in files.get_file_info(fs.FileSelector(todo.pop())):
@@ -116,11 +121,6 @@ def in_roots(files: DataFrame) -> DataFrame:
     return files.where(~java | java.isNull()).unionByName(below.select(*files.columns))
 
 
-def class_folders(files: DataFrame) -> DataFrame:
-    """(path): folders of compiled classes, at most two levels down."""
-    return files.select(F.regexp_extract("path", r"^((?:[^/]+/){0,2}(?:target/classes|build/classes/java/main))/", 1).alias("path")).where("path != ''").distinct()
-
-
 class Git:
     """Snapshots and changes of a git repository. It only reads: no stash, no checkout."""
 
