@@ -11,6 +11,7 @@ from tributary.functions import names
 from tributary.operators import build, centrality, change, domains, impact, patch, structure
 from tributary.plans import demo, source_tree
 from tributary.schema import Graph, risk_label
+from tributary.scratch import cut
 from tributary.sinks import exports
 from tributary.sources import frontends, java
 from tributary.sources.files import by_extension
@@ -652,5 +653,5 @@ def blind_spots(spark, sf_dir):
 
 @query(source_tree.NODES_SQL)
 def source_nodes(spark, sf_dir):
-    g, _ = frontends.graph_of(frontends.parse(source_tree.files(spark, sf_dir)))
+    g, _ = frontends.graph_of(frontends.parse(cut(source_tree.files(spark, sf_dir), "sources")))
     return g.nodes.select("id", "type", "source_path")
