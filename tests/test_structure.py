@@ -122,3 +122,28 @@ def test_a_report_counts_a_node_once(spark):
     summary = spark.createDataFrame([("LOW", 0, 0, 0)], "overall_risk string, new_cycles int, cross_domain_edges int, critical_hits int")
     lines = exports.report_lines(empty, summary, found)
     assert "Depth 1: 2 affected" in lines and not any("Depth 2" in x for x in lines)
+
+
+def test_many_starts_and_a_hub(spark):
+    """Reach of more starts than one group of bits holds equals a search from each; a hub leads everywhere."""
+    from tributary.operators import impact
+
+    edges = sorted({*random_edges(7, n=90, m=150), *((f"n{i:02}", "hub") for i in range(90)), ("hub", "n00"), ("n01", "n01")})
+    back = {}
+    for s, t in edges:
+        if s != t:
+            back.setdefault(t, set()).add(s)
+    starts = [f"n{i:02}" for i in range(90)] + ["hub", "nowhere"]
+    want = set()
+    for start in starts:
+        front, seen = {start}, set()
+        for d in (1, 2, 3):
+            front = {y for x in front for y in back.get(x, ())} - seen
+            seen |= front
+            want |= {(start, x, d) for x in front}
+    table = spark.createDataFrame(edges, "source string, target string")
+    asked = spark.createDataFrame([(x,) for x in [*starts, "hub", None]], "target string")
+    got = [tuple(r) for r in impact.reach(table, asked, 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert impact.reach(table, asked.where("target = 'nowhere'"), 3).columns == ["target", "id", "depth"]
+    assert impact.reach(table.limit(0), asked, 3).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,22 +17,38 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, forward: bool = False
 
     edges has source and target; starts has target. Dependents are followed
     backwards, dependencies forward. A start isn't visited to begin with, so on a
-    cycle it reaches itself. Every level is a table of its own, as the next ones read it twice.
+    cycle it reaches itself. Null and repeated starts add nothing.
+
+    All starts are followed at once: they are dealt to groups of 64, and a node has one
+    row a level and group, whose bits say which starts reach it first at that level.
+    So a hub is joined with its neighbours once a group, not once a start, and
+    messages to one node are united before they are shuffled. Only the result has a
+    row for each start and node.
     """
     here, there = ("source", "target") if forward else ("target", "source")
     step = edges.select(F.col(here).alias("id"), F.col(there).alias("next")).where("id != next").distinct()
-    frontier = starts.select("target", F.col("target").alias("id")).distinct()
-    seen = None
+    if depth > 1:
+        step = cut(step, "step")  # each level reads it
+    number = F.monotonically_increasing_id()
+    starts = cut(starts.select("target").where("target is not null").distinct().select("target", number.alias("k")), "starts")
+    group, bit = F.shiftright("k", 6), F.expr("shiftleft(1L, cast(k & 63 as int))")
+    front, levels, seen = starts.select(F.col("target").alias("id"), group.alias("g"), bit.alias("bits")), [], None
     for d in range(1, depth + 1):
-        frontier = frontier.join(step, "id").select("target", F.col("next").alias("id")).distinct()
+        sent = front.join(step, "id").groupBy(F.col("next").alias("id"), "g").agg(F.bit_or("bits").alias("bits"))
         if seen is not None:
-            frontier = frontier.join(seen, ["target", "id"], "left_anti")
-        frontier = cut(frontier, "frontier")
-        if not frontier.head(1):
+            old = seen.groupBy("id", "g").agg(F.bit_or("bits").alias("old"))
+            sent = sent.join(old, ["id", "g"], "left").select("id", "g", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0)))).alias("bits")).where("bits != 0")
+        front = cut(sent, "frontier")
+        if not front.head(1):
             break
-        level = frontier.withColumn("depth", F.lit(d))
-        seen = level if seen is None else seen.unionByName(level)
-    return starts.select("target", F.col("target").alias("id"), F.lit(0).alias("depth")).limit(0) if seen is None else seen
+        levels.append(front.withColumn("depth", F.lit(d)))
+        seen = front if seen is None else seen.unionByName(front)
+    if not levels:
+        return starts.select("target", F.col("target").alias("id"), F.lit(0).alias("depth")).limit(0)
+    found = reduce(DataFrame.unionByName, levels)
+    each = found.select("id", "depth", "g", "bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("b")).where("shiftright(bits, b) & 1 = 1")
+    named = each.select("id", "depth", (F.shiftleft("g", 6) + F.col("b")).alias("k"))
+    return named.join(starts, "k").select("target", "id", "depth")
 
 
 def impact(graph: Graph, starts: DataFrame, depth: int = 3, domains: DataFrame | None = None, custom_layers: dict[str, str] | None = None) -> DataFrame:
