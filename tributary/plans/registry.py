@@ -13,7 +13,7 @@ from tributary.plans import demo, source_tree
 from tributary.schema import Graph, risk_label
 from tributary.scratch import cut
 from tributary.sinks import exports
-from tributary.sources import frontends, java
+from tributary.sources import frontends, java, symbols
 from tributary.sources.files import by_extension
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -646,6 +646,26 @@ def di_resolution(spark, sf_dir):
     return java.di_resolution(java.types(source_tree.java_files(spark, sf_dir).where(F.endswith("path", F.lit(".java")))))
 
 
+@query(source_tree.FIELDS_SQL)
+def java_field_types(spark, sf_dir):
+    return symbols.field_types(_java(spark, sf_dir))
+
+
+@query(source_tree.SOLVED_SQL)
+def java_solved(spark, sf_dir):
+    files = _java(spark, sf_dir)
+    return symbols.solved(files, symbols.field_types(files))
+
+
+@query(source_tree.IMPORTED_SQL)
+def java_import_targets(spark, sf_dir):
+    return symbols.imported(_java(spark, sf_dir))
+
+
+def _java(spark, sf_dir):
+    return cut(source_tree.java_files(spark, sf_dir).where(F.endswith("path", F.lit(".java"))), "sources")
+
+
 @query(source_tree.BLIND_SQL)
 def blind_spots(spark, sf_dir):
     return java.blind_spots(source_tree.java_files(spark, sf_dir))

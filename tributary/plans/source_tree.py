@@ -184,6 +184,20 @@ UNION ALL SELECT replace(replace(impl, 'Customer', 'Mode'), 'Controller', ''), '
 UNION ALL SELECT source, target, 'SPRING_DI' FROM di WHERE target IS NOT NULL
 UNION ALL SELECT source, wanted, 'IMPORTS' FROM di WHERE target IS NULL OR target <> wanted
 UNION ALL SELECT 'tpch.catalog.Part' || a.p_partkey || 'Util', 'tpch.catalog.Part' || b.p_partkey || 'Util', 'EXTENDS' FROM part a JOIN part b ON b.p_partkey = a.p_partkey - 1 WHERE a.p_partkey % 10 <> 0"""
+_FIELDS = """f AS (SELECT p_partkey AS k, 'port' AS field, 'Supplier' || p_partkey // 20 || 'Port' AS name, CASE WHEN s_suppkey IS NOT NULL THEN 'tpch.port.Supplier' || s_suppkey || 'Port' END AS target
+  FROM part LEFT JOIN supplier ON s_suppkey = p_partkey // 20 WHERE p_size % 2 = 0
+ UNION ALL SELECT p_partkey, 'o', 'Object', 'java.lang.Object' FROM part WHERE p_type = 'ECONOMY')"""
+_PART = "'src/main/java/tpch/catalog/Part' || k || 'Util.java'"
+FIELDS_SQL = f"""WITH {_FIELDS}
+SELECT {_PART} AS path, 'tpch.catalog.Part' || k || 'Util' AS source, field, name, target, CASE WHEN target IS NULL THEN 'unresolved' ELSE 'resolved' END AS status FROM f"""
+SOLVED_SQL = f"""WITH {_FIELDS}
+SELECT {_PART} AS path, k NOT IN (SELECT k FROM f WHERE target IS NULL) AS solved FROM (SELECT p_partkey AS k FROM part)
+UNION ALL SELECT 'src/main/java/tpch/party/Customer' || c_custkey || 'Controller.java', true FROM customer
+UNION ALL SELECT 'src/main/java/tpch/port/Supplier' || s_suppkey || 'Port.java', true FROM supplier"""
+IMPORTED_SQL = """SELECT 'src/main/java/tpch/' || place AS path, 'tpch.port.Supplier' || s_suppkey || 'Port' AS import, 'tpch.port.Supplier' || s_suppkey || 'Port' AS target FROM
+ (SELECT 'catalog/Part' || p_partkey || 'Util.java' AS place, p_partkey // 20 AS s FROM part WHERE p_size % 2 = 0 OR p_size % 3 = 0
+  UNION ALL SELECT 'party/Customer' || c_custkey || 'Controller.java', c_custkey // 15 FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal < 5000)
+ JOIN supplier ON s_suppkey = s"""
 BLIND_SQL = """SELECT CASE p_type WHEN 'PROMO' THEN 'event-driven' ELSE 'reflection' END AS type, 'src/main/java/tpch/catalog/Part' || p_partkey || 'Util.java:8' AS location,
  CASE p_type WHEN 'ECONOMY' THEN 'Class.forName' WHEN 'PROMO' THEN '@EventListener' ELSE 'Method.invoke' END AS description FROM part WHERE p_type IN ('ECONOMY', 'PROMO', 'STANDARD')
 UNION ALL SELECT 'mybatis-xml', 'src/main/resources/Supplier' || s_suppkey || 'Mapper.xml', 'MyBatis XML' FROM supplier"""

@@ -62,9 +62,13 @@ def _name(words: list[str], i: int) -> tuple[str, int]:
 
 
 def read(source: str) -> dict:
-    """package, imports, and types: each with name, kind, extends, implements, annotations and injected type names."""
+    """package, imports, and types: each with name, kind, extends, implements, annotations and injected type names.
+
+    For the resolution of symbols also static imports, packages and types imported
+    on demand, and of each type its path in the file, its type parameters and the types of its fields.
+    """
     words = _WORD.findall(strip(source))
-    out = {"package": "", "imports": [], "types": []}
+    out = {"package": "", "imports": [], "statics": [], "demands": [], "types": []}
     stack: list[tuple[dict | None, int]] = []  # open types, and the brace depth of their bodies
     depth, i, notes = 0, 0, []
     while i < len(words):
@@ -74,10 +78,12 @@ def read(source: str) -> dict:
             continue
         if w == "import" and depth == 0:
             end = words.index(";", i) if ";" in words[i:] else len(words)
-            if words[i + 1] != "static":
-                text = "".join(words[i + 1 : end])
-                if not text.endswith("."):  # wildcards end in a star, which isn't a word here
-                    out["imports"].append(text)
+            static = words[i + 1] == "static"
+            text = "".join(words[i + 1 + static : end])
+            if text.endswith("."):  # wildcards end in a star, which isn't a word here
+                out["demands"].append(text[:-1])
+            else:
+                out["statics" if static else "imports"].append(text)
             i = end + 1
             continue
         if w == "@" and i + 1 < len(words) and words[i + 1] != "interface":
@@ -91,8 +97,13 @@ def read(source: str) -> dict:
             kind = "@interface" if w == "@" else w
             if kind == "record" and not (i + 1 < len(words) and words[i + 1] in "(<"):
                 continue
-            one = {"name": words[i] if i < len(words) else "", "kind": _KINDS[kind], "extends": [], "implements": [], "notes": notes, "fields": [], "ctors": []}
+            one = {"name": words[i] if i < len(words) else "", "kind": _KINDS[kind], "extends": [], "implements": [], "notes": notes, "fields": [], "ctors": [], "params": [], "typed": [], "supers": []}
+            one["within"] = [*stack[-1][0]["within"], stack[-1][0]["name"]] if stack else []
             notes, i, where = [], i + 1, None
+            if i < len(words) and words[i] == "<":
+                end = _skip(words, i, "<", ">")
+                one["params"] = [words[k] for k in range(i + 1, end) if words[k - 1] in "<," and words[i:k].count("<") - words[i:k].count(">") == 1]
+                i = end
             while i < len(words) and words[i] not in "{;":
                 if words[i] == "<":
                     i = _skip(words, i, "<", ">")
@@ -103,6 +114,8 @@ def read(source: str) -> dict:
                 elif re.match(r"[A-Za-z_$]", words[i]):
                     name, i = _name(words, i)
                     # Enums and records are taken for what they are, not for what they implement.
+                    if where in ("extends", "implements"):
+                        one["supers"].append(name)
                     if where in ("extends", "implements") and kind in ("class", "interface"):
                         one[where].append(name)
                 else:
@@ -148,11 +161,37 @@ def _member(words: list[str], i: int, owner: dict, notes: list[str]) -> int:
         return _to_body(words, end)
     while j < len(words) and words[j] in "[]":
         j += 1
+    if j + 1 < len(words) and re.match(r"[A-Za-z_$]", words[j]) and words[j + 1] in (";", "=", ",", "["):
+        owner["typed"] += [(words[j], t) for t in _named_types(words, i, j)]
     if INJECT & set(notes) and j + 1 < len(words) and words[j + 1] in (";", "="):
         owner["fields"].append(name)
     return _to_body(words, j)
 
 
+# Types that aren't declared anywhere.
+_PRIMITIVES = {"boolean", "byte", "short", "int", "long", "char", "float", "double", "void"}
+
+
+def _named_types(words: list[str], i: int, end: int) -> list[str]:
+    """The types that a type from i to end names, its arguments' too; those that aren't declared anywhere left out."""
+    found: list[str] = []
+    while i < end:
+        if words[i] == "@":
+            i = _name(words, i + 1)[1]
+            if i < end and words[i] == "(":
+                i = _skip(words, i, "(", ")")
+        elif re.match(r"[A-Za-z_$]", words[i]) and words[i] not in ("extends", "super"):
+            name, after = _name(words, i)
+            found.append(name)
+            for k in range(i, after):
+                if words[k] == "<" and words[i:k].count("<") == words[i:k].count(">"):
+                    found += _named_types(words, k + 1, _skip(words, k, "<", ">") - 1)
+            i = after
+        else:
+            i += 1
+    return [t for t in dict.fromkeys(found) if t not in _PRIMITIVES]
+
+
 def _to_body(words: list[str], i: int) -> int:
     """The next brace or the index after the next semicolon, past brackets."""
     while i < len(words):
@@ -330,8 +369,8 @@ def resolve_import(imported: Column) -> Column:
 
 
 def resolve_wildcards(wildcards: DataFrame, known: DataFrame) -> DataFrame:
-    """(import, fqcn): known types in the package of a wildcard import; joined by package."""
-    rows = known.select("fqcn", F.regexp_extract("fqcn", r"(?s)^(.*)\.[^.]*$", 1).alias("package"))
-    return wildcards.select("import", F.regexp_replace("import", r"\.\*$", "").alias("package")).join(rows, "package").select("import", "fqcn")
-
-
+    """(import, fqcn): known types below the package or type of a wildcard import, at any depth; joined by each of a type's prefixes."""
+    parts = F.split("fqcn", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    rows = known.select("fqcn").where(F.contains("fqcn", F.lit("."))).distinct().select("fqcn", F.explode(prefixes).alias("package"))
+    return wildcards.where(F.endswith("import", F.lit(".*"))).select("import", F.regexp_replace("import", r"\.\*$", "").alias("package")).join(rows, "package").select("import", "fqcn")
