@@ -147,3 +147,25 @@ def test_many_starts_and_a_hub(spark):
     assert len(got) == len(set(got)) and set(got) == want
     assert impact.reach(table, asked.where("target = 'nowhere'"), 3).columns == ["target", "id", "depth"]
     assert impact.reach(table.limit(0), asked, 3).count() == 0
+
+
+def test_cycles_of_deep_components(spark, monkeypatch):
+    """A long chain into a long cycle, with a tree on it and a chain behind, takes logarithmically many tables."""
+    made = []
+    plain = structure.cut
+    monkeypatch.setattr(structure, "cut", lambda df, label="cut": made.append(label) or plain(df, label))
+    ring = [f"r{i:03}" for i in range(400)]
+    chain = [f"c{i:03}" for i in range(600)]
+    edges = [(ring[i], ring[i - 1]) for i in range(400)] + list(zip(chain, chain[1:], strict=False)) + [(chain[-1], ring[7])]
+    edges += [(f"t{i:03}", f"t{(i - 1) // 2:03}") for i in range(1, 200)] + [("t000", chain[300]), (ring[3], "z000")] + [(f"z{i:03}", f"z{i + 1:03}") for i in range(100)]
+    edges += [("p1", "p2"), ("p2", "p1"), (chain[5], "p1"), ("p2", chain[9])]
+    got = members(structure.cycles(graph(spark, edges).edges, 0))
+    assert got == {tuple(ring), ("p1", "p2")}
+    assert len(made) < 130, len(made)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_contraction_of_sparse_graphs(spark, seed):
+    """Sparse graphs, where most nodes have one link in or out, with cycles within chains."""
+    edges = random_edges(seed + 50, n=60, m=75)
+    assert members(structure.cycles(graph(spark, edges).edges, 0)) == cycles(edges)
