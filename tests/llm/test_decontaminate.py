@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import tracemalloc
 
 from data import WORDS, documents, empty, rows
 
@@ -53,3 +55,29 @@ def test_empty(spark):
     assert d.contamination(empty(spark), b).count() == 0
     clean = d.contamination(docs, b.limit(0))
     assert clean.count() == docs.count() and clean.where("contaminated or n_hit > 0").count() == 0
+
+
+def test_flat_tables_against_brute_force():
+    """Few words, so blocks, prefixes and windows repeat within and across items; windows of one, two and more words."""
+    rng = random.Random(9)
+    for window in (1, 2, 3, 13, 300):
+        items = [(i, " ".join(rng.choices("ab", k=rng.choice((1, 2, 5, 40))))) for i in range(40)] + [(7, "a b a"), (50, None), (51, " . ")]
+        docs = [(i, " ".join(rng.choices("abc", k=rng.randrange(60)))) for i in range(30)] + [(98, items[3][1]), (99, None)]
+        searchers = d.compile_items(items, window)
+        got = sorted(((i, *d._summary(*d.hits(t, searchers))) for i, t in docs), key=repr)
+        assert got == slow(docs, items, window)
+    assert d.compile_items([]) == [] and d.hits("a b", []) == (2, [], set())
+
+
+def test_compiled_size_is_bounded():
+    """4 MB of benchmark text with hardly a repeated window stay under ten times their size."""
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(1 << 40):x}" for _ in range(50_000)]
+    items = [(i, " ".join(rng.choices(words, k=200))) for i in range(2_000)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    searchers = d.compile_items(items)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(searchers) == 1 and size > 4 << 20 and kept < 10 * size and peak < 25 * size, (size, kept, peak)
+    assert d.hits(items[5][1], searchers)[2] == {5}

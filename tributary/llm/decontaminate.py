@@ -19,9 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from array import array
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,46 +47,96 @@ def words_of(text: bytes | str | None) -> list[bytes]:
     return text.lower().translate(_KEEP).split() if text else []
 
 
+#: Multiplier of a block's first word, and entries of a shift table at most.
+_MIX, _TABLE = 0x9E3779B97F4A7C15, 1 << 25
+_LONG = (1 << 64) - 1
+
+
 class WuManber:
-    """Searches word lists for patterns that all have m words."""
-
-    def __init__(self, m: int, patterns: dict[tuple, set]):
-        self.m, self.block = m, min(2, m)
-        self.most = m - self.block + 1
-        self.shift: dict = {}
-        self.buckets: dict = defaultdict(lambda: defaultdict(list))
-        for p, items in patterns.items():
-            for end in range(self.block, m + 1):
-                b = p[end - self.block : end]
-                self.shift[b] = min(self.shift.get(b, self.most), m - end)
-            self.buckets[p[-self.block :]][p[: self.block]].append((p, items))
+    """Searches word lists for windows of m words, from flat tables.
+
+    The words of all items are numbered once and stand in one list; a window is a position in it. The
+    shift table is bytes indexed by a block's hash, where blocks that share an entry take
+    the least shift, which never skips an occurrence. Windows are sorted by the hashes of
+    suffix and prefix block, equal ones are one group with its items.
+    """
+
+    def __init__(self, m: int, ids: list, sizes: list[int], codes: np.ndarray, names: list[bytes], hashes: np.ndarray):
+        """ids and sizes (at least m) of items, the codes of their words one after the other, names and hash() of the codes."""
+        self.m, self.block, self.ids = m, min(2, m), ids
+        self.words = [names[c] for c in codes.tolist()]
+        inside = np.ones(len(codes), bool)
+        ends = np.cumsum(sizes)
+        for k in range(1, m):
+            inside[ends - k] = False
+        at = np.flatnonzero(inside)
+        owner = np.repeat(np.arange(len(ids)), sizes)[at]
+        h = hashes[codes]
+        blocks_ = h[:-1] * np.uint64(_MIX) + h[1:] if self.block == 2 else h
+        self.most = min(255, m - self.block + 1)
+        self.mask = min(_TABLE, 1 << max(10, (4 * len(codes)).bit_length())) - 1
+        shift = np.full(self.mask + 1, self.most, np.uint8)
+        for end in range(self.block, m + 1):  # shorter shifts last
+            shift[(blocks_[at + end - self.block] & np.uint64(self.mask)).astype(np.int64)] = min(255, m - end)
+        self.shift = shift.tobytes()
+        half = np.uint64(32)
+        key = blocks_[at + m - self.block] >> half << half | blocks_[at] >> half
+        whole = h[at].copy()
+        for k in range(1, m):
+            whole = whole * np.uint64(_MIX) + h[at + k]
+        order = np.lexsort((owner, whole, key))
+        key, whole, at, owner = key[order], whole[order], at[order], owner[order]
+        same = (key[1:] == key[:-1]) & (whole[1:] == whole[:-1])
+        for k in range(m):
+            same &= codes[at[1:] + k] == codes[at[:-1] + k]
+        heads = np.concatenate(([0], np.flatnonzero(~same) + 1))
+        self.keys, self.at = array("Q", key[heads].tobytes()), array("q", at[heads].tobytes())
+        self.bounds, self.owner = array("q", np.append(heads, len(at)).tobytes()), array("q", owner.tobytes())
+
+    def items(self, group: int) -> set:
+        """The items that hold a group's window."""
+        return {self.ids[i] for i in self.owner[self.bounds[group] : self.bounds[group + 1]]}
 
     def find(self, w: list[bytes]):
-        """(start, items) of every occurrence, in order."""
-        m, most, k, shift, n = self.m, self.most, self.block - 1, self.shift, len(w)
+        """(start, group) of every occurrence, in order."""
+        m, k, shift, mask, n, keys, words = self.m, self.block - 1, self.shift, self.mask, len(w), self.keys, self.words
         at = m - 1
         while at < n:
-            skip = shift.get((w[at - 1], w[at]) if k else (w[at],), most)
+            suffix = hash(w[at - 1]) * _MIX + hash(w[at]) if k else hash(w[at])
+            skip = shift[suffix & mask]
             if skip:
                 at += skip
                 continue
             start = at - m + 1
-            bucket = self.buckets[tuple(w[at - k : at + 1])].get(tuple(w[start : start + k + 1]), ())
-            for p, items in bucket:
-                if tuple(w[start : at + 1]) == p:
-                    yield start, items
+            prefix = hash(w[start]) * _MIX + hash(w[start + 1]) if k else suffix
+            key = (suffix & _LONG) >> 32 << 32 | (prefix & _LONG) >> 32
+            group = bisect_left(keys, key)
+            while group < len(keys) and keys[group] == key:
+                p = self.at[group]
+                if words[p : p + m] == w[start : at + 1]:
+                    yield start, group
+                    break
+                group += 1
             at += 1
 
 
 def compile_items(items, window: int = WINDOW) -> list[WuManber]:
-    """One searcher for each window length that occurs. items: (id, text) pairs."""
-    by_length: dict[int, dict] = defaultdict(lambda: defaultdict(set))
+    """One searcher for each window length that occurs. items: (id, text) pairs.
+
+    Hashes are those of the process, so searchers are used where they are made.
+    """
+    number: dict[bytes, int] = {}
+    parts: dict[int, tuple[list, list, array]] = defaultdict(lambda: ([], [], array("i")))
     for item, text in items:
         w = words_of(text)
-        m = min(window, len(w))
-        for i in range(len(w) - m + 1 if w else 0):
-            by_length[m][tuple(w[i : i + m])].add(item)
-    return [WuManber(m, patterns) for m, patterns in sorted(by_length.items())]
+        if w:
+            ids, sizes, codes = parts[min(window, len(w))]
+            ids.append(item)
+            sizes.append(len(w))
+            codes.extend([number.setdefault(x, len(number)) for x in w])
+    names = list(number)
+    hashes = np.fromiter(map(hash, names), np.int64, len(names)).view(np.uint64)
+    return [WuManber(m, ids, sizes, np.frombuffer(codes, np.int32), names, hashes) for m, (ids, sizes, codes) in sorted(parts.items())]
 
 
 def compiled(token: str, shared, window: int) -> list[WuManber]:
@@ -95,9 +148,12 @@ def hits(text: bytes | str | None, searchers: list[WuManber]) -> tuple[int, list
     """Number of words, merged [start, end) spans that are hit, and the items found."""
     w, spans, items = words_of(text), [], set()
     for s in searchers:
-        for start, found in s.find(w):
-            items |= found
+        groups = set()
+        for start, group in s.find(w):
+            groups.add(group)
             spans.append((start, start + s.m))
+        for group in groups:
+            items |= s.items(group)
     return len(w), merge(spans), items
 
 
