@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators import change, domains, impact, structure
 from tributary.schema import Graph
-from tributary.scratch import cut
+from tributary.scratch import cut, honest_sizes
 from tributary.sources.config import Config
 from tributary.sources.files import in_roots
 from tributary.sources.frontends import FRONTENDS, JavaReader, Parsed, graph_of, parse
@@ -56,6 +56,7 @@ def analyse(files: DataFrame, config: Config | None = None, languages: list[str]
     hooks see what all front ends found, and those before them, and declare more; the graph is built once, from all of it.
     """
     config = config or Config()
+    honest_sizes(files.sparkSession)
     parsed = parse(config.visible(files if all_java else in_roots(files)), languages, frontends)
     for hook in hooks:
         parsed += hook(parsed)
