@@ -30,6 +30,16 @@ def test_empty(spark):
     assert centrality.closeness(g).first().closeness == 0
 
 
+def test_layers_are_gone_before_components_are_looked_for(spark, monkeypatch):
+    """Three layers lead nowhere back; a ring among them is all that the search gets, beside the stretch that leads on from it."""
+    sizes, plain = [], structure.split
+    monkeypatch.setattr(structure, "split", lambda edges, most: sizes.append(edges.count()) or plain(edges, most))
+    layers = [(f"a{i}", f"b{i % 7}") for i in range(200)] + [(f"b{i}", f"c{i % 2}") for i in range(7)]
+    assert members(structure.cycles(graph(spark, layers).edges)) == set() and sizes == [0]
+    ring = [("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("a0", "r1"), ("r2", "b0")]
+    assert members(structure.cycles(graph(spark, layers + ring).edges)) == {("r1", "r2", "r3")} and sizes[1:] == [3]
+
+
 def test_deep_chain(spark):
     edges = [(f"N{i:04}", f"N{i + 1:04}") for i in range(1499)]
     assert structure.bridges(graph(spark, edges).edges).count() == 1499
