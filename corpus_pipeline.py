@@ -49,6 +49,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (Jaccard similarity of 5-word shingles of 0.8 and more): the one with the smallest id.
 
+    Candidates are operator 1's links of SimHash fingerprints, then, for copies
+    beyond its two bits, those of MinHash bands; an exact check follows either.
+
     Documents are rows, not ids: null ids come last, an id that several texts
     have loses none of them that has no near copy, of rows that repeat one
     stays. Null, empty and blank texts are copies of each other.

@@ -73,3 +73,27 @@ def test_sets_whose_keys_meet(spark):
     rows, parts = N._grouped(docs, "doc_id", "text", key_bits=2)
     fps = {r.id: r.fp for r in rows.select("id", "fp").collect()}
     assert len(set(fps.values())) == 20 and all(fps[20 + i] == fps[i] for i in range(5)) and parts.count() == 0
+
+
+def test_links_of_operator_1_are_the_first_candidates(spark):
+    """What SimHash connects at two bits is found from its fingerprints, before any other candidate."""
+    from tributary.llm import simhash
+
+    rng = random.Random(6)
+    texts = []
+    for _ in range(6):
+        base = sentence(rng, 1_500)
+        texts += [base, f"{base} end", f"new {base}", sentence(rng, 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, _ = N._grouped(docs, "doc_id", "text")
+    ids = {r.fp: r.id for r in rows.select("fp", "id").collect()}
+    root = {i: i for i in ids.values()}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for r in N._close(rows).collect():
+        a, b = sorted((find(ids[r.u]), find(ids[r.v])))
+        root[b] = a
+    want = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert {i: find(i) for i in root} == want and len(set(want.values())) < len(texts)

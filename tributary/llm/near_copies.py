@@ -1,8 +1,11 @@
-"""Near copies by the similarity of word shingles: MinHash bands, exact verification, components.
+"""Near copies by SimHash, and beyond its radius by the similarity of word shingles: MinHash bands, exact verification, components.
 
 Two texts are near copies where the Jaccard similarity of their sets of word
-shingles is at least ``LEAST``. Candidates share one of BANDS keys, each of ROWS
-minima of hashed shingles. A pair of similarity s shares none with probability
+shingles is at least ``LEAST``. The first candidates are the links of operator 1:
+fingerprints that differ in at most two bits (``simhash.links``, on the
+fingerprints of whole texts). Many near copies differ in more bits, so others
+share one of BANDS keys, each of ROWS minima of hashed shingles. A pair of
+similarity s shares none with probability
 (1 - s ** ROWS) ** BANDS, 5e-6 at 0.8; every candidate is verified by its sets.
 
 Buckets have no cap. In rounds, each bucket that isn't in one component yet
@@ -23,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.llm import simhash
 from tributary.operators.components import connected_components
 from tributary.scratch import cut, drop
 
@@ -94,28 +98,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, key_bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs as a table (rid, row, id, fp, n, other), and (fp, component) of each distinct set of shingles.
+    """The rows of docs as a table (rid, row, id, fp, n, sh, other), and (fp, component) of each distinct set of shingles.
 
     rid numbers the rows of that table; row is the whole row, so that no column
-    of docs can clash; other is a hash of the text. Sets are told apart by 128
+    of docs can clash; sh is the text's SimHash fingerprint, other a hash of it. Sets are told apart by 128
     bits: fp is key_bits of them, and where these meet in different sets, a hash of all.
     """
 
-    @F.pandas_udf("fp long, rest long, n long, keys array<long>")
+    @F.pandas_udf("fp long, rest long, n long, sh long, keys array<long>")
     def signed(some: pd.Series) -> pd.DataFrame:
-        fps, rests, sizes, keys = [], [], [], []
+        fps, rests, sizes, bits, keys = [], [], [], [], []
         for t in some:
             h = shingles(t)
+            bits.append(_signed(simhash.fingerprint(t)))
             sizes.append(len(h))
             digest = xxhash.xxh3_128_intdigest(h.tobytes())
             fps.append(_signed(digest & ((1 << key_bits) - 1)))
             rests.append(_signed(digest >> 64))
             keys.append(band_keys(h))
-        return pd.DataFrame({"fp": np.array(fps, np.int64), "rest": np.array(rests, np.int64), "n": np.array(sizes, np.int64), "keys": keys})
+        return pd.DataFrame({"fp": np.array(fps, np.int64), "rest": np.array(rests, np.int64), "n": np.array(sizes, np.int64), "sh": np.array(bits, np.int64), "keys": keys})
 
     plain = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = plain.select("row", "id", "text", F.xxhash64("text").alias("other"), signed("text").alias("s"))
-    rows = cut(found.select(F.monotonically_increasing_id().alias("rid"), "row", "id", "text", "other", "s.fp", "s.rest", "s.n", "s.keys"), "shingled")
+    rows = cut(found.select(F.monotonically_increasing_id().alias("rid"), "row", "id", "text", "other", "s.fp", "s.rest", "s.n", "s.sh", "s.keys"), "shingled")
     met = cut(rows.groupBy("fp").agg(F.min("rest").alias("low"), F.max("rest").alias("high")).where("low != high").select("fp"), "met")
     if met.head(1):
         marked = rows.join(met.withColumn("met", F.lit(True)), "fp", "left")
@@ -124,8 +129,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, key_bits: int = 64) ->
     sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     shared = cut(dealt.join(sizes, "key"), "buckets")
     drop(dealt)
-    texts = cut(rows.select("fp", "text", "n").join(shared.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "texts")
-    links, parts, much, open_ = None, None, float("inf"), cut(shared.withColumn("of", F.col("fp")), "open")
+    close = cut(_close(rows), "close")
+    wanted = shared.select("fp").unionByName(close.select(F.explode(F.array("u", "v")).alias("fp"))).distinct()
+    texts = cut(rows.select("fp", "text", "n").join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "texts")
+    links = _verified(close, texts, "links")
+    parts, much = cut(connected_components(links), "parts"), float("inf")
+    name = parts.select(F.col("id").alias("fp"), F.col("component").alias("now"))
+    open_ = cut(shared.join(name, "fp", "left").select("key", "fp", F.coalesce("now", "fp").alias("of")), "open")
     for k in range(ROUNDS + 1):
         if k:
             name = parts.select(F.col("id").alias("fp"), F.col("component").alias("now"))
@@ -139,14 +149,25 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, key_bits: int = 64) ->
                 break
         pairs = cut(_pivots(open_, k), "pairs")
         found = _verified(pairs, texts, "links")
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         parts = cut(connected_components(links), "parts")
     links = links.unionByName(cut(_in_blocks(open_, texts), "links"))
-    for t in (shared, open_, texts):
+    for t in (shared, open_, texts, close):
         drop(t)
     return rows, cut(connected_components(links).select(F.col("id").alias("fp"), "component"), "named")
 
 
+def _close(rows: DataFrame) -> DataFrame:
+    """(u, v), u < v: sets of shingles whose texts have SimHash fingerprints within operator 1's radius, as many pairs as connect these."""
+    pairs = cut(rows.select("sh", "fp").distinct(), "fingerprints")
+    one = cut(pairs.groupBy("sh").agg(F.min("fp").alias("one")), "distinct")
+    same = pairs.join(one, "sh").select(F.col("one").alias("u"), F.col("fp").alias("v"))
+    name = lambda c, to: one.select(F.col("sh").alias(c), F.col("one").alias(to))
+    near = simhash.links(one.select(F.col("sh").alias("fp"))).select(F.col("u").alias("su"), F.col("v").alias("sv"))
+    near = near.join(name("su", "u"), "su").join(name("sv", "v"), "sv").select("u", "v")
+    return same.unionByName(near).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def _pivots(members: DataFrame, k: int) -> DataFrame:
     """(u, v), u < v: of each bucket one member, another one each round, with those in other components."""
     mix = F.xxhash64("key", F.lit(k)) if k else F.lit(0).cast("long")
