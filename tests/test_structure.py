@@ -56,6 +56,16 @@ def test_bridges_of_a_chain_take_few_rounds(spark, monkeypatch):
     assert len(made) < 60, made
 
 
+def test_rounds_for_bridges_carry_numbers(spark, monkeypatch):
+    """Ids of any length are numbers in the rounds, and come back in their own order."""
+    kinds, plain = [], structure._xor_bridges
+    monkeypatch.setattr(structure, "_xor_bridges", lambda pairs, most: kinds.append([t for _, t in pairs.dtypes]) or plain(pairs, most))
+    long = "x" * 200
+    edges = [(long + b, long + a) for a, b in ("ab", "bc", "ca", "cd")]
+    found = {(r.u[200:], r.v[200:]) for r in structure.bridges(graph(spark, edges).edges, 0).collect()}
+    assert found == {("c", "d")} and kinds == [["bigint"] * 3]
+
+
 def test_forest_in_rounds_and_in_one_task(spark):
     edges = sorted({tuple(sorted(e)) for e in random_edges(8, 30, 45)})
     for bound in (0, 12, 1_000):

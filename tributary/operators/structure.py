@@ -203,12 +203,18 @@ def cycles(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
 
 def bridges(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(u, v), u < v: edges of the undirected simple graph without which a component falls apart."""
-    pairs = edges.where("source != target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
-    small, large = split(pairs, local_edges)
-    found = small.groupBy("component").applyInPandas(_low_links, f"u {_kind(edges)}, v {_kind(edges)}")
+    pairs = cut(edges.where("source != target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct(), "pairs")
+    # Rounds carry each node several times a row, so they get numbers instead of ids.
+    numbers = cut(pairs.select(F.explode(F.array("source", "target")).alias("id")).distinct().select("id", F.monotonically_increasing_id().alias("k")), "numbers")
+    of = lambda c, k: numbers.select(F.col("id").alias(c), F.col("k").alias(k))
+    numbered = pairs.join(of("source", "u"), "source").join(of("target", "v"), "target").select(F.col("u").alias("source"), F.col("v").alias("target"))
+    small, large = split(numbered, local_edges)
+    drop(pairs)
+    found = small.groupBy("component").applyInPandas(_low_links, "u long, v long")
     if large.head(1):
         found = found.unionByName(_xor_bridges(large, local_edges))
-    return found
+    named = found.join(of("a", "u"), "u").join(of("b", "v"), "v")
+    return named.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
 
 def _low_links(pdf: pd.DataFrame) -> pd.DataFrame:
