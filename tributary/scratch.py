@@ -38,7 +38,7 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-#: Bytes in memory for one in a file of ids that follow each other: 60 and more a row, of which compression leaves under one.
+#: Bytes in memory, generously, for one in a file of ids that follow each other (11.2 million modules took 26 MB, 2.3 bytes a row with all columns).
 EXPANDED = 100
 _FACTOR = "spark.sql.sources.fileCompressionFactor"
 
