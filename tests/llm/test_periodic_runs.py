@@ -6,7 +6,7 @@ import pytest
 from data import documents, empty
 from pyspark.sql import functions as F
 
-from tributary.llm import periodic_runs
+from tributary.llm import periodic_runs, queries
 
 
 def slow(s):
@@ -94,3 +94,13 @@ def test_odd_rows(spark):
     assert periodic_runs.collapse(empty(spark).withColumn("w", periodic_runs.words(F.col("text"))), "w", ["doc_id"]).count() == 0
     with pytest.raises(ValueError):
         periodic_runs.collapse(odd, "w", ["id"], min_periods=2)
+
+
+def test_query_on_texts_without_words(spark, tmp_path):
+    texts = [None, "", " \t\n", "a", "a b " * 20, "x y z"]
+    spark.createDataFrame([(k, texts[k % len(texts)]) for k in range(120)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op12_periodic_runs(spark, str(tmp_path))
+    db = pytest.importorskip("duckdb").connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(db.execute(periodic_runs.ORACLE).fetchall())
+    assert got.where("n_runs = 0 AND start IS NULL").count() >= 60

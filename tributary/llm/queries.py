@@ -77,7 +77,7 @@ def _id_hash() -> Column:
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", periodic_runs.words(F.col("text")).alias("words")).withColumns({"h": _id_hash(), "n": F.size("words").cast("long")})
-    docs = docs.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.expr("g % n")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    docs = docs.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.expr("g % nullif(n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
     repeated = F.expr("transform(words, (w, i) -> IF(i < a, w, words[CAST(a + (i - a) % p AS INT)]))")
     docs = docs.withColumn("words", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), repeated).otherwise(F.col("words")))
     out = periodic_runs.collapse(docs, "words", ["doc_id"])
