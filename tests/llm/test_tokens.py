@@ -158,3 +158,20 @@ def test_other_kinds_of_vocabulary_are_refused(tmp_path):
     path.write_text(json.dumps(config), encoding="utf-8")
     with pytest.raises(ValueError, match="vocabulary"):
         token_store.Encoder(str(path))
+
+
+def test_plain_words_are_encoded_without_normalizing():
+    encode = token_store.Encoder(vocabulary("word_bpe_49k.json"))
+    lib, texts = encode.tokenizer, ["straße übel ciónado naïve ÿ ß", "ÜBEL İx ªb µm áb ǆ ſt ÷x", "the don't we're", " ".join(f"w{chr(97 + k % 26)}{'é' * (k % 3)}x{'y' * (k % 7)}" for k in range(1_000))]
+    ids, starts = encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    asked = []
+
+    class Counted:
+        def encode_batch_fast(self, some, **options):
+            asked.extend(some)
+            return lib.encode_batch_fast(some, **options)
+
+    encode.tokenizer = Counted()
+    encode(pa.array(["brandnew wörter hereare"]))
+    assert not [t for t in asked if t], asked

@@ -54,6 +54,11 @@ END_ID = 1
 ROLL, CUT_BITS, MIN_IDS, MAX_IDS = 4, 8, 64, 2048
 #: Words whose ids a worker remembers, and chunks whose digests a task remembers.
 WORDS, SEEN = 800_000, 300_000
+#: Words of letters that are encoded at a time.
+MANY = 200
+#: Words that these normalizers leave alone and this split leaves whole.
+ASCII, PLAIN, STEPS = "^[a-z]+$", "^[a-zß-öø-ÿ]+$", {"NFC", "Replace", "Lowercase"}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Encoder:
@@ -64,11 +69,13 @@ class Encoder:
     of its stretches without ASCII white space, and a stretch's are those of its
     word and of the punctuation after it. Words of letters alone are encoded many
     at a time: each is one pre-token, whose last id is of the kind that ends words.
+    Small letters of PLAIN are as normalising would leave them, so words of these go to
+    the same model without it, if the vocabulary has STEPS and SPLIT, for which that holds.
     """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(vocabulary, encoding="utf-8") as f:
             config = json.load(f)
@@ -76,6 +83,14 @@ class Encoder:
         if "Lowercase" not in steps or config["model"].get("end_of_word_suffix") != "</w>" or not config.get("pre_tokenizer"):
             raise ValueError("the vocabulary isn't one that lower-cases, splits words and marks their ends")
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        split = (config["pre_tokenizer"].get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+        kinds = [n["type"] for n in config["pre_tokenizer"].get("pretokenizers", [])]
+        self.plain = []
+        if set(steps) <= STEPS and split == SPLIT and kinds == ["Split", "ByteLevel"]:
+            spaces = pre_tokenizers.WhitespaceSplit()
+            for pattern, cut in ((ASCII, spaces), (PLAIN, pre_tokenizers.Sequence([spaces, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]))):
+                self.plain.append((pattern, Tokenizer(self.tokenizer.model)))
+                self.plain[-1][1].pre_tokenizer = cut
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -90,37 +105,44 @@ class Encoder:
         special = pc.match_substring(stretches, "<|")
         words, tails = without_tails(pc.if_else(special, stretches, pc.ascii_lower(stretches)))
         coded, kinds = words.dictionary_encode(), {t: i for i, t in enumerate(sorted(set(tails)))}
-        parts = [*coded.dictionary.to_pylist(), *kinds]
-        pool, starts, sizes = self.encode(parts)
+        pool, starts, sizes = self.encode(pa.concat_arrays([coded.dictionary, pa.array(kinds, pa.string())]))
         each = np.empty(2 * len(stretches), np.int64)  # a stretch's word, then its tail
         each[::2] = coded.indices.to_numpy()
         each[1::2] = len(coded.dictionary) + np.fromiter(map(kinds.__getitem__, tails), np.int64, len(tails))
         return gather(pool, starts[each], sizes[each])[0], sizes[each].reshape(-1, 2).sum(axis=1)
 
-    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A pool of ids, and where in it those of each part start and how many they are."""
-        letters, others = [i for i, p in enumerate(parts) if p.isalpha()], [i for i, p in enumerate(parts) if not p.isalpha()]
-        found, sizes, order = [], [], []
-        for at in range(0, len(letters), 1000):
-            some = letters[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([parts[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some):  # letters that normalising takes apart
-                others += some
-                continue
-            found.append(ids)
-            sizes.append(np.diff(stops, prepend=0))
-            order += some
+        found, sizes, order, others, left = [], [], [], [], np.ones(len(parts), bool)
+        for pattern, tokenizer in [*self.plain, (None, self.tokenizer)]:
+            which = np.flatnonzero(left)
+            rest = parts.take(pa.array(which))
+            fits = pc.match_substring_regex(rest, pattern).to_numpy(zero_copy_only=False) if pattern else [w.isalpha() for w in rest.to_pylist()]
+            which = which[np.array(fits, bool)]
+            left[which] = False
+            starts = pa.array(np.append(np.arange(0, len(which), MANY), len(which)), pa.int32())
+            lines = pc.binary_join(pa.ListArray.from_arrays(starts, parts.take(pa.array(which))), " ").to_pylist()
+            for k, line in enumerate(lines):
+                some = which[k * MANY : (k + 1) * MANY]
+                ids = np.array(tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                if len(stops) != len(some):  # letters that normalising takes apart
+                    others.append(some)
+                    continue
+                found.append(ids)
+                sizes.append(np.diff(stops, prepend=0))
+                order.append(some)
+        others = np.concatenate([*others, np.flatnonzero(left)])
+        texts = parts.take(pa.array(others, pa.int64())).to_pylist()
         for at in range(0, len(others), 1000):
-            some = others[at : at + 1000]
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast([parts[i] for i in some], add_special_tokens=False)]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)]
             found.append(np.array([x for ids in lists for x in ids], "<u4"))
             sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
-            order += some
+            order.append(others[at : at + 1000])
         all_sizes = np.zeros(len(parts), np.int64)
         starts = np.zeros(len(parts), np.int64)
         if order:
-            flat = np.concatenate(sizes)
+            flat, order = np.concatenate(sizes), np.concatenate(order)
             all_sizes[order], starts[order] = flat, np.cumsum(flat) - flat
         return np.concatenate([np.zeros(0, "<u4"), *found]), starts, all_sizes
 
