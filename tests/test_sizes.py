@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators.build import build
 from tributary.plans import demo
-from tributary.scratch import cut, new_path
+from tributary.scratch import cut, honest_sizes, new_path
 
 ROWS = 300_000
 
@@ -21,3 +21,15 @@ def test_many_ids_in_small_files_are_not_broadcast(spark):
     first = edges._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in first, first
     assert edges.count() == ROWS - 1
+
+
+def test_sizes_of_the_session(spark):
+    keys = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes"]
+    for k in keys:
+        spark.conf.unset(k)
+    honest_sizes(spark)
+    assert [spark.conf.get(k) for k in keys] == ["8m", "-1", "16m"]
+    spark.conf.set(keys[0], "3m")
+    honest_sizes(spark)
+    assert spark.conf.get(keys[0]) == "3m"
+    spark.conf.set(keys[0], "8m")
