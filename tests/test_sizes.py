@@ -33,3 +33,13 @@ def test_sizes_of_the_session(spark):
     honest_sizes(spark)
     assert spark.conf.get(keys[0]) == "3m"
     spark.conf.set(keys[0], "8m")
+
+
+def test_aggregates_after_a_shuffle_are_not_broadcast(spark):
+    honest_sizes(spark)
+    rows = cut(spark.range(ROWS).select(F.col("id").alias("u"), (F.col("id") * 7 % 1000).alias("v")), "rows")
+    low = rows.groupBy("u").agg(F.min("v").alias("m")).where("m IS NOT NULL")
+    one = rows.join(low, "u").agg(F.count("*").alias("n"))
+    assert one.collect()[0].n == ROWS
+    last = one._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BroadcastHashJoin" not in last, last

@@ -41,13 +41,15 @@ def new_path(spark: SparkSession, label: str) -> str:
 #: Bytes in memory, generously, for one in a file of ids that follow each other (11.2 million modules took 26 MB, 2.3 bytes a row with all columns).
 EXPANDED = 100
 #: For such rows, in place of Spark's defaults: how tables are estimated, how much of a file a task reads, how much of a compressed
-#: shuffle it reads, in how many parts shuffles are dealt before small ones are united, and that none is broadcast after its shuffle.
+#: shuffle it reads, in how many parts shuffles are dealt before small ones are united, that none is broadcast after its shuffle, and
+#: what is broadcast at all: adaptive execution holds the last but one against bare shuffles only, and an aggregate of one against this.
 _SIZES = {
     "spark.sql.sources.fileCompressionFactor": ("1.0", str(EXPANDED)),
     "spark.sql.files.maxPartitionBytes": ("134217728b", "16m"),
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": ("67108864b", "8m"),
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": (None, "1000"),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": (None, "-1"),
+    "spark.sql.autoBroadcastJoinThreshold": ("10485760b", "1m"),
 }
 
 
@@ -64,7 +66,7 @@ def honest_sizes(spark: SparkSession) -> None:
     has = lambda key: spark.conf.get(key) if _SIZES.get(key, ("",))[0] is not None else spark.conf.get(key, None)
     own = {
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": has("spark.sql.shuffle.partitions") != "200",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": has("spark.sql.autoBroadcastJoinThreshold") != "10485760b",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": has("spark.sql.autoBroadcastJoinThreshold") not in _SIZES["spark.sql.autoBroadcastJoinThreshold"],
     }
     for key, (default, value) in _SIZES.items():
         if has(key) == default and not own.get(key):
