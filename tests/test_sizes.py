@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tributary.operators import impact
 from tributary.operators.build import build
 from tributary.plans import demo
 from tributary.scratch import cut, honest_sizes, new_path
@@ -43,3 +44,15 @@ def test_aggregates_after_a_shuffle_are_not_broadcast(spark):
     assert one.collect()[0].n == ROWS
     last = one._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "BroadcastHashJoin" not in last, last
+
+
+def test_search_reads_a_table_of_edges_as_it_is(spark, monkeypatch):
+    pairs = [("b", "a"), ("c", "b"), ("d", "c"), ("c", "a"), ("a", "a"), ("d", "d"), ("e", None)]
+    rows = spark.createDataFrame(pairs * 3, "source string, target string")
+    starts = spark.createDataFrame([("a",), ("b",), (None,)], "target string")
+    plain = sorted(map(tuple, impact.reach(rows, starts, 3).collect()))
+    labels = []
+    monkeypatch.setattr(impact, "cut", lambda df, label: labels.append(label) or cut(df, label))
+    assert sorted(map(tuple, impact.reach(cut(rows, "edges"), starts, 3).collect())) == plain
+    assert plain == [("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("b", "c", 1), ("b", "d", 2)]
+    assert "step" not in labels

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions.names import crosses, layer
 from tributary.schema import HIGH, LOW, MEDIUM, Graph, risk_label
-from tributary.scratch import cut
+from tributary.scratch import cut, is_cut
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int, forward: bool = False) -> DataFrame:
@@ -26,9 +26,9 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, forward: bool = False
     row for each start and node.
     """
     here, there = ("source", "target") if forward else ("target", "source")
-    step = edges.select(F.col(here).alias("id"), F.col(there).alias("next")).where("id != next").distinct()
-    if depth > 1:
-        step = cut(step, "step")  # each level reads it
+    step = edges.select(F.col(here).alias("id"), F.col(there).alias("next")).where("id != next")
+    if depth > 1 and not is_cut(edges):
+        step = cut(step.distinct(), "step")  # each level reads it; a table can be read as it is, as edges that repeat send the same bits
     number = F.monotonically_increasing_id()
     starts = cut(starts.select("target").where("target is not null").distinct().select("target", number.alias("k")), "starts")
     group, bit = F.shiftright("k", 6), F.expr("shiftleft(1L, cast(k & 63 as int))")

@@ -83,6 +83,11 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return out
 
 
+def is_cut(df: DataFrame) -> bool:
+    """Whether df is a table that cut() made, so that reading it again costs no more than that."""
+    return hasattr(df, "_tributary_path")
+
+
 def drop(df: DataFrame | None) -> None:
     """Deletes a table that cut() made, once no later step reads it."""
     path = getattr(df, "_tributary_path", None)
