@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.scratch import cut
+from tributary.scratch import cut, is_cut
 
 NODES = "id string, type string, domain string, source_path string, tags array<string>, confidence string, seq long"
 EDGES = "source string, target string, type string, confidence string, dynamic boolean, evidence string, seq long"
@@ -56,8 +56,8 @@ class Graph:
         return self.nodes.agg(F.count("*").alias("node_count")).crossJoin(self.edges.agg(F.count("*").alias("edge_count")))
 
 
-class Stored(Graph):
-    """A graph whose tables are written when they are first read, each by itself: who reads nodes only doesn't wait for edges."""
+class Planned(Graph):
+    """A graph whose tables are made when they are first read, each by itself: who reads nodes only doesn't wait for edges."""
 
     def __init__(self, nodes: DataFrame | Callable[[], DataFrame], edges: DataFrame | Callable[[], DataFrame]):
         object.__setattr__(self, "_plans", (nodes, edges))
@@ -72,4 +72,12 @@ class Stored(Graph):
 
     def _table(self, k: int, label: str) -> DataFrame:
         plan = self._plans[k]
-        return cut(plan if isinstance(plan, DataFrame) else plan(), label)
+        return plan if isinstance(plan, DataFrame) else plan()
+
+
+class Stored(Planned):
+    """The same, and the tables are written then, unless they are already."""
+
+    def _table(self, k: int, label: str) -> DataFrame:
+        made = super()._table(k, label)
+        return made if is_cut(made) else cut(made, label)

@@ -73,11 +73,24 @@ def honest_sizes(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+#: Spark's setting that deletes a query's shuffle files as soon as it has run.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """df written to the shared folder and read again: same rows, no lineage."""
+    """df written to the shared folder and read again: same rows, no lineage.
+
+    Shuffle files of the write are deleted with it, as nothing reads them again;
+    else they stay until the driver's JVM happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tributary_path = path
     return out
