@@ -5,7 +5,8 @@ from itertools import combinations
 
 from graphs import graph, random_edges
 
-from tributary.operators import change
+from tributary.operators import change, structure
+from tributary.scratch import cut
 
 
 def longest(edges, start, most):
@@ -49,3 +50,15 @@ def test_a_hub_on_a_cycle_has_few_rows(spark):
     edges = [(f"s{i:02}", "hub") for i in range(60)] + [("hub", f"s{i:02}") for i in range(60)]
     got = {r.id: (r.depth, r.exact) for r in change.call_depths(graph(spark, edges), 4).collect()}
     assert got == {"hub": (2, True)} | {f"s{i:02}": (3, True) for i in range(60)}
+
+
+def test_depths_without_cycles_follow_few_edges(spark, monkeypatch):
+    """Leaves that nothing depends on are in no table that is written: neither for cycles nor for levels."""
+    rows = []
+    monkeypatch.setattr(change, "cut", lambda df, label: (made := cut(df, label), rows.append((label, made.count())))[0])
+    monkeypatch.setattr(structure, "cut", lambda df, label: (made := cut(df, label), rows.append((label, made.count())))[0])
+    edges = [("b", "a"), ("c", "b")] + [(f"x{k:03}", "c") for k in range(200)] + [(f"c{k:02}", f"c{k + 1:02}") for k in range(18)]
+    g = graph(spark, edges, ["alone"])
+    assert sorted(r.subject for r in change.rule_max_call_depth(g, 2).collect()) == sorted(["a", "b", *(f"c{k:02}" for k in range(2, 19))])
+    assert max(n for _, n in rows) < 50, rows
+    assert {r.id: r.depth for r in change.call_depths(g, 2).collect()} == {x: longest(edges, x, 99) for e in edges for x in e} | {"alone": 1}

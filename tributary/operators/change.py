@@ -143,20 +143,44 @@ def call_depths(graph: Graph, bound: int) -> DataFrame:
     whatever can precede a path can also precede a kept one (see _Family). So
     there are no more rows than nodes times a number that depends on bound alone.
     """
-    step = graph.edges.select(F.col("target").alias("id"), F.col("source").alias("next")).where("id != next").distinct()
-    labels = cut(strong_components(graph.edges), "labels")
-    tainted = cut(_closure(step.select(F.col("next").alias("id"), F.col("id").alias("next")), labels.select("id")), "tainted")
-    clean = cut(graph.nodes.select("id").join(tainted, "id", "left_anti"), "clean")
-    free = cut(step.join(clean, "id", "left_semi"), "free")
-    depth = cut(clean.withColumn("depth", F.lit(1)), "depth")
-    while True:
-        longer = free.join(depth.select(F.col("id").alias("next"), F.col("depth").alias("d")), "next").groupBy("id").agg((F.max("d") + 1).alias("d"))
-        after = cut(depth.join(longer, "id", "left").select("id", F.greatest("depth", F.coalesce("d", F.lit(1))).alias("depth")), "depth")
-        if not after.join(depth, ["id", "depth"], "left_anti").head(1):
-            break
-        depth = after
-    bent = _bent_depths(step.join(tainted, "id", "left_semi"), labels, tainted, depth, bound + 1)
-    return depth.withColumn("exact", F.lit(True)).unionByName(bent.select("id", "depth", (F.col("depth") <= bound).alias("exact")))
+    found, entered = _entered_depths(graph, bound)
+    rest = graph.nodes.select("id").join(entered, "id", "left_anti")
+    return found.unionByName(rest.select("id", F.lit(1).alias("depth"), F.lit(True).alias("exact")))
+
+
+#: Levels that are put together in one table.
+_LEVELS = 16
+
+
+def _entered_depths(graph: Graph, bound: int) -> tuple[DataFrame, DataFrame]:
+    """(id, depth, exact) of the nodes that have dependents, and these nodes (id)."""
+    step = graph.edges.select(F.col("target").alias("id"), F.col("source").alias("next")).where("id != next")
+    # Nodes without dependents have depth 1 and the others 2 at least; so only edges between the others are followed, and no cycle has another.
+    entered = cut(step.select("id").distinct(), "entered")
+    inner = cut(step.join(entered.withColumnRenamed("id", "next"), "next", "left_semi").select("id", "next").distinct(), "inner")
+    labels = cut(strong_components(inner.select(F.col("next").alias("source"), F.col("id").alias("target"))), "labels")
+    tainted = cut(_closure(inner.select(F.col("next").alias("id"), F.col("id").alias("next")), labels.select("id")), "tainted")
+    cyclic = bool(tainted.head(1))
+    clean, free = entered, inner
+    if cyclic:
+        clean = cut(entered.join(tainted, "id", "left_anti"), "clean")
+        free = cut(inner.join(clean, "id", "left_semi"), "free")
+    depth, last = clean.withColumn("depth", F.lit(2)), 2
+    # Those that a path of last nodes starts at, level by level; without cycles there is a last one.
+    front = clean
+    while front.head(1):
+        last += 1
+        front = cut(free.join(front.withColumnRenamed("id", "next"), "next", "left_semi").select("id").distinct(), "front")
+        depth = depth.unionByName(front.withColumn("depth", F.lit(last)))
+        if last % _LEVELS == 0:
+            depth = cut(depth.groupBy("id").agg(F.max("depth").alias("depth")), "depth")
+    depth = cut(depth.groupBy("id").agg(F.max("depth").alias("depth")), "depth")
+    found = depth.withColumn("exact", F.lit(True))
+    if not cyclic:
+        return found, entered
+    alone = cut(graph.nodes.select("id").join(entered, "id", "left_anti").withColumn("depth", F.lit(1)), "alone")
+    bent = _bent_depths(step.join(tainted, "id", "left_semi").distinct(), labels, tainted, depth.unionByName(alone), bound + 1)
+    return found.unionByName(bent.select("id", "depth", (F.col("depth") <= bound).alias("exact"))), entered
 
 
 def _bent_depths(step: DataFrame, labels: DataFrame, tainted: DataFrame, clean: DataFrame, most: int) -> DataFrame:
@@ -272,7 +296,8 @@ def _closure(step: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def rule_max_call_depth(graph: Graph, most: int = 3) -> DataFrame:
-    found = call_depths(graph, most).where(F.col("depth") > most)
+    depths = call_depths(graph, most) if most < 1 else _entered_depths(graph, most)[0]  # nodes without dependents have depth 1
+    found = depths.where(F.col("depth") > most)
     return _violation(found, "max_call_depth", "WARNING", F.col("id"), F.lit(f"more than {most}"))
 
 

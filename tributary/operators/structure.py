@@ -60,9 +60,11 @@ def _peeled(edges: DataFrame) -> DataFrame:
     """
     live, n, before = edges.select("source", "target").where("source != target"), None, None
     while n is None or before is None or (n and (before - n) * _PEEL >= before):
-        entered, left = live.select(F.col("target").alias("x")).distinct(), live.select(F.col("source").alias("x")).distinct()
-        less = cut(live.join(entered, F.col("source") == F.col("x"), "left_semi").join(left, F.col("target") == F.col("x"), "left_semi"), "peeled")
+        # One end after the other: of layered graphs the first leaves little to look for the second.
+        entered = cut(live.join(live.select(F.col("target").alias("x")).distinct(), F.col("source") == F.col("x"), "left_semi"), "entered")
         drop(live)
+        less = cut(entered.join(entered.select(F.col("source").alias("x")).distinct(), F.col("target") == F.col("x"), "left_semi"), "peeled")
+        drop(entered)
         live, before, n = less, n, less.count()
         if not n:
             break
