@@ -56,3 +56,14 @@ def test_merging_makes_no_nodes_for_edges(spark):
     assert [tuple(r)[:2] for r in build.merge(lazy, one).edges.collect()] == [("a", "b")]
     assert not asked
     assert build.merge(lazy, one).nodes.count() == 2
+
+
+def test_risks_read_what_changed(spark):
+    g = graph(spark, [("a", "b"), ("a", "c"), ("d", "b"), ("d", "c"), ("b", "c")])
+    doms = spark.createDataFrame([(i, i) for i in "abcd"], "id string, domain string")
+    changed = spark.createDataFrame([("a",), ("b",), ("gone",)], "id string")
+    assert sorted(map(tuple, change.foreign_dependencies(g, doms, changed).collect())) == [("a", 2), ("b", 1)]
+    found = change.class_risk(g, doms, changed, changed.limit(0), [])
+    assert sorted(map(tuple, found.collect())) == [("a", "LOW", 0), ("b", "LOW", 0)]
+    # Dependents alone are counted, so sources of edges aren't grouped.
+    assert "sum(" not in found._jdf.queryExecution().sparkPlan().toString()
