@@ -3,6 +3,7 @@
 import random
 
 from tributary.operators import patch
+from tributary.plans import demo
 from tributary.schema import DEPENDENCIES, MODULES
 
 
@@ -66,3 +67,11 @@ def test_changed_paths(spark):
     before = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None), ("d", "4")], "path string, content string")
     after = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", None), ("e", "5")], "path string, content string")
     assert sorted(r.path for r in patch.changed_paths(before, after).collect()) == ["b", "d", "e"]
+
+
+def test_paths_told_with_dependencies(spark):
+    """The declaring module's path comes with its dependencies, as with_paths finds it by a join."""
+    told = demo.fk_dependencies(spark, "/root/testdata/sf0.001", with_path=True)
+    _, joined = patch.with_paths(demo.fk_modules(spark, "/root/testdata/sf0.001"), demo.fk_dependencies(spark, "/root/testdata/sf0.001"))
+    count = lambda df: df.groupBy("path", "source_id", "target_id", "edge_type").count()
+    assert told.where("path IS NULL").isEmpty() and count(told).exceptAll(count(joined)).isEmpty() and told.count() == joined.count()

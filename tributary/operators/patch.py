@@ -77,11 +77,10 @@ def patch(old: Snapshot, changed: DataFrame, modules: DataFrame, deps: DataFrame
     Paths that aren't in the snapshot are new files; declarations of paths that
     aren't listed are refused by being left out. Declarations without a path stay.
     """
-    changed = changed.select("path").where("path IS NOT NULL").distinct()
-    modules, deps = modules.select(old.modules.columns).join(changed, "path", "left_semi"), deps.select(old.dependencies.columns).join(changed, "path", "left_semi")
-    gone_modules, gone_deps = old.modules.join(changed, "path", "left_semi"), old.dependencies.join(changed, "path", "left_semi")
-    all_modules = cut(old.modules.join(changed, "path", "left_anti").unionByName(modules), "modules")
-    all_deps = cut(old.dependencies.join(changed, "path", "left_anti").unionByName(deps), "dependencies")
+    changed = cut(changed.select("path").where("path IS NOT NULL").distinct(), "changed")
+    modules, deps = (cut(new.select(was.columns).join(changed, "path", "left_semi"), "new") for new, was in ((modules, old.modules), (deps, old.dependencies)))
+    (kept_modules, gone_modules), (kept_deps, gone_deps) = _parted(old.modules, changed), _parted(old.dependencies, changed)
+    all_modules, all_deps = kept_modules.unionByName(modules), kept_deps.unionByName(deps)
 
     ids = cut(gone_modules.select("id").unionByName(modules.select("id")).distinct(), "ids")
     bare = ids.select(strip_namespace(F.col("id")).alias("id")).distinct()
@@ -91,10 +90,14 @@ def patch(old: Snapshot, changed: DataFrame, modules: DataFrame, deps: DataFrame
 
     was, now = ids.join(old.modules.select("id"), "id", "left_semi"), ids.join(all_modules.select("id"), "id", "left_semi")
     flipped = cut(was.join(now, "id", "left_anti").unionByName(now.join(was, "id", "left_anti")), "flipped")
-    end = lambda c: all_deps.join(flipped.withColumnRenamed("id", c), c, "left_semi").select(*_PAIR)
-    pairs = gone_deps.select(*_PAIR).unionByName(deps.select(*_PAIR)).unionByName(end("source_id")).unionByName(end("target_id"))
+    pairs = gone_deps.select(*_PAIR).unionByName(deps.select(*_PAIR))
+    # Distinct ends tell whether a kept dependency has such an end at all; most patches need no look at each of them.
+    hit = cut(kept_deps.select(F.explode(F.array(*_PAIR)).alias("id")).distinct().join(flipped, "id", "left_semi"), "hit")
+    if hit.head(1):
+        end = lambda c: kept_deps.join(hit.withColumnRenamed("id", c), c, "left_semi").select(*_PAIR)
+        pairs = pairs.unionByName(end("source_id")).unionByName(end("target_id"))
     pairs = cut(pairs.distinct(), "pairs")
-    fresh = cut(build(all_modules, all_deps.join(pairs, _PAIR, "left_semi")).edges, "fresh")
+    fresh = cut(build(all_modules, cut(all_deps.join(pairs, _PAIR, "left_semi"), "redone")).edges, "fresh")
     keys = pairs.select(strip_namespace(F.col("source_id")).alias("source"), strip_namespace(F.col("target_id")).alias("target"))
     # An edge whose end is gone has a flipped end, so its pair is among these.
     replaced = old.graph.edges.join(keys, ["source", "target"], "left_semi").select("source", "target")
@@ -103,6 +106,12 @@ def patch(old: Snapshot, changed: DataFrame, modules: DataFrame, deps: DataFrame
     return Snapshot(all_modules, all_deps, Graph(nodes, edges), lambda: _structure(old, nodes, edges, replaced, fresh.select("source", "target"), ends))
 
 
+def _parted(declared: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Declarations of files that aren't among the changed ones, and of those that are; dealt by path once."""
+    marked = cut(declared.join(changed.withColumn("_changed", F.lit(True)), "path", "left").select(*declared.columns, "_changed"), "parted")
+    return marked.where("_changed IS NULL").drop("_changed"), marked.where("_changed").drop("_changed")
+
+
 def _structure(old: Snapshot, nodes: DataFrame, edges: DataFrame, replaced: DataFrame, fresh: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components and cycles after edges were replaced by fresh ones and the nodes in ends came or went."""
     moved = replaced.join(fresh, ["source", "target"], "left_anti").unionByName(fresh.join(replaced, ["source", "target"], "left_anti"))
